@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.bloom import BloomChain
+from auditlake.session import ship
 
 ERROR = 0.001
 
@@ -60,6 +61,7 @@ def answers(rows: DataFrame, error: float = ERROR, capacity: int = 4096, only_se
             out = pa.RecordBatch.from_arrays([b.column("pos"), b.column("key"), pa.array(seen), b.column("certain")], ["pos", "key", "seen", "certain"])
             yield out.filter(pa.array(seen)) if only_seen else out
 
+    ship(rows.sparkSession)
     thin = rows.mapInArrow(_thin, "pos long, key binary, certain boolean")
     shard = F.when(F.col("certain"), F.xxhash64("pos")).otherwise(F.xxhash64("key"))
     # The second hash differs from the one that places the rows: all keys of a shard share bits of that.

@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: str | None = None
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A single-JVM session with the settings the library expects (UTC, Arrow, AQE)."""
@@ -55,3 +59,19 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # noqa: BLE001 - at exit the gateway may be closed
         pass
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per session; operators that run Python on executors call it."""
+    global _shipped
+    if _shipped == spark.sparkContext.applicationId:
+        return
+    import auditlake
+
+    here = Path(auditlake.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="auditlake-zip-")) / "auditlake.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path("auditlake") / p.relative_to(here))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped = spark.sparkContext.applicationId
