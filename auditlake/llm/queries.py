@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import packing, tokens
+from auditlake.llm import packing, pii, tokens
 from auditlake.sources.tables import table
 
 
@@ -40,6 +40,17 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs, lexicon = table(spark, folder, "documents"), pii.lexicon_rows(table(spark, folder, "name_lexicon"))
+    return pii.find(docs, F.col("doc_id"), F.col("text"), lexicon).select(F.col("row").alias("doc_id"), "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with its items replaced by placeholders."""
+    docs, lexicon = table(spark, folder, "documents"), pii.lexicon_rows(table(spark, folder, "name_lexicon"))
+    return pii.find(docs, F.col("doc_id"), F.col("text"), lexicon, replace=True).select(F.col("row").alias("doc_id"), "text")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_redacted)}
 
 SQL = {"p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
