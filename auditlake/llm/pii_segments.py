@@ -81,7 +81,12 @@ STREETS = {
     # Japanese: city, ward, town, blocks
     "blocks": re.compile(rf"[{KANJI}ァ-ヺ]{{1,8}}?[市区町村郡][{KANJI}ァ-ヺ字]{{0,10}}?\d{{1,3}}(?:丁目|-)\d{{1,3}}(?:(?:番地?|-)(?:\d{{1,4}}号?)?)?(?:-\d{{1,4}})?"),
 }
-STREET_HINT = re.compile(r"\d")
+#: Without one of these a form cannot match; they are quick to look for.
+HINTS = {
+    "number_first": tuple(f" {w}" for w in AFTER_EN), "number_type": tuple(f"{w} " for w in BEFORE), "type_first": tuple(f"{w}" if w in ("c/",) else f"{w} " for w in BEFORE) + tuple(w for w in BEFORE if w.endswith(".")),
+    "name_type": tuple(f" {w}" for w in AFTER_RU), "compound": tuple(f"{w} " for w in SUFFIX_DE), "preposition": tuple(f"{w} " for w in ("am", "an der", "an den", "im", "in der", "in den", "zum", "zur", "auf der", "auf dem", "unter den", "hinter der", "hinter dem", "vor dem", "bei der")),
+    "blocks": ("丁目", "-"),
+}
 
 # Names ---------------------------------------------------------------------------------------------------------------
 
@@ -89,12 +94,19 @@ STREET_HINT = re.compile(r"\d")
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "hr", "fr", "sr", "sra", "srta", "don", "doña", "dña", "d", "m", "mme", "mlle", "pan", "pani", "г-н", "г-жа", "господин", "госпожа", "inż", "mgr"}
 #: Words behind which, or before which, a person is often named (fixed values).
 LEADS = {"regards", "sincerely", "asked", "contact", "attn", "grüßen", "gruß", "fragte", "kontakt", "ansprechpartner", "saludos", "atentamente", "pregunté", "contacto", "cordialement", "salutations", "demandé", "poważaniem", "pozdrawiam", "zapytano", "уважением", "спросили", "контакт", "signed", "by"}
-FOLLOWS = {"signed", "signe", "signé", "firmó", "podpisał", "podpisała", "подписал", "подписала", "unterschrieben", "hat", "danach", "a", "wrote", "lives", "wohnt", "habite", "vive"}
+FOLLOWS = {"signed", "signe", "firmó", "podpisał", "podpisała", "подписал", "подписала", "danach", "wrote", "lives", "wohnt", "habite", "vive"}
+#: Auxiliaries that do so only before certain words.
+FOLLOWS_WITH = {"hat": {"am", "unterschrieben"}, "a": {"signé", "écrit"}, "has": {"signed"}, "ha": {"firmado"}}
 PARTICLES = {"van", "von", "der", "den", "de", "di", "da", "la", "le", "del", "zu", "ter", "af", "bin", "al"}
 JA_AFTER = ("様", "さん", "氏", "先生", "に尋ねた", "が署名", "\t", "(", "、", "\n")
 JA_BEFORE = ("担当:", "敬具 ", "敬具\n", "について", "連絡先:", "、")
 
 
+#: A person may stand right before these.
+NEXT = frozenset(("\t", "様", "氏", "に", "が"))
+MAIL_NEXT = re.compile(r" ?\([^()\n]{0,40}?(?:@| AT | at |\(at\)|\[at\])")
+#: What may stand between the words of a name.
+GAP = re.compile(r"\.? {0,3}|, ?")
 #: What stands before a foreign name in Japanese: kana, a colon, a comma, or the closing of a letter.
 JA_LEAD = re.compile(r"(?:[ぁ-ん]|:|、|敬具\s)$")
 
@@ -107,6 +119,7 @@ class Lexicon:
         for part, kind in rows:
             if part and part.strip():
                 self.parts.setdefault(part.strip().lower(), set()).add(kind or "")
+        self.words = set(self.parts) | TITLES | LEADS | FOLLOWS | set(FOLLOWS_WITH)
         kanji = sorted((p for p in self.parts if re.match(rf"[{KANJI}ぁ-んァ-ヺ]", p)), key=len, reverse=True)
         self.kanji = re.compile("|".join(map(re.escape, kanji))) if kanji else None
 
@@ -146,10 +159,16 @@ def _context(text: str, s: int, e: int, kind: str) -> list[str]:
     return [f"{k}|l|{left[-1]}", f"{k}|ll|{left[-2]} {left[-1]}", f"{k}|r|{right[0]}", f"{k}|rr|{right[0]} {right[1]}", f"{k}|e|{edge}"]
 
 
+#: Calendar dates and host addresses are no candidates.
+PLAIN = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]\d\.[01]\d\.(?:19|20)\d\d|\d{1,3}(?:\.\d{1,3}){3}")
+
+
 def _numbers(text: str) -> Iterator[Segment]:
     spans = {(m.start(), m.end()) for m in PHONE.finditer(text)} | {(m.start(), m.end()) for m in ID.finditer(text)}
-    for s, e in spans:
+    for s, e in sorted(spans):
         body = text[s:e]
+        if PLAIN.fullmatch(body):
+            continue
         digits = sum(c.isdigit() for c in body)
         if digits > 17 or digits < (3 if len(body) >= 8 and body.isalnum() else 6):
             continue
@@ -172,11 +191,11 @@ def _emails(text: str, folded: str) -> Iterator[Segment]:
         yield Segment(m.start(), m.end(), "email", ["em|bias", f"em|style|{style}", f"em|dots|{min(3, body.count('.') + body.count('dot'))}", *_context(text, m.start(), m.end(), "email")])
 
 
-def _addresses(text: str) -> Iterator[Segment]:
-    if not STREET_HINT.search(text):
-        return
+def _addresses(text: str, folded: str) -> Iterator[Segment]:
     seen = set()
     for name, pattern in STREETS.items():
+        if not any(hint in folded for hint in HINTS[name]):
+            continue
         for m in pattern.finditer(text):
             starts = [m.start()]
             body = m.group()
@@ -209,9 +228,13 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
         keys = [folded[s:e] for s, e in words] if len(folded) == len(text) else [text[s:e].lower() for s, e in words]
         anchors: set[int] = set()
         leads: set[int] = set()
+        words_of_interest = lexicon.words
         for i, (s, e) in enumerate(words):
             key = keys[i]
-            if key in lexicon.parts or any(p in lexicon.parts for p in key.split("-")):
+            after = text[e : e + 2]
+            if key not in words_of_interest and "-" not in key and after[:1] not in NEXT and "(" not in after and not (s and (text[s - 1] > "\u3000" or text[s - 1] in ":\n" or text[max(0, s - 3) : s - 1] == "敬具")) and after[:1] != "さ":
+                continue
+            if key in lexicon.parts or ("-" in key and any(p in lexicon.parts for p in key.split("-"))):
                 anchors.add(i)
             if key in TITLES or key in LEADS:
                 anchors.add(i + 1)
@@ -219,22 +242,25 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
                 if text[e : e + 1] == "." or key in ("demandé", "pregunté", "mit"):
                     anchors.add(i + 2)
                     leads.add(i + 2)
-            if key in FOLLOWS and i:
+            if i and (key in FOLLOWS or (key in FOLLOWS_WITH and i + 1 < n and keys[i + 1] in FOLLOWS_WITH[key])):
                 anchors.add(i - 1)
-            after = text[e : e + 2]
-            if after[:1] in ("\t", "様", "氏", "に", "が") or after == "さん" or JA_LEAD.search(text[max(0, s - 4) : s]):
+            if after[:1] in NEXT or after == "さん":
+                anchors.add(i)
+            elif s and (text[s - 1] > "\u3000" or text[s - 1] == ":" or text[max(0, s - 3) : s - 1] == "敬具") and JA_LEAD.search(text[max(0, s - 4) : s]):
                 anchors.add(i)
-            elif "(" in after and re.match(r" ?\([^()\n]{0,40}?(?:@| AT | at |\(at\)|\[at\])", text[e : e + 60]):
+            elif "(" in after and MAIL_NEXT.match(text[e : e + 60]):
                 anchors.add(i)
-            elif s and text[s - 1] in ":" or text[max(0, s - 2) : s] == ": ":
-                if text[s].isupper():
-                    anchors.add(i)
         done: set[tuple[int, int]] = set()
         for a in sorted(anchors):
             if a >= n:
                 continue
-            for b in range(max(0, a - MAX_WORDS + 1), a + 1):
-                for c in range(a, min(n, b + MAX_WORDS)):
+            low, high = a, a
+            while low > 0 and a - low < MAX_WORDS - 1 and GAP.fullmatch(text, words[low - 1][1], words[low][0]):
+                low -= 1
+            while high + 1 < n and high - a < MAX_WORDS - 1 and GAP.fullmatch(text, words[high][1], words[high + 1][0]):
+                high += 1
+            for b in range(low, a + 1):
+                for c in range(a, min(high + 1, b + MAX_WORDS)):
                     if (b, c) not in done:
                         done.add((b, c))
                         seg = _name(text, words, keys, b, c, lexicon, leads)
@@ -266,8 +292,10 @@ def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: i
     if shapes[-1] == "I" or shapes[-1] == "p":
         return None
     lower = [i for i, x in enumerate(shapes) if x in "wi"]
-    if lower and not (len(lower) == len(shapes) and (b in leads or any(k[0] not in "-" for k in known) or text[e : e + 1] == "\t")):
-        return None  # a name is not half in lower case, but for its particles
+    if lower:  # a name is not half in lower case, but for its particles; wholly, only where names stand
+        follows = c + 1 < len(keys) and (keys[c + 1] in FOLLOWS or (keys[c + 1] in FOLLOWS_WITH and c + 2 < len(keys) and keys[c + 2] in FOLLOWS_WITH[keys[c + 1]]))
+        if len(lower) < len(shapes) or len(lower) > 3 or not (b in leads or follows or text[e : e + 1] == "\t" or MAIL_NEXT.match(text[e : e + 60])):
+            return None
     if shapes[0] == "p" and len(shapes) < 2:
         return None
     form = "".join(x if not i else ("," if gaps[i - 1] == "," else "") + x for i, x in enumerate(shapes))
@@ -278,7 +306,7 @@ def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: i
     more_left = bool(b) and before in (" ", "  ") and _shape(text[words[b - 1][0] : words[b - 1][1]]) in "WU" and keys[b - 1] not in TITLES
     more_right = c + 1 < len(words) and after in (" ", "  ") and _shape(text[words[c + 1][0] : words[c + 1][1]]) in "WU"
     title = bool(b) and keys[b - 1] in TITLES and before in (" ", ". ")
-    mail = bool(re.match(r" ?\([^()\n]{0,40}?(?:@| AT | at |\(at\)|\[at\])", text[e : e + 60]))
+    mail = bool(MAIL_NEXT.match(text[e : e + 60]))
     first_is_title = keys[b] in TITLES
     f = ["pe|bias", f"pe|form|{form}", f"pe|lex|{order}", f"pe|hits|{hits}/{len(known)}", f"pe|more|{more_left}{more_right}", f"pe|title|{title}", f"pe|mail|{mail}", f"pe|opens title|{first_is_title}{form}"]
     context = _context(text, s, e, "person_name")
@@ -330,6 +358,6 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
     """All candidates of a text, in no particular order."""
     t = narrow(text)
     folded = t.lower()
-    return [*_emails(t, folded), *_numbers(t), *_addresses(t), *_names(t, folded, lexicon)]
+    return [*_emails(t, folded), *_numbers(t), *_addresses(t, folded), *_names(t, folded, lexicon)]
 
 
