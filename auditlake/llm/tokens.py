@@ -27,6 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CHUNK, OVERLAP = 8192, 512
 #: A boundary this close to a chunk's end may depend on what follows.
 EDGE = 4
+_pattern = regex.compile(PATTERN)
 
 _loaded: dict[str, object] = {}
 
@@ -45,22 +46,20 @@ def encoder(vocabulary: str = VOCABULARY):
     return _loaded[vocabulary]
 
 
-def safe_boundaries(text: str, low: int, high: int, at_end: bool) -> list[int]:
+def safe_boundaries(text: str, low: int, high: int) -> list[int]:
     """Pre-token boundaries b of ``text`` with low <= b < high that hold wherever the scan began.
 
     A pre-token is a run of one class (letters, digits, others, white space), but for a leading blank and for
     contractions, so a boundary behind a visible character whose class ends there is one for every scan. Boundaries
     between letters (behind a contraction), behind an apostrophe, or behind white space are left out.
     """
-    high = high if at_end else min(high, len(text) - EDGE)
     out = []
-    for m in regex.finditer(PATTERN, text):
+    for m in _pattern.finditer(text, max(0, low - EDGE)):
         b = m.end()
-        if b >= high:
+        if b >= high or b >= len(text):
             break
-        if b >= low and b < len(text) and not text[b - 1].isspace() and text[b - 1] != "'":
-            if not (regex.match(r"\p{L}", text[b - 1]) and regex.match(r"\p{L}", text[b])):
-                out.append(b)
+        if b >= low and not text[b - 1].isspace() and text[b - 1] != "'" and not (text[b - 1].isalpha() and text[b].isalpha()):
+            out.append(b)
     return out
 
 
@@ -77,14 +76,17 @@ def _encode(vocabulary: str, lengths_only: bool):
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of chunks (uid, start, size, stride, overlap, text): the boundaries in the first overlap and in the last."""
+    """Of chunks (uid, start, size, stride, overlap, text): the boundaries in the first overlap and in the last.
+
+    Only the overlaps are pre-tokenised here; what lies between is, when its piece is encoded.
+    """
     for b in batches:
         heads, tails = [], []
-        for r in b.to_pylist():
-            text, at_end = r["text"], r["start"] + len(r["text"]) >= r["size"]
-            found = safe_boundaries(text, 1, len(text), at_end)
-            heads.append([x + r["start"] for x in found if x < r["overlap"]])
-            tails.append([x + r["start"] for x in found if x >= r["stride"]])
+        for start, text, size, stride, overlap in zip(*(b.column(c).to_pylist() for c in ("start", "text", "size", "stride", "overlap")), strict=True):
+            # The last characters may be the beginning of a pre-token that goes on behind the chunk.
+            end = len(text) if start + len(text) >= size else len(text) - EDGE
+            heads.append([x + start for x in safe_boundaries(text, 1, min(overlap, end))] if start else [])
+            tails.append([x + start for x in safe_boundaries(text, stride, end)])
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("start"), pa.array(heads, kind), pa.array(tails, kind)], ["uid", "start", "head", "tail"])
 
