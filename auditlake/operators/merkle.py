@@ -80,8 +80,7 @@ def root(hashes: DataFrame) -> DataFrame:
     spark = hashes.sparkSession
     if not top:
         return spark.createDataFrame([(0, EMPTY_ROOT)], "size long, root string")
-    size = hashes.agg(F.count(F.lit(1)).alias("size"))
-    return top[-1].select(F.lower(F.hex(folded(F.col("hashes")))).alias("root")).join(F.broadcast(size)).select("size", "root")  # two single rows
+    return top[-1].select(F.lit(hashes.count()).cast("long").alias("size"), F.lower(F.hex(folded(F.col("hashes")))).alias("root"))
 
 
 def nodes(hashes: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def number_by_text(df: DataFrame, order: str, name: str = "seq", ranges: int = 2
     prefix = df.groupBy(F.substring(order, 1, 24).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     total = df.count()
     running = prefix.withColumn("cell", F.floor(F.sum("n").over(Window.orderBy("p")) * ranges / F.lit(total + 1)))
-    cuts = [r[0] for r in running.groupBy("cell").agg(F.min("p").alias("p")).orderBy("p").limit(ranges + 1).collect() if r[0]]
+    cuts = [r["p"] for r in running.groupBy("cell").agg(F.min("p").alias("p")).orderBy("p").limit(ranges + 1).collect() if r["p"]]
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>"), lambda c: c <= F.col(order)))
     rows = df.withColumn("__range", at)
     counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
