@@ -13,7 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ID, FIRST = "__message_id", "__rank"
+ID = "__message_id"
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def message_id(fields: Sequence[Column]) -> Column:
@@ -26,7 +34,7 @@ def message_id(fields: Sequence[Column]) -> Column:
 
 
 def with_id(df: DataFrame, fields: Sequence[Column], required: Sequence[Column] = ()) -> DataFrame:
-    """Adds the identifier; null where a required field is missing (such a row is nobody's copy)."""
+    """Adds the identifier as ``__message_id`` (a column of that name is replaced); null where a required field is missing (such a row is nobody's copy)."""
     ident = message_id(fields)
     for c in required:
         ident = F.when(c.isNotNull(), ident)
@@ -38,8 +46,9 @@ def keep_first(df: DataFrame, order: Sequence[Column], ident: str = ID) -> DataF
 
     Rows without identifier are kept, all of them. Empty input gives no rows. Extra columns pass unchanged.
     """
-    ranked = df.filter(F.col(ident).isNotNull()).withColumn(FIRST, F.row_number().over(Window.partitionBy(ident).orderBy(*order)))
-    return ranked.filter(F.col(FIRST) == 1).drop(FIRST).unionByName(df.filter(F.col(ident).isNull()))
+    rank = free(df, "__rank")
+    ranked = df.filter(F.col(ident).isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(ident).orderBy(*order)))
+    return ranked.filter(F.col(rank) == 1).drop(rank).unionByName(df.filter(F.col(ident).isNull()))
 
 
 def dedupe_batch(batch: DataFrame, stored: DataFrame | None, order: Sequence[Column], ident: str = ID) -> tuple[DataFrame, DataFrame]:

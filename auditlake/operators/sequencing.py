@@ -9,24 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditlake.operators.dedupe import free
 from auditlake.session import ship
 
 #: Order numbers per block: blocks are numbered side by side.
 BLOCK = 65_536
 
 
+def _numbered(rows: DataFrame, part: str, order: str, name: str) -> DataFrame:
+    """Rows ranked within their part, plus the running total of the parts before; drops ``part``."""
+    n, offset, local = (free(rows, x) for x in ("__n", "__offset", "__local"))
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn(local, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1)
+    joined = ranked.join(counts.select(part, before.alias(offset)), part)
+    return joined.withColumn(name, F.col(offset) + F.col(local)).drop(part, local, offset)
+
+
 def number(df: DataFrame, order: str, name: str = "seq", block: int = BLOCK) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... by the unique, non-negative integer ``order``, without one task that sees all rows.
 
     Rows are counted per block of order numbers; the running total of the (few) blocks is each block's offset, and rows
     are ranked within their block. The blocks are fixed by the order numbers, so a repeated run gives the same numbers.
+    Rows with a null ``order`` have no place and are left out.
     """
-    rows = df.withColumn("__block", F.expr(f"`{order}` div {block}"))
-    counts = rows.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__block", before.alias("__offset"))
-    local = F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1
-    return rows.withColumn("__local", local).join(offsets, "__block").withColumn(name, F.col("__offset") + F.col("__local")).drop("__block", "__local", "__offset")
+    part = free(df, "__block")
+    return _numbered(df.filter(F.col(order).isNotNull()).withColumn(part, F.expr(f"`{order}` div {block}")), part, order, name)
 
 
 def number_by_text(df: DataFrame, order: str, name: str = "seq", ranges: int = 256) -> DataFrame:
@@ -35,17 +43,14 @@ def number_by_text(df: DataFrame, order: str, name: str = "seq", ranges: int = 2
     Rows are first counted by a short prefix of the text; the running totals of the prefixes (cut at ``ranges`` bounds, the
     only thing that reaches the driver) split the order. Uneven ranges cost balance, not correctness.
     """
+    df = df.filter(F.col(order).isNotNull())
     prefix = df.groupBy(F.substring(order, 1, 24).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     total = df.count()
     running = prefix.withColumn("cell", F.floor(F.sum("n").over(Window.orderBy("p")) * ranges / F.lit(total + 1)))
     cuts = [r["p"] for r in running.groupBy("cell").agg(F.min("p").alias("p")).orderBy("p").limit(ranges + 1).collect() if r["p"]]
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>"), lambda c: c <= F.col(order)))
-    rows = df.withColumn("__range", at)
-    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
-    offsets = counts.select("__range", before.alias("__offset"))
-    return rows.withColumn("__local", local).join(offsets, "__range").withColumn(name, F.col("__offset") + F.col("__local")).drop("__range", "__local", "__offset")
+    part = free(df, "__range")
+    return _numbered(df.withColumn(part, at), part, order, name)
 
 
 def window_dedupe(df: DataFrame, ident: Column, time: Column, row: Column, ttl: int) -> DataFrame:
