@@ -112,6 +112,7 @@ class SemiCRF:
             for i in range(m - 1, -1, -1):
                 beta[i] = _lse([0.0, *[w + score[j] + beta[j] for j, w in after[i]]])
             chain = [i for i, s in enumerate(group) if (s.start, s.end, s.kind) in gold]
+            follows = dict(zip(chain[1:], chain, strict=False))  # the gold segment before each
             for i in chain:
                 total += score[i]
                 for f in group[i].features:
@@ -122,7 +123,7 @@ class SemiCRF:
                     grad[f] -= p
                 for j, link, w in before[i][1]:
                     grad[link] -= math.exp(min(0.0, alpha[j] + w + score[i] + beta[i] - z))
-                    if j in chain and i in chain:
+                    if follows.get(i) == j:
                         grad[link] += 1.0
                         total += w
             total -= z
