@@ -48,8 +48,8 @@ WITH = {
         "Kontakt: {person_name}, {firm}.", "Z poważaniem, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}), adres: {address}.", "{person_name}\t{id_number}\t{phone}",
     ],
     "ru": [
-        "Пишите на {email}: {noun}.", "Копии: {email}, {email}; остаётся {noun}.", "Помощь {firm} <{email}>", "Звоните до {date}: {phone}.", "Тел. {phone}, тема: {noun}",
-        "Мой номер {phone} или {phone}.", "ID: {id_number}; статус: {adj}", "Паспорт {id_number} не совпал ({noun}).", "Номер {id_number} предъявлен ({noun}).",
+        "Пишите на {email}: {noun}.", "Копии: {email}, {email}; остаётся {noun}.", "Помощь {firm} <{email}>", "Звоните {phone} до {date}.", "тел. {phone}, {noun}",
+        "Мой номер {phone} или {phone}.", "ID: {id_number}; статус: {adj}", "Паспорт {id_number} не совпал ({noun}).", "Удостоверение {id_number} предъявлено ({noun}).",
         "С {date} живу по адресу {address}.", "Доставка ({noun}): {address}.", "{title}{person_name} подписал(а) {date} ({noun}).", "Спросили: {person_name} ({noun}, {adj}).",
         "Контакт: {person_name}, {firm}.", "С уважением, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}), адрес: {address}.", "{person_name}\t{id_number}\t{phone}",
     ],
