@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.fingertree import FingerTree
-from auditlake.session import ship
+from auditlake.session import ship, spread
 
 HOUR = 3_600_000
 
@@ -25,7 +25,7 @@ HOUR = 3_600_000
 def _prepared(df: DataFrame, row: Column, event: Column, arrival: Column, size: Column) -> DataFrame:
     ship(df.sparkSession)
     cols = df.select(row.alias("row"), event.cast("long").alias("event"), arrival.cast("long").alias("arrival"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
-    return cols.filter("event IS NOT NULL AND arrival IS NOT NULL").sortWithinPartitions("arrival", "row")
+    return spread(cols.filter("event IS NOT NULL AND arrival IS NOT NULL")).sortWithinPartitions("arrival", "row")
 
 
 def outcomes(df: DataFrame, row: Column, event: Column, arrival: Column, period: int = HOUR, lateness: int = 6 * HOUR, keep: tuple[str, ...] = ("on_time", "correction", "cut_off")) -> DataFrame:

@@ -58,35 +58,38 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def levels(hashes: DataFrame) -> list[DataFrame]:
+def levels(hashes: DataFrame, stored: bool = False, cut: bool = True) -> list[DataFrame]:
     """The groups of every level, from the leaves up to the single group that holds the root. Empty for an empty log.
 
-    The hashes are written once, and so is the far smaller input of each further level, so no level is computed twice.
+    The hashes are written once, unless they are ``stored`` already, and so is the far smaller input of each further
+    level, so no level is computed twice. Without ``cut`` the levels are one chain of shuffles, for callers that read
+    only the last.
     """
-    hashes = _written(hashes, "leaves")
+    hashes = hashes if stored else _written(hashes, "leaves")
     n, out = hashes.count(), []
     while n:
         out.append(grouped(hashes))
         if n <= WIDTH:
             break
-        hashes = _written(out[-1].select(F.col("tile").alias("index"), folded(F.col("hashes")).alias("hash")), "level")
+        above = out[-1].select(F.col("tile").alias("index"), folded(F.col("hashes")).alias("hash"))
+        hashes = _written(above, "level") if cut else above
         n = -(-n // WIDTH)
     return out
 
 
-def root(hashes: DataFrame) -> DataFrame:
+def root(hashes: DataFrame, stored: bool = False) -> DataFrame:
     """One row: ``size`` and ``root`` (hex)."""
-    top = levels(hashes)
-    spark = hashes.sparkSession
+    hashes = hashes if stored else _written(hashes, "leaves")
+    size, top = hashes.count(), levels(hashes, stored=True, cut=False)
     if not top:
-        return spark.createDataFrame([(0, EMPTY_ROOT)], "size long, root string")
-    return top[-1].select(F.lit(hashes.count()).cast("long").alias("size"), F.lower(F.hex(folded(F.col("hashes")))).alias("root"))
+        return hashes.sparkSession.createDataFrame([(0, EMPTY_ROOT)], "size long, root string")
+    return top[-1].select(F.lit(size).cast("long").alias("size"), F.lower(F.hex(folded(F.col("hashes")))).alias("root"))
 
 
-def nodes(hashes: DataFrame) -> DataFrame:
+def nodes(hashes: DataFrame, stored: bool = False) -> DataFrame:
     """All nodes of the tree: ``height``, ``index``, ``hash``. Carried nodes appear at every height they pass."""
     parts = []
-    every = levels(hashes)
+    every = levels(hashes, stored)
     for level, groups in enumerate(every):
         rows = groups.select("tile", F.posexplode(_heights(F.col("hashes"))).alias("h", "row"))
         rows = rows.filter(F.col("h") < HEIGHT) if level < len(every) - 1 else rows  # the root of a group is the next level's leaf
@@ -154,9 +157,9 @@ def consistency_proof(tree: DataFrame, old: int, new: int) -> DataFrame:
     return tree.join(F.broadcast(want), ["height", "index"]).select("pos", "low", "high", "hash")  # one row per bit of the size
 
 
-def tiles(log_hashes: DataFrame) -> DataFrame:
+def tiles(log_hashes: DataFrame, stored: bool = False) -> DataFrame:
     """``level``, ``index``, ``width``, ``hashes``: the published tiles. Only full tiles feed the next level."""
-    hashes, level, out = _written(log_hashes, "tiles"), 0, None
+    hashes, level, out = log_hashes if stored else _written(log_hashes, "tiles"), 0, None
     n = hashes.count()
     while n:
         g = grouped(hashes)

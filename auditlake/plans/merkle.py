@@ -34,7 +34,7 @@ def tile_roots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merkle_root(spark: SparkSession, folder: str) -> DataFrame:
-    return m.root(_leaves(spark, folder))
+    return m.root(_leaves(spark, folder), stored=True)
 
 
 def tile_coords(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +66,7 @@ def decompose(spark: SparkSession, folder: str) -> DataFrame:
 def _proofs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     leaves = _leaves(spark, folder)
     size = leaves.count()
-    return m.inclusion_proofs(m.nodes(leaves), leaves.select("index"), size), leaves, size
+    return m.inclusion_proofs(m.nodes(leaves, stored=True), leaves.select("index"), size), leaves, size
 
 
 def inclusion_proof(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +78,7 @@ def inclusion_proof(spark: SparkSession, folder: str) -> DataFrame:
 def verify_inclusion(spark: SparkSession, folder: str) -> DataFrame:
     """Whether every entry's audit path leads to the log's root."""
     proofs, leaves, size = _proofs(spark, folder)
-    top = m.root(leaves).first()["root"]
+    top = m.root(leaves, stored=True).first()["root"]
     got = proofs.join(leaves, "index").select("index", m.proof_root(F.col("index"), F.lit(size), F.col("hash"), F.col("proof")).alias("r"))
     return got.select(F.col("index").alias("seq"), F.coalesce(F.lower(F.hex("r")) == top, F.lit(False)).alias("ok"))
 
@@ -88,7 +88,7 @@ def consistency_proof(spark: SparkSession, folder: str) -> DataFrame:
     size = leaves.count()
     if size < 2:
         return spark.createDataFrame([], "pos int, low long, high long, hash string")
-    return m.consistency_proof(m.nodes(leaves), max(1, size * 2 // 3), size).select("pos", "low", "high", _hex("hash").alias("hash"))
+    return m.consistency_proof(m.nodes(leaves, stored=True), max(1, size * 2 // 3), size).select("pos", "low", "high", _hex("hash").alias("hash"))
 
 
 def verify_consistency(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,8 +98,8 @@ def verify_consistency(spark: SparkSession, folder: str) -> DataFrame:
     leaves = _leaves(spark, folder)
     size = leaves.count()
     old = max(1, size * 2 // 3)
-    proof = [bytes(r["hash"]) for r in m.consistency_proof(m.nodes(leaves), old, size).orderBy("pos").select("hash").collect()]  # one row per bit of the size
-    first, second = (bytes.fromhex(m.root(leaves.filter(F.col("index") < n)).first()["root"]) for n in (old, size))
+    proof = [bytes(r["hash"]) for r in m.consistency_proof(m.nodes(leaves, stored=True), old, size).orderBy("pos").select("hash").collect()]  # one row per bit of the size
+    first, second = (bytes.fromhex(m.root(leaves.filter(F.col("index") < n), stored=True).first()["root"]) for n in (old, size))
     got = roots_of_proof(old, size, first, proof)
     return spark.createDataFrame([(old, size, got == (first, second))], "old long, new long, ok boolean")
 
@@ -162,7 +162,7 @@ def immutable_divergence(spark: SparkSession, folder: str) -> DataFrame:
     leaves = _leaves(spark, folder)
     half = leaves.count() // 2
     name = lambda t: t.select(m.tile_path(F.col("level"), F.col("index"), F.col("width")).alias("path"), F.array_join(F.transform("hashes", F.hex), "").alias("data"))
-    before, now = name(m.tiles(leaves.filter(F.col("index") < half))), name(m.tiles(leaves))
+    before, now = name(m.tiles(leaves.filter(F.col("index") < half), stored=True)), name(m.tiles(leaves, stored=True))
     return before.withColumnRenamed("data", "old").join(now, "path").select("path", (F.col("old") == F.col("data")).alias("same"))
 
 

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: str | None = None
 
@@ -75,3 +75,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("auditlake") / p.relative_to(here))
     spark.sparkContext.addPyFile(str(target))
     _shipped = spark.sparkContext.applicationId
+
+
+#: Inputs smaller than this per core are spread out before costly work on their rows.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for costly per-row work: a small input, which may lie in one file, is dealt out to all cores; a larger one has splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
