@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from auditlake.llm.pii_samples import Maker
 from auditlake.llm.pii_segments import KINDS, Lexicon, segments
 from auditlake.llm.semicrf import SemiCRF
-from auditlake.session import ship
+from auditlake.session import ship, spread
 
 #: Labelled texts the model is trained on, and passes over them.
 SAMPLES, EPOCHS, SEED = 4000, 5, 20240
@@ -90,7 +90,7 @@ def find(df: DataFrame, row: Column, text: Column, lexicon: Rows, replace: bool
                     ["row", "kind", "start_pos", "end_pos"],
                 )
 
-    return rows.mapInArrow(run, f"row {kind}, text string" if replace else f"row {kind}, kind string, start_pos long, end_pos long")
+    return spread(rows).mapInArrow(run, f"row {kind}, text string" if replace else f"row {kind}, kind string, start_pos long, end_pos long")
 
 
 __all__ = ["KINDS", "entities", "find", "lexicon_rows", "redacted", "trained"]

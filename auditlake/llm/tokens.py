@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditlake.session import ship, work_dir
+from auditlake.session import ship, spread, work_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary splits text before merging (fixed by the vocabulary).
@@ -106,7 +106,7 @@ def token_ids(
     rows = df.select(row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     kind = "bigint" if lengths_only else "array<int>"
     row_type = rows.schema["row"].dataType.simpleString()
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(_encode(vocabulary, lengths_only), f"row {row_type}, ids {kind}")
+    short = spread(rows.filter(F.length("text") <= chunk)).mapInArrow(_encode(vocabulary, lengths_only), f"row {row_type}, ids {kind}")
 
     # Long texts are written, so that a file and a position name each of them, repeated rows too.
     path = work_dir(spark, "long-texts")
