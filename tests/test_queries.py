@@ -2,11 +2,11 @@
 
 import pytest
 
-from auditlake.plans import audit, log, merkle, problems, streams
+from auditlake.plans import audit, log, merkle, problems, streams, witness
 from oracle import compare
 
-QUERIES = {n: f for part in (problems, log, merkle, audit, streams) for n, f in part.QUERIES.items()}
-SQL = {n: s for part in (problems, log, merkle, audit, streams) for n, s in part.SQL.items()}
+QUERIES = {n: f for part in (problems, log, merkle, audit, streams, witness) for n, f in part.QUERIES.items()}
+SQL = {n: s for part in (problems, log, merkle, audit, streams, witness) for n, s in part.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
