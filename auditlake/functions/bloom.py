@@ -8,6 +8,7 @@ called old stays below ``error`` however long the history grows. A key that was
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 
@@ -41,6 +42,16 @@ class Layer:
             np.bitwise_or.at(self.bits, at, bit)
         self.count += len(h1)
 
+    def to_bytes(self) -> bytes:
+        return struct.pack("<qdq", self.capacity, self.error, self.count) + self.bits.tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Layer:
+        capacity, error, count = struct.unpack_from("<qdq", raw)
+        out = cls(capacity, error)
+        out.count, out.bits = count, np.frombuffer(raw, np.uint8, offset=24).copy()
+        return out
+
     @property
     def fill(self) -> float:
         return float(np.bitwise_count(self.bits).sum(dtype=np.int64)) / float(self.m)

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.bloom import BloomChain
+from auditlake.functions.bloom import BloomChain, Layer
 from auditlake.session import ship
 
 ERROR = 0.001
@@ -71,6 +71,75 @@ def answers(rows: DataFrame, error: float = ERROR, capacity: int = 4096, only_se
     return hashed.mapInArrow(run, "pos long, key binary, seen boolean, certain boolean")
 
 
+class SeenStore:
+    """Chains that outlive a run: each batch is answered against all earlier ones, whose keys are not kept.
+
+    ``root/batch=N`` holds the answers of batch N and the chains as they stood after it, one row per shard and layer. A
+    batch overwrites its own folder and reads only the one before, so it can be run again. The number of shards is
+    fixed for the life of the store: choose it so that a shard's share of all keys ever, at some 15 to 25 bits each,
+    stays in the tens of megabytes.
+    """
+
+    SCHEMA = "kind string, shard int, layer int, pos long, key binary, seen boolean, certain boolean, chain binary"
+
+    def __init__(self, root: str, shards: int = 64, error: float = ERROR, capacity: int = 4096) -> None:
+        self.root, self.shards, self.error, self.capacity = root, shards, error, capacity
+
+    def apply(self, number: int, rows: DataFrame) -> None:
+        """Answer batch ``number`` (0, 1, 2, ...) of :func:`keyed` rows and add its keys."""
+        spark = rows.sparkSession
+        ship(spark)
+        error, capacity = self.error, self.capacity
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, chain = None, None
+
+            def stored() -> pa.RecordBatch:
+                made = [("chain", shard, i, None, None, None, None, x.to_bytes()) for i, x in enumerate(chain.layers)]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names)
+
+            names = ["kind", "shard", "layer", "pos", "key", "seen", "certain", "chain"]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
+            for b in batches:
+                shards = b.column("shard").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if low == high:
+                        continue
+                    part = b.slice(low, high - low)
+                    if shard != int(shards[low]):
+                        if chain is not None and chain.layers:
+                            yield stored()
+                        shard, chain = int(shards[low]), BloomChain(error, capacity)
+                    old = part.filter(pc.is_valid(part.column("chain")))
+                    chain.layers += [Layer.from_bytes(x) for x in old.column("chain").to_pylist()]
+                    new = part.filter(pc.is_null(part.column("chain")))
+                    certain = new.column("certain").to_numpy(zero_copy_only=False).astype(bool)
+                    ask, seen = np.flatnonzero(~certain), certain.copy()
+                    h1, h2 = (new.column(c).to_numpy(zero_copy_only=False).view(np.uint64)[ask] for c in ("h1", "h2"))
+                    seen[ask] = chain.test_and_add(h1, h2)
+                    n = len(new)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(["answer"] * n, pa.string()), new.column("shard"), pa.nulls(n, pa.int32()), new.column("pos"), new.column("key"), pa.array(seen), new.column("certain"), pa.nulls(n, pa.binary())], names
+                    )
+            if chain is not None and chain.layers:
+                yield stored()
+
+        thin = rows.mapInArrow(_thin, "pos long, key binary, certain boolean")
+        shard = F.pmod(F.when(F.col("certain"), F.xxhash64("pos")).otherwise(F.xxhash64("key")), F.lit(self.shards)).cast("int")
+        items = thin.select(shard.alias("shard"), F.lit(1).alias("ord"), "pos", "key", "certain", F.xxhash64(F.lit(3), F.col("key")).alias("h1"), F.xxhash64(F.lit(7), F.col("key"), F.lit(11)).alias("h2"), F.lit(None).cast("binary").alias("chain"))
+        if number:
+            none = lambda t: F.lit(None).cast(t)
+            before = spark.read.schema(self.SCHEMA).parquet(f"{self.root}/batch={number - 1}").filter("kind = 'chain'")
+            items = items.unionByName(before.select("shard", F.lit(0).alias("ord"), F.col("layer").cast("long").alias("pos"), none("binary").alias("key"), none("boolean").alias("certain"), none("long").alias("h1"), none("long").alias("h2"), "chain"))
+        placed = items.repartition(self.shards, "shard").sortWithinPartitions("shard", "ord", "pos")
+        placed.mapInArrow(run, self.SCHEMA).write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/batch={number}")
+
+    def answers(self, spark: SparkSession, number: int) -> DataFrame:
+        """``pos``, ``key``, ``seen``, ``certain`` of a batch's rows, as :func:`answers` gives them for one batch."""
+        return spark.read.schema(self.SCHEMA).parquet(f"{self.root}/batch={number}").filter("kind = 'answer'").select("pos", "key", "seen", "certain")
+
+
 def repeats(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """The exact check of the filter's positive answers: ``pos`` of those whose key really occurs at a smaller ``pos``.
 

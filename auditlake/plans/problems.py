@@ -145,6 +145,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return seen.repeats(rows, answered).select(F.col("pos").alias("item_pos"))
 
 
+def p5_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same repeats when the items come in two batches and only the filter's chains are kept in between."""
+    items = table(spark, folder, "append_items")
+    rows = seen.keyed(items, F.col("event_id"), F.col("item_pos"))
+    store, middle = seen.SeenStore(work_dir(spark, "store"), shards=16), (items.agg(F.max("item_pos")).first()[0] or 0) // 2
+    store.apply(0, rows.filter(F.col("pos") <= middle))
+    store.apply(1, rows.filter(F.col("pos") > middle))
+    return seen.repeats(rows, store.answers(spark, 0).unionByName(store.answers(spark, 1)).filter("seen")).select(F.col("pos").alias("item_pos"))
+
+
 def p5_answers(spark: SparkSession, folder: str) -> DataFrame:
     """The filter's answer for every item; null where there is no key."""
     items = table(spark, folder, "append_items")
@@ -167,7 +177,7 @@ def p5_rate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_hours, p3_found, p3_batches, p4_found, p4_state, p5_found, p5_answers, p5_rate)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_hours, p3_found, p3_batches, p4_found, p4_state, p5_found, p5_batches, p5_answers, p5_rate)}
 
 # SQL ----------------------------------------------------------------------------------------------------------------
 
@@ -228,5 +238,6 @@ SQL = {
     "p3_batches": f"SELECT delivery FROM notifications WHERE delivery NOT IN (SELECT delivery FROM ({IDENTIFIED}) WHERE rn > 1)",
     "p4_found": f"WITH {CHANGES} SELECT key, etag FROM w WHERE rn = 1 AND NOT deleted",
     "p4_state": f"WITH {CHANGES} SELECT key, deleted, etag FROM w WHERE rn = 1",
+    "p5_batches": f"SELECT item_pos FROM ({REPEATED}) WHERE seen",
     "p5_found": f"SELECT item_pos FROM ({REPEATED}) WHERE seen",
 }

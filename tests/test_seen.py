@@ -63,3 +63,33 @@ def test_exact(spark):
 def test_empty_and_all_null(spark):
     assert found(spark, []) == ({}, [])
     assert found(spark, [(1, None, None, None), (2, None, None, None)]) == ({}, [])
+
+
+def test_store_over_batches(spark):
+    r = random.Random(6)
+    ids = [r.choice(["hot", *(f"k{i}" for i in range(400))]) if r.random() < 0.8 else f"once{p}" for p in range(4000)]
+    df = spark.createDataFrame(list(enumerate(ids)), "pos long, id string").repartition(3)
+    keyed = seen.keyed(df, F.col("id"), F.col("pos"))
+    store = seen.SeenStore(work_dir(spark, "store"), shards=5, capacity=16)
+    cuts = [0, 1, 1500, 1500, 4000]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        store.apply(i, keyed.filter((F.col("pos") >= low) & (F.col("pos") < high)))
+    store.apply(3, keyed.filter(F.col("pos") >= 1500))  # again
+    got = {x["pos"]: x["seen"] for i in range(4) for x in store.answers(spark, i).collect()}
+    before, wrong = set(), 0
+    for p, x in enumerate(ids):
+        assert got[p] or x not in before
+        wrong += got[p] and x not in before
+        before.add(x)
+    assert len(got) == len(ids) and wrong <= 5
+
+
+def test_layer_round_trip():
+    h1, h2 = hashes(300, 9)
+    chain = BloomChain(0.01, 64)
+    chain.test_and_add(h1, h2)
+    from auditlake.functions.bloom import Layer
+
+    again = BloomChain(0.01, 64)
+    again.layers = [Layer.from_bytes(x.to_bytes()) for x in chain.layers]
+    assert again.has(h1, h2).all() and [x.count for x in again.layers] == [x.count for x in chain.layers]
