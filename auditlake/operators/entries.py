@@ -23,9 +23,14 @@ SCHEMA = (
 KNOWN = ("object.event", "object.snapshot", "audit.finding", "audit.scan", "audit.observation")
 
 
+def utf8(c: Column) -> Column:
+    """The text of bytes, null where they are no UTF-8."""
+    return F.try_validate_utf8(c.cast("string"))
+
+
 def parsed(df: DataFrame, entry: str = "entry") -> DataFrame:
     """Adds ``e``: the entry's fields, null where they are absent or of another type. Never fails; ``raw`` stays the truth."""
-    return df.withColumn("e", F.from_json(F.decode(F.col(entry), "UTF-8"), SCHEMA, {"mode": "PERMISSIVE"}))
+    return df.withColumn("e", F.from_json(utf8(F.col(entry)), SCHEMA, {"mode": "PERMISSIVE"}))
 
 
 def _encoded(e: str, names: list[str]) -> dict[str, Column]:
@@ -63,7 +68,7 @@ def event_problem(entry: Column, e: str = "e") -> Column:
         .when(deletion & (f("size").isNotNull() | f("etag").isNotNull()), "deletion")
         .when(source.isNotNull() & (f("action") != "CopyObject"), "copySource")
         .when(source.isNotNull() & (f("copySource.bucket").isNull() | (f("copySource.key").isNull() == f("copySource.keyHmac").isNull())), "copySource")
-        .when(canonical_event(e) != F.decode(entry, "UTF-8"), "not canonical")
+        .when(~canonical_event(e).eqNullSafe(utf8(entry)), "not canonical")
     )
 
 
