@@ -35,10 +35,10 @@ EMAIL = re.compile(rf"(?<![{LETTER}0-9])[{LETTER}0-9][{LETTER}0-9._+'’\-]*{AT}
 
 _EDGE = rf"A-Za-z0-9À-ɏЀ-ӿ"
 PHONE = re.compile(
-    rf"(?<![{_EDGE}.@#/\-+])(?:\+ ?\d|\(\+?\d{{1,4}}\)|\d)(?:[ .\-/]?\d|[ .\-/]?\(\d{{1,4}}\)){{5,16}}(?: ?(?:ext\.?|x|#) ?\d{{1,5}})?(?![{_EDGE}@]|[\-/.]\d)"
+    rf"(?<![{_EDGE}.@#/\-+])(?:\+ ?\d|\(\+?\d{{1,4}}\)|\d)(?:[ .\-/]?\d|[ .\-/]?\(\d{{1,4}}\)){{5,16}}(?: ?(?:ext\.?|x|#) ?\d{{1,5}})?(?![0-9a-zß-öø-ɏа-ӿ@]|[\-/.]\d)"
 )
 ID = re.compile(
-    rf"(?<![{_EDGE}.@#/\-+])(?:(?:(?-i:[A-Z]{{1,3}})[ \-]?|[A-Z]{{1,3}}-?)\d(?:[ .\-]?\d){{4,12}}(?:[ \-]?[A-Z])?|\d(?:[ .\-]?\d){{6,16}}(?:[ \-]?[A-Z])?|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|\d{{4}} ?[№N#]\.? ?\d{{6}}|(?=[A-Z]*\d[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{{7,9}})(?![{_EDGE}@]|[\-/.][{_EDGE}])",
+    rf"(?<![{_EDGE}.@#/\-+])(?:(?:(?-i:[A-Z]{{1,3}})[ \-]?|[A-Z]{{1,3}}-?)\d(?:[ .\-]?\d){{4,12}}(?:[ \-]?[A-Z])?|\d(?:[ .\-]?\d){{6,16}}(?:[ \-]?[A-Z])?|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|[A-Z]{{3}} \d{{6}}|\d{{4}} ?[№N#]\.? ?\d{{6}}|(?=[A-Z]*\d[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{{7,9}})(?![{_EDGE}@]|[\-/.][{_EDGE}])",
     re.IGNORECASE,
 )
 
@@ -72,7 +72,7 @@ STREETS = {
     # number, type, name: 14 bis, rue des Exemples
     "number_type": re.compile(rf"(?<![\w\-/.])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-c])\b)?,? (?:{_alt(BEFORE)}) {_NAME}(?: {_NAME}){{0,4}}?(?=[,.;:)\r\n]| depuis|$| \()(?:, ?\d{{5}} [{LETTER}\-]+)?", re.IGNORECASE),
     # type, name, number: Calle del Olmo, n.º 3 / ul. Dluga 4 m. 5
-    "type_first": re.compile(rf"(?<![{LETTER}])(?:{_alt(BEFORE)}) ?(?:{_NAME}[ ]){{0,4}}?{_NAME},? ?(?:n\.?[º°o] ?|nr |№ ?|д\. ?|дом )?{_NUMBER}(?:/\d{{1,4}}| m\. ?\d{{1,4}}|,? кв\. ?\d{{1,4}}|,? корп\. ?\d{{1,3}}|,? \d{{1,2}}[.]?[ºª°o][.]?[ ]?(?:dcha\.|izq\.|dcha|izq|[A-Z])(?![{LETTER}])|, bajo){{0,3}}{_CITY}", re.IGNORECASE),
+    "type_first": re.compile(rf"(?<![{LETTER}])(?:{_alt(BEFORE)})(?:(?<=[./]) ?| )(?:{_NAME}[ ]){{0,4}}?{_NAME},? ?(?:n\.?[º°o] ?|nr |№ ?|д\. ?|дом )?{_NUMBER}(?:/\d{{1,4}}| m\. ?\d{{1,4}}|,? кв\. ?\d{{1,4}}|,? корп\. ?\d{{1,3}}|,? \d{{1,2}}[.]?[ºª°o][.]?[ ]?(?:dcha\.|izq\.|dcha|izq|[A-Z])(?![{LETTER}])|, bajo){{0,3}}{_CITY}", re.IGNORECASE),
     # name, type, number: Гончарная Слобода ул., д. 5
     "name_type": re.compile(rf"(?<![{LETTER}])(?:{_CAP} ){{1,3}}(?:{_alt(AFTER_RU)}),? ?(?:д\. ?|дом )?{_NUMBER}(?:/\d{{1,4}}|,? кв\. ?\d{{1,4}}|,? корп\. ?\d{{1,3}}){{0,2}}{_CITY}", re.IGNORECASE),
     # German: Obere Beispielgasse 7a / Am Alten Markt 3
@@ -159,16 +159,15 @@ def _context(text: str, s: int, e: int, kind: str) -> list[str]:
     return [f"{k}|l|{left[-1]}", f"{k}|ll|{left[-2]} {left[-1]}", f"{k}|r|{right[0]}", f"{k}|rr|{right[0]} {right[1]}", f"{k}|e|{edge}"]
 
 
-#: Calendar dates and host addresses are no candidates.
-PLAIN = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]\d\.[01]\d\.(?:19|20)\d\d|\d{1,3}(?:\.\d{1,3}){3}")
+#: Calendar dates, which may follow a number without a blank, and host addresses are no part of candidates.
+PLAIN = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d(?!\d)|[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
 
 
 def _numbers(text: str) -> Iterator[Segment]:
-    spans = {(m.start(), m.end()) for m in PHONE.finditer(text)} | {(m.start(), m.end()) for m in ID.finditer(text)}
+    masked = PLAIN.sub(lambda m: "\x00" * len(m.group()), text)
+    spans = {(m.start(), m.end()) for m in PHONE.finditer(masked)} | {(m.start(), m.end()) for m in ID.finditer(masked)}
     for s, e in sorted(spans):
         body = text[s:e]
-        if PLAIN.fullmatch(body):
-            continue
         digits = sum(c.isdigit() for c in body)
         if digits > 17 or digits < (3 if len(body) >= 8 and body.isalnum() else 6):
             continue
@@ -201,15 +200,15 @@ def _addresses(text: str, folded: str) -> Iterator[Segment]:
             body = m.group()
             if name in ("compound", "name_type"):  # the words before the street may belong to the sentence
                 starts += [m.start() + x.end() for x in re.finditer(" ", body) if len(body[: x.end()].split()) <= 2 and not body[x.end()].isdigit()]
-            for s in starts:
-                if (s, m.end()) in seen or m.end() - s > MAX_SPAN:
+            for s, e in [(s, e) for s in starts for e in ([m.end(), m.end() - 1] if body.endswith(".") else [m.end()])]:  # the stop may be the sentence's
+                if (s, e) in seen or e - s > MAX_SPAN:
                     continue
-                seen.add((s, m.end()))
-                part = text[s : m.end()]
+                seen.add((s, e))
+                part = text[s:e]
                 words = part.split()
-                f = ["ad|bias", f"ad|form|{name}", f"ad|words|{min(6, len(words))}", f"ad|first|{'9' if words[0][0].isdigit() else 'A' if words[0][:1].isupper() else 'a'}", f"ad|city|{bool(re.search(r', ?[0-9]{5} ', part))}", f"ad|cut|{s - m.start() > 0}"]
+                f = ["ad|bias", f"ad|form|{name}", f"ad|words|{min(6, len(words))}", f"ad|first|{'9' if words[0][0].isdigit() else 'A' if words[0][:1].isupper() else 'a'}", f"ad|city|{bool(re.search(r', ?[0-9]{5} ', part))}", f"ad|cut|{s - m.start() > 0}", f"ad|last|{words[-1][-4:].lower() if part.endswith('.') else '-'}"]
                 f.append(f"ad|form first|{name} {words[0].lower() if len(words[0]) < 9 and not words[0][0].isdigit() else '9' if words[0][0].isdigit() else 'w'}")
-                yield Segment(s, m.end(), "address", f + _context(text, s, m.end(), "address"))
+                yield Segment(s, e, "address", f + _context(text, s, e, "address"))
 
 
 def _shape(word: str) -> str:
@@ -294,7 +293,7 @@ def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: i
     lower = [i for i, x in enumerate(shapes) if x in "wi"]
     if lower:  # a name is not half in lower case, but for its particles; wholly, only where names stand
         follows = c + 1 < len(keys) and (keys[c + 1] in FOLLOWS or (keys[c + 1] in FOLLOWS_WITH and c + 2 < len(keys) and keys[c + 2] in FOLLOWS_WITH[keys[c + 1]]))
-        if len(lower) < len(shapes) or len(lower) > 3 or not (b in leads or follows or text[e : e + 1] == "\t" or MAIL_NEXT.match(text[e : e + 60])):
+        if len(lower) + shapes.count("p") < len(shapes) or len(lower) > 3 or not (b in leads or follows or text[e : e + 1] == "\t" or MAIL_NEXT.match(text[e : e + 60])):
             return None
     if shapes[0] == "p" and len(shapes) < 2:
         return None
