@@ -37,20 +37,30 @@ def number(df: DataFrame, order: str, name: str = "seq", block: int = BLOCK) ->
     return _numbered(df.filter(F.col(order).isNotNull()).withColumn(part, F.expr(f"`{order}` div {block}")), part, order, name)
 
 
+#: About so many texts are looked at to cut the order into ranges.
+BOUND_SAMPLE = 20_000
+
+
 def number_by_text(df: DataFrame, order: str, name: str = "seq", ranges: int = 256) -> DataFrame:
-    """As :func:`number`, by a unique text in the order of its UTF-8 bytes.
+    """As :func:`number`, by a unique text in the order of its UTF-8 bytes. Null texts are left out.
 
-    Rows are first counted by a short prefix of the text; the running totals of the prefixes (cut at ``ranges`` bounds, the
-    only thing that reaches the driver) split the order. Uneven ranges cost balance, not correctness.
+    A sample of bounded size, chosen by hash and so the same in every run, says where to cut the order into ranges; all
+    rows are then counted per range and ranked in theirs. Uneven ranges cost balance, not correctness.
     """
     df = df.filter(F.col(order).isNotNull())
-    prefix = df.groupBy(F.substring(order, 1, 24).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    running = prefix.withColumn("cell", F.floor(F.sum("n").over(Window.orderBy("p")) * ranges / F.lit(total + 1)))
-    cuts = [r["p"] for r in running.groupBy("cell").agg(F.min("p").alias("p")).orderBy("p").limit(ranges + 1).collect() if r["p"]]
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>"), lambda c: c <= F.col(order)))
+    every = max(1, df.count() // BOUND_SAMPLE)
+    sample = sorted((r[0] for r in df.filter(F.pmod(F.xxhash64(order), F.lit(every)) == 0).select(order).collect()), key=str.encode)
+    cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)} if sample else set(), key=str.encode)
+
+    def search(low: int, high: int) -> Column:
+        """How many cuts lie at or below the text, known to be in [low, high]."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(F.col(order) >= cuts[middle - 1], search(middle, high)).otherwise(search(low, middle - 1))
+
     part = free(df, "__range")
-    return _numbered(df.withColumn(part, at), part, order, name)
+    return _numbered(df.withColumn(part, search(0, len(cuts))), part, order, name)
 
 
 def window_dedupe(df: DataFrame, ident: Column, time: Column, row: Column, ttl: int) -> DataFrame:
