@@ -38,7 +38,7 @@ PHONE = re.compile(
     rf"(?<![{_EDGE}.@#/\-+])(?:\+ ?\d|\(\+?\d{{1,4}}\)|\d)(?:[ .\-/]?\d|[ .\-/]?\(\d{{1,4}}\)){{5,16}}(?: ?(?:ext\.?|x|#) ?\d{{1,5}})?(?![0-9a-zß-öø-ɏа-ӿ@]|[\-/.]\d)"
 )
 ID = re.compile(
-    rf"(?<![{_EDGE}.@#/\-+])(?:(?:(?-i:[A-Z]{{1,3}})[ \-]?|[A-Z]{{1,3}}-?)\d(?:[ .\-]?\d){{4,12}}(?:[ \-]?[A-Z])?|\d(?:[ .\-]?\d){{6,16}}(?:[ \-]?[A-Z])?|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|[A-Z]{{3}} \d{{6}}|\d{{4}} ?[№N#]\.? ?\d{{6}}|(?=[A-Z]*\d[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{{7,9}})(?![{_EDGE}@]|[\-/.][{_EDGE}])",
+    rf"(?<![{_EDGE}.@#/\-+])(?:(?:(?-i:[A-Z]{{1,3}})[ \-]?|[A-Z]{{1,3}}-?)\d(?:[ .]?\d){{4,12}}(?:[ \-]?[A-Z])?|\d(?:[ .\-]?\d){{6,16}}(?:[ \-]?[A-Z])?|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|[A-Z]{{3}} \d{{6}}|\d{{4}} ?[№N#]\.? ?\d{{6}}|(?=[A-Z]*\d[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{{7,9}})(?![{_EDGE}@]|[\-/.][{_EDGE}])",
     re.IGNORECASE,
 )
 
@@ -85,7 +85,7 @@ STREETS = {
 HINTS = {
     "number_first": tuple(f" {w}" for w in AFTER_EN), "number_type": tuple(f"{w} " for w in BEFORE), "type_first": tuple(f"{w}" if w in ("c/",) else f"{w} " for w in BEFORE) + tuple(w for w in BEFORE if w.endswith(".")),
     "name_type": tuple(f" {w}" for w in AFTER_RU), "compound": tuple(f"{w} " for w in SUFFIX_DE), "preposition": tuple(f"{w} " for w in ("am", "an der", "an den", "im", "in der", "in den", "zum", "zur", "auf der", "auf dem", "unter den", "hinter der", "hinter dem", "vor dem", "bei der")),
-    "blocks": ("丁目", "-"),
+    "blocks": tuple("市区町村郡"),
 }
 
 # Names ---------------------------------------------------------------------------------------------------------------
@@ -103,7 +103,7 @@ JA_BEFORE = ("担当:", "敬具 ", "敬具\n", "について", "連絡先:", "
 
 
 #: A person may stand right before these.
-NEXT = frozenset(("\t", "様", "氏", "に", "が"))
+NEXT = frozenset(("\t", "様", "氏", "に", "が", "さ"))
 MAIL_NEXT = re.compile(r" ?\([^()\n]{0,40}?(?:@| AT | at |\(at\)|\[at\])")
 #: What may stand between the words of a name.
 GAP = re.compile(r"\.? {0,3}|, ?")
@@ -190,10 +190,23 @@ def _emails(text: str, folded: str) -> Iterator[Segment]:
         yield Segment(m.start(), m.end(), "email", ["em|bias", f"em|style|{style}", f"em|dots|{min(3, body.count('.') + body.count('dot'))}", *_context(text, m.start(), m.end(), "email")])
 
 
+def _hinted(folded: str, hints: tuple[str, ...], number: bool) -> bool:
+    """Whether one of the hints occurs where a street's name (or number) may follow: not before a bracket."""
+    for hint in hints:
+        at = folded.find(hint)
+        while at >= 0:
+            after = folded[at + len(hint) : at + len(hint) + 1]
+            inside = not number and " " < hint[0] < "\u3000" and at > 0 and folded[at - 1].isalpha()  # the end of another word
+            if not inside and (after.isdigit() if number else after != "("):
+                return True
+            at = folded.find(hint, at + 1)
+    return False
+
+
 def _addresses(text: str, folded: str) -> Iterator[Segment]:
     seen = set()
     for name, pattern in STREETS.items():
-        if not any(hint in folded for hint in HINTS[name]):
+        if not _hinted(folded, HINTS[name], name == "compound"):
             continue
         for m in pattern.finditer(text):
             starts = [m.start()]
@@ -212,12 +225,11 @@ def _addresses(text: str, folded: str) -> Iterator[Segment]:
 
 
 def _shape(word: str) -> str:
-    if word.lower() in PARTICLES:
+    if len(word) < 4 and word.lower() in PARTICLES:
         return "p"
     if len(word) == 1:
         return "I" if word.isupper() else "i"
-    core = re.sub(r"['’\-]", "", word)
-    return "U" if core.isupper() and len(core) > 1 else "W" if word[0].isupper() else "w"
+    return "U" if word.isupper() else "W" if word[0].isupper() else "w"
 
 
 def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
@@ -231,7 +243,9 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
         for i, (s, e) in enumerate(words):
             key = keys[i]
             after = text[e : e + 2]
-            if key not in words_of_interest and "-" not in key and after[:1] not in NEXT and "(" not in after and not (s and (text[s - 1] > "\u3000" or text[s - 1] in ":\n" or text[max(0, s - 3) : s - 1] == "敬具")) and after[:1] != "さ":
+            prev = text[s - 1] if s else ""
+            ja = prev > "\u3000" or prev == ":" or (prev in " \n" and s > 1 and text[s - 2] == "具")
+            if key not in words_of_interest and not ja and after[:1] not in NEXT and "(" not in after and "-" not in key:
                 continue
             if key in lexicon.parts or ("-" in key and any(p in lexicon.parts for p in key.split("-"))):
                 anchors.add(i)
@@ -243,13 +257,14 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
                     leads.add(i + 2)
             if i and (key in FOLLOWS or (key in FOLLOWS_WITH and i + 1 < n and keys[i + 1] in FOLLOWS_WITH[key])):
                 anchors.add(i - 1)
-            if after[:1] in NEXT or after == "さん":
+            if after[:1] in NEXT:
                 anchors.add(i)
-            elif s and (text[s - 1] > "\u3000" or text[s - 1] == ":" or text[max(0, s - 3) : s - 1] == "敬具") and JA_LEAD.search(text[max(0, s - 4) : s]):
+            elif ja and JA_LEAD.search(text[max(0, s - 4) : s]):
                 anchors.add(i)
             elif "(" in after and MAIL_NEXT.match(text[e : e + 60]):
                 anchors.add(i)
         done: set[tuple[int, int]] = set()
+        shapes: dict[int, str] = {}
         for a in sorted(anchors):
             if a >= n:
                 continue
@@ -258,29 +273,56 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
                 low -= 1
             while high + 1 < n and high - a < MAX_WORDS - 1 and GAP.fullmatch(text, words[high][1], words[high + 1][0]):
                 high += 1
+            for i in range(low, high + 1):
+                if i not in shapes:
+                    shapes[i] = _shape(text[words[i][0] : words[i][1]])
+            if shapes[a] in "wi":  # only wholly in lower case, and then only where names stand
+                while low < a and shapes[low] not in "wip":
+                    low += 1
+                while high > a and shapes[high] not in "wip":
+                    high -= 1
+                if not any(i in leads for i in range(low, a + 1)) and not any(_lower_end(text, words, keys, i) for i in range(a, high + 1)):
+                    continue
             for b in range(low, a + 1):
                 for c in range(a, min(high + 1, b + MAX_WORDS)):
                     if (b, c) not in done:
                         done.add((b, c))
-                        seg = _name(text, words, keys, b, c, lexicon, leads)
+                        seg = _name(text, words, keys, b, c, lexicon, leads, shapes)
                         if seg:
                             yield seg
     yield from _kanji_names(text, lexicon)
 
 
-def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: int, lexicon: Lexicon, leads: set[int]) -> Segment | None:
-    shapes, gaps, known = [], [], []
+def _shape_at(text: str, words: list[tuple[int, int]], i: int, shape_of: dict[int, str]) -> str:
+    if i not in shape_of:
+        shape_of[i] = _shape(text[words[i][0] : words[i][1]])
+    return shape_of[i]
+
+
+def _lower_end(text: str, words: list[tuple[int, int]], keys: list[str], c: int) -> bool:
+    """Whether a name in lower case may end with word c: what comes behind speaks of a person."""
+    e = words[c][1]
+    follows = c + 1 < len(keys) and (keys[c + 1] in FOLLOWS or (keys[c + 1] in FOLLOWS_WITH and c + 2 < len(keys) and keys[c + 2] in FOLLOWS_WITH[keys[c + 1]]))
+    return follows or text[e : e + 1] == "\t" or MAIL_NEXT.match(text, e, e + 60) is not None
+
+
+def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: int, lexicon: Lexicon, leads: set[int], shape_of: dict[int, str]) -> Segment | None:
+    shapes = [shape_of[i] for i in range(b, c + 1)]
+    if shapes[-1] in "Ip" or (shapes[0] == "p" and c == b):
+        return None
+    lower = sum(x in "wi" for x in shapes)
+    if lower and (lower + shapes.count("p") < len(shapes) or lower > 3 or not (b in leads or _lower_end(text, words, keys, c))):
+        return None  # a name is not half in lower case, but for its particles; wholly, only where names stand
+    gaps, known = [], []
     for i in range(b, c + 1):
         s, e = words[i]
-        shape = _shape(text[s:e])
         if i > b:
-            gap = text[words[i - 1][1] : s]
-            if shapes[-1] in "Ii" and gap[:1] == ".":
+            gap, before = text[words[i - 1][1] : s], shapes[i - b - 1]
+            if before in "Ii" and gap[:1] == ".":
                 gap = gap[1:]
-            if not gap and shapes[-1] not in "Ii" or not re.fullmatch(r" {0,3}|, ?", gap) or (gap[:1] == "," and gaps.count(",")):
+            if (not gap and before not in "Ii") or gap.strip(" ,") or len(gap) > 3 or (gap[:1] == "," and ("," in gaps or len(gap) > 2)):
                 return None
             gaps.append("," if gap[:1] == "," else " ")
-        shapes.append(shape)
         kinds = lexicon.kinds(keys[i])
         if kinds == "-" and "-" in keys[i]:
             kinds = "h" + "/".join(sorted({lexicon.kinds(p) for p in keys[i].split("-")}))
@@ -288,22 +330,13 @@ def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: i
     s, e = words[b][0], words[c][1]
     if e - s > MAX_SPAN:
         return None
-    if shapes[-1] == "I" or shapes[-1] == "p":
-        return None
-    lower = [i for i, x in enumerate(shapes) if x in "wi"]
-    if lower:  # a name is not half in lower case, but for its particles; wholly, only where names stand
-        follows = c + 1 < len(keys) and (keys[c + 1] in FOLLOWS or (keys[c + 1] in FOLLOWS_WITH and c + 2 < len(keys) and keys[c + 2] in FOLLOWS_WITH[keys[c + 1]]))
-        if len(lower) + shapes.count("p") < len(shapes) or len(lower) > 3 or not (b in leads or follows or text[e : e + 1] == "\t" or MAIL_NEXT.match(text[e : e + 60])):
-            return None
-    if shapes[0] == "p" and len(shapes) < 2:
-        return None
     form = "".join(x if not i else ("," if gaps[i - 1] == "," else "") + x for i, x in enumerate(shapes))
     hits = sum(k != "-" and not k.startswith("h-") for k in known)
     order = " ".join(k if k in ("-", "given", "family") else "h" if k[0] == "h" else "b" for k in known)
     before = text[words[b - 1][1] : s] if b else "^"
     after = text[e : words[c + 1][0]] if c + 1 < len(words) else "$"
-    more_left = bool(b) and before in (" ", "  ") and _shape(text[words[b - 1][0] : words[b - 1][1]]) in "WU" and keys[b - 1] not in TITLES
-    more_right = c + 1 < len(words) and after in (" ", "  ") and _shape(text[words[c + 1][0] : words[c + 1][1]]) in "WU"
+    more_left = bool(b) and before in (" ", "  ") and _shape_at(text, words, b - 1, shape_of) in "WU" and keys[b - 1] not in TITLES
+    more_right = c + 1 < len(words) and after in (" ", "  ") and _shape_at(text, words, c + 1, shape_of) in "WU"
     title = bool(b) and keys[b - 1] in TITLES and before in (" ", ". ")
     mail = bool(MAIL_NEXT.match(text[e : e + 60]))
     first_is_title = keys[b] in TITLES
@@ -349,8 +382,11 @@ def _kanji_names(text: str, lexicon: Lexicon) -> Iterator[Segment]:
                 yield Segment(s, e, "person_name", f + _context(text, s, e, "person_name"))
 
 
+WIDE_CHARACTER = re.compile("[" + "".join(re.escape(chr(c)) for c in NARROW) + "]")
+
+
 def narrow(text: str) -> str:
-    return text.translate(NARROW)
+    return text.translate(NARROW) if not text.isascii() and WIDE_CHARACTER.search(text) else text
 
 
 def segments(text: str, lexicon: Lexicon) -> list[Segment]:
