@@ -29,7 +29,8 @@ def exact_bytes(key: Column) -> Column:
 
 
 def keyed(df: DataFrame, key: Column, order: Column) -> DataFrame:
-    return df.select(order.cast("long").alias("pos"), exact_bytes(key.cast("string")).alias("key")).filter("key IS NOT NULL")
+    """``pos`` and ``key`` (bytes) of the rows that have a key."""
+    return df.filter(key.isNotNull()).select(order.cast("long").alias("pos"), exact_bytes(key.cast("string")).alias("key"))
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
