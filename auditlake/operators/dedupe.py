@@ -41,14 +41,18 @@ def with_id(df: DataFrame, fields: Sequence[Column], required: Sequence[Column]
     return df.withColumn(ID, ident)
 
 
+def _first(df: DataFrame, order: Sequence[Column], ident: str) -> DataFrame:
+    rank = free(df, "__rank")
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(ident).orderBy(*order)))
+    return ranked.filter(F.col(rank) == 1).drop(rank)
+
+
 def keep_first(df: DataFrame, order: Sequence[Column], ident: str = ID) -> DataFrame:
     """The first row of each identifier by ``order`` (make it total: ties would be resolved arbitrarily).
 
     Rows without identifier are kept, all of them. Empty input gives no rows. Extra columns pass unchanged.
     """
-    rank = free(df, "__rank")
-    ranked = df.filter(F.col(ident).isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(ident).orderBy(*order)))
-    return ranked.filter(F.col(rank) == 1).drop(rank).unionByName(df.filter(F.col(ident).isNull()))
+    return _first(df.filter(F.col(ident).isNotNull()), order, ident).unionByName(df.filter(F.col(ident).isNull()))
 
 
 def dedupe_batch(batch: DataFrame, stored: DataFrame | None, order: Sequence[Column], ident: str = ID) -> tuple[DataFrame, DataFrame]:
@@ -62,12 +66,14 @@ def dedupe_batch(batch: DataFrame, stored: DataFrame | None, order: Sequence[Col
     return first, first.filter(F.col(ident).isNotNull()).select(ident)
 
 
-def copies(df: DataFrame, arrival: str, ident: str = ID, ties: Sequence[str] = ()) -> DataFrame:
+def copies(df: DataFrame, fields: Sequence[Column], required: Sequence[Column], arrival: str) -> DataFrame:
     """The rows that :func:`keep_first` leaves out, as their (unique) ``arrival`` numbers.
 
-    The kept rows are few columns wide; the rest is an anti-join on the arrival number, which is spread evenly whatever
-    the identifiers are.
+    Rows that lack a required field are nobody's copy. The kept rows are two columns wide; the rest is an anti-join on the
+    arrival number, which is spread evenly whatever the identifiers are.
     """
-    known = df.filter(F.col(ident).isNotNull()).select(ident, arrival, *ties)
-    kept = keep_first(known, [F.col(arrival), *map(F.col, ties)], ident)
-    return known.select(arrival).join(kept.select(arrival), arrival, "left_anti")
+    present = df
+    for c in required:
+        present = present.filter(c.isNotNull())
+    kept = _first(present.select(message_id(fields).alias(ID), arrival), [F.col(arrival)], ID)
+    return present.select(arrival).join(kept.select(arrival), arrival, "left_anti")

@@ -69,19 +69,19 @@ def p2_hours(spark: SparkSession, folder: str) -> DataFrame:
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "notifications")
+def _message() -> tuple[list, list]:
+    """The fields that identify a message, and those it must have."""
     must = [F.col("bucket"), F.col("object.key"), F.col("action"), F.col("event_time")]
-    return with_id(n, [F.col("bucket"), F.col("object.key"), F.col("action"), F.col("object.etag"), F.col("event_time")], must)
+    return [*must, F.col("object.etag")], must
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return copies(_deliveries(spark, folder), "delivery")
+    return copies(table(spark, folder, "notifications"), *_message(), "delivery")
 
 
 def p3_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Deliveries kept when the feed comes in two batches, the second judged against the identifiers stored by the first."""
-    rows = _deliveries(spark, folder).select(ID, "delivery")
+    rows = with_id(table(spark, folder, "notifications"), *_message()).select(ID, "delivery")
     middle = (rows.agg(F.max("delivery")).first()[0] or 0) // 2
     first, stored = dedupe_batch(rows.filter(F.col("delivery") <= middle), None, [F.col("delivery")])
     second, _ = dedupe_batch(rows.filter(F.col("delivery") > middle), stored, [F.col("delivery")])

@@ -15,7 +15,7 @@ def test_keep_and_copies(spark):
     rows = [("x", "1", 5, None), ("x", "1", 3, "q"), ("x", None, 4, None), ("x", None, 9, None), (None, "1", 1, None), (None, "1", 2, None), ("", "x1", 6, None), ("x1", "", 7, None)]
     df = ids(spark, rows)
     assert sorted(r["n"] for r in keep_first(df, [F.col("n")]).drop("x").collect()) == [1, 2, 3, 4, 6, 7]
-    assert sorted(r["n"] for r in copies(df, "n").collect()) == [5, 9]
+    assert sorted(r["n"] for r in copies(df, [F.col("a"), F.col("b")], [F.col("a")], "n").collect()) == [5, 9]
 
 
 def test_identifier_is_injective(spark):
@@ -33,7 +33,7 @@ def test_batches(spark):
 
 def test_empty(spark):
     df = ids(spark, [])
-    assert keep_first(df, [F.col("n")]).count() == 0 and copies(df, "n").count() == 0
+    assert keep_first(df, [F.col("n")]).count() == 0 and copies(df, [F.col("a")], [], "n").count() == 0
     assert dedupe_batch(df, df.select(ID), [F.col("n")])[0].count() == 0
 
 
