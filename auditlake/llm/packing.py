@@ -123,18 +123,20 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -
     for length, n in counts.items():
         sizes[int(np.searchsorted(edges, length))] += n
     segments, _ = plan(uppers, sizes, capacity)
-    shards = max(1, -(-sum(sizes) // SHARD_ROWS))
+    shards = [-(-n // SHARD_ROWS) for n in sizes]  # a large bucket's items are ranked side by side
 
     bucket = F.size(F.filter(F.array(*[F.lit(u).cast("long") for u in uppers]) if uppers else F.array().cast("array<bigint>"), lambda u: u < F.col("tokens")))
-    placed = items.filter("tokens > 0").withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
-    per = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))  # buckets x shards rows
+    placed = items.filter("tokens > 0").withColumn("bucket", bucket)
+    of = F.element_at(F.array(*map(F.lit, shards or [1])), F.col("bucket") + 1)
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), of))
+    per = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("bucket", "shard", offset.alias("offset"))
     local = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("row", "piece")) - 1
     ranked = placed.withColumn("local", local).join(per, ["bucket", "shard"]).withColumn("rank", F.col("local") + F.col("offset"))
     table = spark.createDataFrame([(s.bucket, s.start, s.base, s.slots) for s in segments], "bucket int, start long, base long, slots long")
     table = table.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("start", "base", "slots"))).alias("segments"))  # one row per bucket
-    found = ranked.join(table, "bucket").withColumn("s", F.element_at(F.filter("segments", lambda s: s["start"] <= F.col("rank")), -1))
+    found = ranked.join(F.broadcast(table), "bucket").withColumn("s", F.element_at(F.filter("segments", lambda s: s["start"] <= F.col("rank")), -1))
     container = (F.col("s.base") + F.floor((F.col("rank") - F.col("s.start")) / F.col("s.slots"))).cast("long")
     rest = items.filter("tokens IS NULL OR tokens <= 0").withColumn("container", F.when(F.col("tokens").isNotNull(), F.lit(0).cast("long")))
     return found.select("row", "piece", "first", "tokens", container.alias("container")).unionByName(rest)

@@ -79,6 +79,15 @@ def test_every_item_once_and_whole(spark, capacity, buckets):
         assert sum(held.values()) / (len(used) * capacity) > 0.95
 
 
+def test_ranks_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 50)
+    rows = packed(spark, [(i, 33 if i % 3 else i % 90 + 1) for i in range(2000)], capacity=100)
+    held = defaultdict(int)
+    for x in rows:
+        held[x["container"]] += x["tokens"]
+    assert len(rows) == 2000 and max(held.values()) <= 100 and sum(held.values()) / (100 * len(held)) > 0.97
+
+
 def test_nulls_empty_items_repeats_and_none(spark):
     rows = packed(spark, [(1, None), (2, 0), (3, 5), (3, 5), (None, 5)], capacity=10)
     got = sorted(((x["row"], x["tokens"], x["container"]) for x in rows), key=repr)
