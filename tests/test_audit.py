@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import audit as a
 from auditlake.operators.ranges import interval_join, nearest_rank
+from auditlake.plans import audit as plans
 
 NOW, GRACE = 1000, 100
 L, S = "key string, etag string, size long, uploaded long, kind string", "key string, etag string, size long, event_ms long, seq long, deleted boolean, kind string"
@@ -56,3 +57,10 @@ def test_nearest_rank(spark):
     df = spark.createDataFrame([("g", x) for x in [5, 1, 1, 9, None]] + [("h", 7), ("n", None)], "g string, x long")
     got = {r["g"]: (r["n"], r["min"], r["max"], r["mean"], r["median"], r["p95"]) for r in nearest_rank(df, ["g"], F.col("x"), {"median": 0.5, "p95": 0.95}).collect()}
     assert got == {"g": (4, 1, 9, 4.0, 1, 9), "h": (1, 7, 7, 7.0, 7, 7)}
+
+
+def test_fifty_scans_are_retained(spark, tmp_path):
+    rows = [(f"s{i:02}", 1000 + i + late) for i in range(60) for late in (0, 500)] + [("tie", 1010)]
+    spark.createDataFrame(rows, "scan_id string, observed_at long").write.parquet(f"{tmp_path}/scrub_observations.parquet")
+    got = sorted((r["scan_id"], r["started_at"]) for r in plans.retained_scans(spark, str(tmp_path)).collect())
+    assert got == sorted([(f"s{i:02}", 1000 + i) for i in range(11, 60)] + [("tie", 1010)])
