@@ -73,3 +73,33 @@ def order_violations(rows: DataFrame, position: str, key: str, block: int = 65_5
     edge = edge.withColumn("prev", F.lag("hi.key").over(Window.orderBy("b"))).select(F.col("lo.pos").alias("pos"), F.col("lo.key").alias("key"), "prev")
     bad = F.col("prev") >= F.col("key")
     return inner.filter(bad).select("pos", "prev", "key").unionByName(edge.filter(bad).select("pos", "prev", "key"))
+
+
+def verify_index(scans: DataFrame, index: DataFrame, log: DataFrame) -> DataFrame:
+    """Per scan, whether an index of findings agrees with the log: right scan, right type, as many as the end entry says.
+
+    ``scans``: scan_id, start_seq, end_seq (null: none yet), one row per scan. ``index``: scan_id, seq. ``log``: seq, entry
+    (JSON), without gaps. What lies behind the log's end is pending and fails nothing. A null, negative or repeated seq
+    fails, so no copy stands in for an omitted finding, and so does an index of a scan that is not in ``scans``.
+    ``signed`` is null while the end entry is not in the log: then findings could still be omitted.
+    """
+    entry = F.from_json(F.col("entry").cast("string"), "v long, type string, scanId string, phase string, findings long")
+    signed = log.select("seq", entry.alias("e")).filter("e.v = 1 AND e.type IN ('audit.finding', 'audit.scan')")
+    size = log.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("size"))
+    listed = index.groupBy("scan_id", "seq").agg(F.count(F.lit(1)).alias("n"))
+    ends = lambda c: scans.filter(F.col(c).isNotNull()).select("scan_id", F.col(c).alias("seq"), F.lit(1).cast("long").alias("n"), F.lit(c).alias("role"))
+    cited = listed.withColumn("role", F.lit("finding")).unionByName(ends("start_seq")).unionByName(ends("end_seq"))
+    cited = cited.join(signed, "seq", "left").crossJoin(F.broadcast(size))
+    is_scan = lambda phase: (F.col("e.type") == "audit.scan") & (F.col("e.phase") == phase)
+    kind = F.when(F.col("role") == "finding", F.col("e.type") == "audit.finding").when(F.col("role") == "start_seq", is_scan("start")).otherwise(is_scan("end") & F.col("e.findings").isNotNull())
+    cited = cited.withColumn("pending", F.coalesce(F.col("seq") >= F.col("size"), F.lit(False))).withColumn("right", F.coalesce((F.col("e.scanId") == F.col("scan_id")) & kind & (F.col("n") == 1), F.lit(False)))
+    finding = F.col("role") == "finding"
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    g = cited.groupBy("scan_id").agg(
+        total(finding).alias("listed"), total(finding & F.col("right")).alias("proven"), total(finding & F.col("pending")).alias("pending"),
+        total(~F.col("right") & (~F.col("pending") | (F.col("n") > 1))).alias("wrong"), F.max(F.when((F.col("role") == "end_seq") & F.col("right"), F.col("e.findings"))).alias("signed"),
+    )
+    both = scans.select("scan_id", F.lit(True).alias("known")).join(g, "scan_id", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    ok = F.coalesce(F.col("known"), F.lit(False)) & (F.coalesce("wrong", F.lit(0)) == 0) & F.coalesce(F.col("signed") == F.coalesce("listed", F.lit(0)), F.lit(True))
+    return both.select("scan_id", zero("listed"), zero("proven"), zero("pending"), zero("wrong"), "signed", ok.alias("ok"))

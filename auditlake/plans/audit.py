@@ -148,7 +148,11 @@ def retained_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """Per scan: whether the drift findings in its index are as many as its summary commits to."""
+    """Per scan: whether the drift findings in its index are as many as its summary commits to.
+
+    Both are counted from the observations; the tables hold no audit entries of a signed log. The check of an index against
+    a log (survey J12) is ``operators.audit.verify_index``.
+    """
     index = content_drift(spark, folder).groupBy("scan_id").agg(F.count(F.lit(1)).alias("indexed"))
     both = scan_summary(spark, folder).select("scan_id", "drift").join(index, "scan_id", "left").withColumn("indexed", F.coalesce("indexed", F.lit(0)))
     return both.select("scan_id", "drift", "indexed", (F.col("drift") == F.col("indexed")).alias("ok"))

@@ -64,3 +64,25 @@ def test_fifty_scans_are_retained(spark, tmp_path):
     spark.createDataFrame(rows, "scan_id string, observed_at long").write.parquet(f"{tmp_path}/scrub_observations.parquet")
     got = sorted((r["scan_id"], r["started_at"]) for r in plans.retained_scans(spark, str(tmp_path)).collect())
     assert got == sorted([(f"s{i:02}", 1000 + i) for i in range(11, 60)] + [("tie", 1010)])
+
+
+G12 = [*((i, '{"type":"object.event","v":1}') for i in range(20)), (20, '{"logSizeAtStart":20,"phase":"start","scanId":"s1","type":"audit.scan","v":1}'),
+       *((i, '{"key":"%s","kind":"MISSING_OBJECT","scanId":"s1","type":"audit.finding","v":1}' % k) for i, k in ((21, "a"), (22, "b"))), (23, '{"key":"c","type":"object.event","v":1}'),
+       (24, '{"findings":2,"objectsScanned":9,"phase":"end","scanId":"s1","type":"audit.scan","v":1}')]
+
+
+def test_index_of_findings_against_the_log(spark):
+    cases = {  # scan cited, start, end, index; proven, pending, signed, ok
+        "right": ("s1", 20, 24, [21, 22], 2, 0, 2, True), "omitted": ("s1", 20, 24, [21], 1, 0, 2, False), "all omitted": ("s1", 20, 24, [], 0, 0, 2, False),
+        "added": ("s1", 20, 24, [21, 22, 23], 2, 0, 2, False), "another scan": ("s2", 20, 24, [21, 22], 0, 0, None, False), "misplaced start": ("s1", 21, 24, [21, 22], 2, 0, 2, False),
+        "misplaced end": ("s1", 20, 23, [21, 22], 2, 0, None, False), "misplaced": ("s1", 20, 24, [21, 23], 1, 0, 2, False), "repeated": ("s1", 20, 24, [21, 21], 0, 0, 2, False),
+        "null": ("s1", 20, 24, [21, None], 1, 0, 2, False), "negative": ("s1", 20, 24, [21, -1], 1, 0, 2, False), "not ended": ("s1", 20, None, [21], 1, 0, None, True),
+        "pending": ("s1", 20, 99, [21, 30], 1, 1, None, True),
+    }
+    log = spark.createDataFrame(G12, "seq long, entry string")
+    for name, (scan, start, end, cited, *want) in cases.items():
+        scans = spark.createDataFrame([(scan, start, end)], "scan_id string, start_seq long, end_seq long")
+        r = a.verify_index(scans, spark.createDataFrame([(scan, x) for x in cited], "scan_id string, seq long"), log).collect()
+        assert [(x["proven"], x["pending"], x["signed"], x["ok"]) for x in r] == [tuple(want)], name
+    unknown = a.verify_index(scans.limit(0), spark.createDataFrame([("s1", 21)], "scan_id string, seq long"), log).collect()
+    assert [x["ok"] for x in unknown] == [False]
