@@ -247,7 +247,7 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
             ja = prev > "\u3000" or prev == ":" or (prev in " \n" and s > 1 and text[s - 2] == "具")
             if key not in words_of_interest and not ja and after[:1] not in NEXT and "(" not in after and "-" not in key:
                 continue
-            if key in lexicon.parts or ("-" in key and any(p in lexicon.parts for p in key.split("-"))):
+            if _listed(key, lexicon):
                 anchors.add(i)
             if key in TITLES or key in LEADS:
                 anchors.add(i + 1)
@@ -276,12 +276,12 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
             for i in range(low, high + 1):
                 if i not in shapes:
                     shapes[i] = _shape(text[words[i][0] : words[i][1]])
-            if shapes[a] in "wi":  # only wholly in lower case, and then only where names stand
+            if shapes[a] in "wi":  # only wholly in lower case, and then only where names stand or with a known part
                 while low < a and shapes[low] not in "wip":
                     low += 1
                 while high > a and shapes[high] not in "wip":
                     high -= 1
-                if not any(i in leads for i in range(low, a + 1)) and not any(_lower_end(text, words, keys, i) for i in range(a, high + 1)):
+                if not _listed(keys[a], lexicon) and not any(i in leads for i in range(low, a + 1)) and not any(_lower_end(text, words, keys, i) for i in range(a, high + 1)):
                     continue
             for b in range(low, a + 1):
                 for c in range(a, min(high + 1, b + MAX_WORDS)):
@@ -290,9 +290,43 @@ def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
                         seg = _name(text, words, keys, b, c, lexicon, leads, shapes)
                         if seg:
                             yield seg
+        for low, high in _capital_runs(text, words, shapes):
+            for b in range(low, high):
+                for c in range(b + 1, min(high + 1, b + MAX_WORDS)):
+                    if (b, c) not in done:
+                        seg = _name(text, words, keys, b, c, lexicon, leads, shapes)
+                        if seg:
+                            yield seg
     yield from _kanji_names(text, lexicon)
 
 
+def _listed(key: str, lexicon: Lexicon) -> bool:
+    return key in lexicon.parts or ("-" in key and any(p in lexicon.parts for p in key.split("-")))
+
+
+def _capital(text: str, at: int) -> bool:
+    """Whether the letter is a capital. Cyrillic UTF-8 read as a one-byte set begins with Ð or Ñ, whatever its case."""
+    after = text[at + 1 : at + 2]
+    if text[at] in "ÐÑ" and ("\x80" <= after <= "\xbf" or after > "\u2000"):
+        return text[at] == "Ð" and not "\xb0" <= after <= "\xbf"
+    return text[at].isupper()
+
+
+def _capital_runs(text: str, words: list[tuple[int, int]], shapes: dict[int, str]) -> Iterator[tuple[int, int]]:
+    """First and last word of every run of two or more words with a capital, particles between them included."""
+    low = 0
+    while low < len(words):
+        high = low
+        if _capital(text, words[low][0]):
+            while high + 1 < len(words) and GAP.fullmatch(text, words[high][1], words[high + 1][0]) and (_capital(text, words[high + 1][0]) or _shape_at(text, words, high + 1, shapes) == "p"):
+                high += 1
+            if high > low:
+                for i in range(low, high + 1):
+                    _shape_at(text, words, i, shapes)
+                yield low, high
+        low = high + 1
+
+
 def _shape_at(text: str, words: list[tuple[int, int]], i: int, shape_of: dict[int, str]) -> str:
     if i not in shape_of:
         shape_of[i] = _shape(text[words[i][0] : words[i][1]])
@@ -311,8 +345,8 @@ def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: i
     if shapes[-1] in "Ip" or (shapes[0] == "p" and c == b):
         return None
     lower = sum(x in "wi" for x in shapes)
-    if lower and (lower + shapes.count("p") < len(shapes) or lower > 3 or not (b in leads or _lower_end(text, words, keys, c))):
-        return None  # a name is not half in lower case, but for its particles; wholly, only where names stand
+    if lower and (lower + shapes.count("p") < len(shapes) or not (b in leads or _lower_end(text, words, keys, c) or (c > b and any(_listed(keys[i], lexicon) for i in range(b, c + 1))))):
+        return None  # a name is not half in lower case, but for its particles; wholly, only where names stand or with a known part
     gaps, known = [], []
     for i in range(b, c + 1):
         s, e = words[i]

@@ -135,3 +135,21 @@ def test_corpus_keeps_the_rest(spark, folder):
     touched = {r["doc_id"] for r in found}
     for r in queries.p8_redacted(spark, folder).collect():
         assert (r["text"] == texts[r["doc_id"]]) == (r["doc_id"] not in touched)
+
+
+@pytest.mark.parametrize("text,names", [
+    ("Yesterday Eskil Tessmond met the surveyor.", ["Eskil Tessmond", "Yesterday Eskil Tessmond"]),
+    ("The surveyor saw Eskil van der Tessmond there.", ["Eskil van der Tessmond"]),
+    ("Вчера Эскил Тессмонд видел мост.", ["Эскил Тессмонд"]),
+    ("the note of maribel olsen was lost", ["maribel olsen"]),
+    ("the note of maribel ana luz olsen was lost", ["maribel ana luz olsen"]),
+])
+def test_names_away_from_cues_are_proposed(text, names):
+    proposed = {text[s.start : s.end] for s in segments(text, Lexicon(list(ROWS))) if s.kind == "person_name"}
+    assert proposed >= set(names)
+
+
+def test_misread_cyrillic_is_not_all_capitals():
+    names = lambda t: {s.start for s in segments(t.encode().decode("latin-1"), Lexicon([])) if s.kind == "person_name"}
+    assert not names("где хранилище; Цена выросла до 7,50")
+    assert names("где Антон Борин был") and any(s.kind == "person_name" for s in segments("Ðórunn Ñandú kom", Lexicon([])))
