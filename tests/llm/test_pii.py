@@ -153,3 +153,9 @@ def test_misread_cyrillic_is_not_all_capitals():
     names = lambda t: {s.start for s in segments(t.encode().decode("latin-1"), Lexicon([])) if s.kind == "person_name"}
     assert not names("где хранилище; Цена выросла до 7,50")
     assert names("где Антон Борин был") and any(s.kind == "person_name" for s in segments("Ðórunn Ñandú kom", Lexicon([])))
+
+
+@pytest.mark.parametrize("number", ["AB-123-456-7", "X-12-34-567", "AB 123-456-7", "ORD-2024-123456"])
+def test_numbers_with_a_prefix_and_hyphens_are_proposed(number):
+    text = f"ID: {number}; status: open"
+    assert number in {text[s.start : s.end] for s in segments(text, Lexicon([])) if s.kind == "id_number"}
