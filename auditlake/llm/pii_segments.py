@@ -159,8 +159,14 @@ def _context(text: str, s: int, e: int, kind: str) -> list[str]:
     return [f"{k}|l|{left[-1]}", f"{k}|ll|{left[-2]} {left[-1]}", f"{k}|r|{right[0]}", f"{k}|rr|{right[0]} {right[1]}", f"{k}|e|{edge}"]
 
 
-#: Calendar dates, which may follow a number without a blank, and host addresses are no part of candidates.
-PLAIN = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d(?!\d)|[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\d)|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
+#: Calendar dates, which may follow a number without a blank, are no part of candidates.
+PLAIN = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d(?!\d)|[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\d)")
+#: Four dotted numbers may be a host's address, if they are at most 255; that is a feature.
+QUAD = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+
+
+def _quad(body: str) -> str:
+    return "-" if not QUAD.fullmatch(body) else "host" if all(int(x) < 256 for x in body.split(".")) else "other"
 
 
 def _numbers(text: str) -> Iterator[Segment]:
@@ -173,10 +179,11 @@ def _numbers(text: str) -> Iterator[Segment]:
             continue
         sig = _signature(body)
         row = "t" * (s > 0 and text[s - 1] == "\t") + "t" * (e < len(text) and text[e] == "\t")
+        quad = _quad(body)
         start = re.match(r"\+\d|\(?00|\(\+?\d|0|[A-Za-z]+|\d", body).group()
         for kind in ("phone", "id_number"):
             k = kind[:2]
-            yield Segment(s, e, kind, [f"{k}|bias", f"{k}|sig|{sig}", f"{k}|n|{digits}", f"{k}|start|{start}", f"{k}|row|{row}", f"{k}|alpha|{bool(re.search('[A-Za-z]', body))}", *_context(text, s, e, kind)])
+            yield Segment(s, e, kind, [f"{k}|bias", f"{k}|sig|{sig}", f"{k}|n|{digits}", f"{k}|start|{start}", f"{k}|row|{row}", f"{k}|alpha|{bool(re.search('[A-Za-z]', body))}", f"{k}|quad|{quad}", *_context(text, s, e, kind)])
 
 
 def _emails(text: str, folded: str) -> Iterator[Segment]:

@@ -159,3 +159,12 @@ def test_misread_cyrillic_is_not_all_capitals():
 def test_numbers_with_a_prefix_and_hyphens_are_proposed(number):
     text = f"ID: {number}; status: open"
     assert number in {text[s.start : s.end] for s in segments(text, Lexicon([])) if s.kind == "id_number"}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Call 22.999.99.99 before noon.", ["22.999.99.99"]), ("My number is 900.10.20.30, or try later.", ["900.10.20.30"]), ("Call 22.33.44.55 before noon.", ["22.33.44.55"]),
+    ("Reply from host 192.0.2.17 took 5 ms.", []), ("The packets from 203.0.113.254 were lost.", []),
+])
+def test_four_dotted_numbers(model, text, want):
+    m, lexicon = model
+    assert [text[s:e] for s, e, _ in pii.entities(text, lexicon, m)] == want
