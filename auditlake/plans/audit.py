@@ -17,6 +17,8 @@ PREFIX, SCAN, RATE, PAGE, PER_PAGE, MAX_SCRUB = "legal/", "scan-2026-05-06", 0.2
 REPORT, RETAIN_SCANS, BATCH, INTERVAL_MS = 10_000, 2, 500, 5000
 #: Scans that are kept, as in the reference. RETAIN_SCANS is what the SQL of retained_scans still says.
 KEEP_SCANS = 50
+#: The reference's default for the largest object that is scrubbed; MAX_SCRUB is the query's.
+SCRUB_BYTES = 104_857_600
 
 
 def _state(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,10 +84,13 @@ def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return v.listing(spark, folder).filter(sampled(F.lit(SCAN), F.col("key"), RATE)).select("key")
 
 
-def scrub_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each page of the listing, in key order, the first objects that are sampled and small enough."""
+def scrub_sample(spark: SparkSession, folder: str, max_bytes: int = MAX_SCRUB) -> DataFrame:
+    """Of each page of the listing, in key order, the first objects that are sampled and small enough.
+
+    Larger objects are never chosen. The query and its SQL stop at 1,000,000 bytes; the reference's setting is SCRUB_BYTES.
+    """
     pages = number_by_text(v.listing(spark, folder).select("key", "size"), "key", "pos").withColumn("page", F.expr(f"pos div {PAGE}"))
-    chosen = pages.filter((F.col("size") <= MAX_SCRUB) & sampled(F.lit(SCAN), F.col("key"), RATE))
+    chosen = pages.filter((F.col("size") <= max_bytes) & sampled(F.lit(SCAN), F.col("key"), RATE))
     n = F.row_number().over(Window.partitionBy("page").orderBy("key"))
     return chosen.withColumn("n", n).filter(F.col("n") <= PER_PAGE).select("page", "key")
 
