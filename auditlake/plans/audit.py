@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditlake.errors import NotVerifiable
 from auditlake.functions.text import sampled
 from auditlake.operators import audit as a
 from auditlake.operators.ranges import interval_join, nearest_rank
@@ -166,16 +169,37 @@ def verify_findings(spark: SparkSession, folder: str) -> DataFrame:
 # Monitoring ---------------------------------------------------------------------------------------------------------
 
 
-def watch_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    """Under a prefix, in log order: every deletion, and every write on a key that was live. Liveness follows from the entry before."""
-    rows = v.object_log(spark, folder).filter(F.startswith("key", F.lit(PREFIX)))
+def watch_blinded(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the entries whose key is blinded, which no prefix can be matched against, and all entries."""
+    return v.object_log(spark, folder).agg(F.count("key_hmac").alias("blinded"), F.count(F.lit(1)).alias("entries"))
+
+
+def _watched(spark: SparkSession, folder: str, strict: bool) -> DataFrame:
+    """The entries under the prefix. Blinded ones may be under it too: they are reported in a warning, or refused if ``strict``."""
+    seen = watch_blinded(spark, folder).first()
+    if seen["blinded"]:
+        message = f"{seen['blinded']} of {seen['entries']} entries have blinded keys and cannot be watched"
+        if strict:
+            raise NotVerifiable(message)
+        warnings.warn(message, stacklevel=3)
+    return v.object_log(spark, folder).filter(F.startswith("key", F.lit(PREFIX)))
+
+
+def watch_alerts(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """Under a prefix, in log order: every deletion, and every write on a key that was live. Liveness follows from the entry before.
+
+    Entries with blinded keys are not watched, so the answer is not whole where there are any: their number is in a warning
+    and in ``watch_blinded``. The reference stops on the first; so does ``strict``, with NotVerifiable.
+    """
+    rows = _watched(spark, folder, strict)
     before = F.lag(~F.col("deleted"), 1, False).over(Window.partitionBy("key").orderBy("seq"))
     rows = rows.withColumn("live", before)
     return rows.withColumn("alert", F.when(F.col("deleted"), "delete").when(F.col("live"), "overwrite")).filter("alert IS NOT NULL").select("seq", "key", "alert")
 
 
-def watch_live(spark: SparkSession, folder: str) -> DataFrame:
-    last = v.object_log(spark, folder).filter(F.startswith("key", F.lit(PREFIX))).groupBy("key").agg(F.max_by("deleted", "seq").alias("deleted"), F.max("seq").alias("seq"))
+def watch_live(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """The live keys under a prefix and their last entries; blinded keys as in ``watch_alerts``."""
+    last = _watched(spark, folder, strict).groupBy("key").agg(F.max_by("deleted", "seq").alias("deleted"), F.max("seq").alias("seq"))
     return last.filter("NOT deleted").select("key", "seq")
 
 
@@ -245,7 +269,7 @@ def amplification(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     reconcile_findings, findings_by_kind, reconcile_page, listing_page, order_violations, confirm_findings, due_candidates, backfill_snapshots, hash_sample, scrub_sample, scrub_sha256, content_drift,
-    scan_progress, scan_summary, scan_report, findings_page, latest_scan, retained_scans, retained_findings, verify_findings, watch_alerts, watch_live, rollback_detect, publication_due, publication_plan,
+    scan_progress, scan_summary, scan_report, findings_page, latest_scan, retained_scans, retained_findings, verify_findings, watch_alerts, watch_live, watch_blinded, rollback_detect, publication_due, publication_plan,
     growth_rate, latency_summary, visibility_latency, amplification,
 )}
 
@@ -295,6 +319,7 @@ SQL = {
     "verify_findings": f"WITH {_SUMMARY} SELECT scan_id, drift, drift AS indexed, true AS ok FROM summary",
     "watch_alerts": f"WITH {v.OBJECT_LOG} SELECT seq, key, alert FROM (SELECT seq, key, CASE WHEN deleted THEN 'delete' WHEN lag(NOT deleted, 1, false) OVER (PARTITION BY key ORDER BY seq) THEN 'overwrite' END AS alert FROM object_log WHERE starts_with(key, '{PREFIX}')) WHERE alert IS NOT NULL",
     "watch_live": f"WITH {v.OBJECT_LOG} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM object_log WHERE starts_with(key, '{PREFIX}')) WHERE rn = 1 AND NOT deleted",
+    "watch_blinded": f"WITH {v.OBJECT_LOG} SELECT count(key_hmac) AS blinded, count(*) AS entries FROM object_log",
     "rollback_detect": """WITH p AS (SELECT user_id AS observer, event_id AS poll, event_id // 10 - CASE WHEN event_id % 97 = 0 THEN 60 ELSE 0 END AS size, md5(cast(event_id // 10 + CASE WHEN event_id % 89 = 0 THEN 1 ELSE 0 END AS varchar)) AS root FROM events),
   w AS (SELECT *, lag(size) OVER x AS p_size, lag(root) OVER x AS p_root FROM p WINDOW x AS (PARTITION BY observer ORDER BY poll))
   SELECT observer, poll, CASE WHEN size < p_size THEN 'rollback' ELSE 'split view' END AS kind FROM w WHERE size < p_size OR (size = p_size AND root <> p_root)""",

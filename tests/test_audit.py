@@ -1,5 +1,9 @@
+import warnings
+
+import pytest
 from pyspark.sql import functions as F
 
+from auditlake.errors import NotVerifiable
 from auditlake.operators import audit as a
 from auditlake.operators.ranges import interval_join, nearest_rank
 from auditlake.plans import audit as plans
@@ -94,3 +98,19 @@ def test_scrub_sample_takes_a_size_bound(spark, tmp_path):
     spark.createDataFrame(rows, "key string, scan_id string, observed_at long, uploaded long, etag string, size long").write.parquet(f"{tmp_path}/scrub_observations.parquet")
     chosen = lambda **x: {sizes[int(r["key"][1:]) % 5] for r in plans.scrub_sample(spark, str(tmp_path), **x).collect()}
     assert chosen(max_bytes=plans.SCRUB_BYTES) - chosen() and max(chosen(max_bytes=plans.SCRUB_BYTES)) <= plans.SCRUB_BYTES and max(chosen()) <= plans.MAX_SCRUB
+
+
+@pytest.mark.parametrize("query", [plans.watch_alerts, plans.watch_live])
+def test_blinded_entries_are_reported(spark, tmp_path, query):
+    row = lambda seq, key, hmac: (seq, "PutObject", key, hmac, "e", 1, "2026-01-01T00:00:00Z", "2026-01-01T00:00:00Z")
+    schema = "seq long, action string, key string, key_hmac string, etag string, size long, event_time string, ingested_at string"
+    for name, rows in (("plain", [row(0, "legal/a", None), row(1, "legal/a", None)]), ("blinded", [row(0, "legal/a", None), row(1, None, "ab"), row(2, "legal/a", None)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/object_events.parquet")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert query(spark, f"{tmp_path}/plain", strict=True).count() == 1
+    with pytest.warns(UserWarning, match="1 of 3 entries have blinded keys"):
+        assert query(spark, f"{tmp_path}/blinded").count() == 1
+    with pytest.raises(NotVerifiable, match="1 of 3"):
+        query(spark, f"{tmp_path}/blinded", strict=True)
+    assert tuple(plans.watch_blinded(spark, f"{tmp_path}/blinded").first()) == (1, 3)
