@@ -1,259 +1,294 @@
-"""Labelled sentences for training the model of personal data: made up here, from a seed, around the given name parts.
+"""Labelled sentences for training the model of personal data: made up here, from a seed, in seven languages.
 
-Names are drawn from the lexicon and, as often, invented, so that the model learns to trust the context and the form of a
-name and not the lexicon alone. Sentences without personal data hold the numbers and names of other kinds that texts are
-full of: versions, orders, hashes, hosts, prices, dates, handles, products and companies.
+Frames, name parts and decoys were written for this module out of general knowledge of the languages, not out of any corpus the
+model is applied to. Names are drawn from the given lexicon, from common names and from invented syllables, so that the model
+learns to trust the form and the context of a name and not a list alone. Sentences without personal data hold the numbers and
+names of other kinds that texts are full of: versions, orders, hashes, hosts, prices, dates, companies, places and titles.
+Frames and name parts can be split, so that accuracy is measured on some that training has not seen.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Callable
 
 from auditlake.llm.pii_segments import KINDS, Lexicon
 
 LANGUAGES = ("en", "de", "fr", "es", "pl", "ru", "ja")
+#: One of so many frames and name parts is left out of training when accuracy is measured.
+FOLDS = 5
 
-#: Sentences by language. {kind} marks an item; other fields are filled with what is no personal data.
+#: Frames by language; {kind} marks an item, other fields are filled with what is no personal data.
 WITH = {
-    "en": [
-        "Write to {email} about the {noun}.", "Copies went to {email}, {email}; the {noun} stayed.", "{firm} support <{email}>", "Call {phone} before {date}.", "tel:{phone}, ask for the {noun}",
-        "My number is {phone}, or try {phone}.", "ID: {id_number}; status: {adj}", "The passport {id_number} and the {noun} did not match.", "Identity no. {id_number} was shown at the {noun}.",
-        "I have lived at {address} since {date}.", "Deliver the {noun} to {address}.", "{title}{person_name} signed the {noun} on {date}.", "I asked {person_name} about the {adj} {noun}.",
-        "Contact: {person_name}, {firm}.", "Kind regards, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}) lives at {address}.", "{person_name}\t{id_number}\t{phone}",
-    ],
-    "de": [
-        "Schreiben Sie wegen {noun} an {email}.", "Kopien an {email}, {email}; hier blieb: {noun}.", "{firm} Hilfe <{email}>", "Rufen Sie vor dem {date} an: {phone}.", "Tel.: {phone} (Stichwort {noun})",
-        "Meine Nummer ist {phone}, sonst {phone}.", "ID: {id_number}; Stand: {adj}", "Der Pass {id_number} passte nicht dazu ({noun}).", "Ausweisnummer {id_number} lag vor ({noun}).",
-        "Seit dem {date} wohne ich hier: {address}.", "Lieferung ({noun}) an: {address}.", "{title}{person_name} hat am {date} unterschrieben ({noun}).", "Ich fragte {person_name} danach ({noun}, {adj}).",
-        "Kontakt: {person_name}, {firm}.", "Mit freundlichen Grüßen, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}) wohnt: {address}.", "{person_name}\t{id_number}\t{phone}",
-    ],
-    "fr": [
-        "Écrivez à {email} au sujet de : {noun}.", "Copies à {email}, {email} ; reste : {noun}.", "Aide {firm} <{email}>", "Appelez le {phone} avant le {date}.", "Tél. {phone}, objet : {noun}",
-        "Mon numéro est le {phone}, sinon {phone}.", "ID : {id_number} ; état : {adj}", "Le passeport {id_number} ne correspondait pas ({noun}).", "Numéro d’identité {id_number} présenté ({noun}).",
-        "J’habite au {address} depuis le {date}.", "Livraison ({noun}) : {address}.", "{title}{person_name} a signé le {date} ({noun}).", "J’ai demandé à {person_name} ({noun}, {adj}).",
-        "Contact : {person_name}, {firm}.", "Cordialement, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}) habite au {address}.", "{person_name}\t{id_number}\t{phone}",
-    ],
-    "es": [
-        "Escriba a {email} sobre: {noun}.", "Copias a {email}, {email}; queda: {noun}.", "Ayuda {firm} <{email}>", "Llame al {phone} antes del {date}.", "Tfno.: {phone}, asunto: {noun}",
-        "Mi número es {phone}, o bien {phone}.", "ID: {id_number}; estado: {adj}", "El pasaporte {id_number} no coincidía ({noun}).", "Documento de identidad {id_number} mostrado ({noun}).",
-        "Vivo en {address} desde el {date}.", "Entrega ({noun}) en {address}.", "{title}{person_name} firmó el {date} ({noun}).", "Le pregunté a {person_name} ({noun}, {adj}).",
-        "Contacto: {person_name}, {firm}.", "Saludos, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}) vive en {address}.", "{person_name}\t{id_number}\t{phone}",
-    ],
-    "pl": [
-        "Pisz na {email} w sprawie: {noun}.", "Kopie do {email}, {email}; zostaje: {noun}.", "Pomoc {firm} <{email}>", "Dzwoń: {phone}, przed {date}.", "tel. {phone}, hasło: {noun}",
-        "Mój numer to {phone} albo {phone}.", "ID: {id_number}; stan: {adj}", "Paszport {id_number} nie pasował ({noun}).", "Numer dowodu {id_number} okazano ({noun}).",
-        "Od {date} mieszkam pod adresem {address}.", "Dostawa ({noun}): {address}.", "{title}{person_name} podpisał(a) dnia {date} ({noun}).", "Zapytano: {person_name} ({noun}, {adj}).",
-        "Kontakt: {person_name}, {firm}.", "Z poważaniem, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}), adres: {address}.", "{person_name}\t{id_number}\t{phone}",
-    ],
-    "ru": [
-        "Пишите на {email}: {noun}.", "Копии: {email}, {email}; остаётся {noun}.", "Помощь {firm} <{email}>", "Звоните {phone} до {date}.", "тел. {phone}, {noun}",
-        "Мой номер {phone} или {phone}.", "ID: {id_number}; статус: {adj}", "Паспорт {id_number} не совпал ({noun}).", "Удостоверение {id_number} предъявлено ({noun}).",
-        "С {date} живу по адресу {address}.", "Доставка ({noun}): {address}.", "{title}{person_name} подписал(а) {date} ({noun}).", "Спросили: {person_name} ({noun}, {adj}).",
-        "Контакт: {person_name}, {firm}.", "С уважением, {person_name}\n{address}\n{email}", "{title}{person_name} ({email}, {phone}), адрес: {address}.", "{person_name}\t{id_number}\t{phone}",
-    ],
-    "ja": [
-        "{noun}については {email} まで。", "写しは {email}, {email} へ、{noun}は残る。", "{firm}窓口 <{email}>", "{date}までに{phone}へ電話。", "電話：{phone}（{noun}）", "番号は{phone}か{phone}です。",
-        "ID：{id_number}、状態：{adj}", "旅券{id_number}は{noun}と合わなかった。", "身分番号{id_number}を提示（{noun}）。", "{date}から{address}に住む。", "{noun}の届け先は{address}。",
-        "{date}、{person_name}{suffix}が署名した({noun})。", "{adj}{noun}について{person_name}に尋ねた。", "担当：{person_name}、{firm}。", "敬具 {person_name}\n{address}\n{email}",
-        "{person_name}{suffix}({email}、{phone})の住所は{address}。", "{person_name}\t{id_number}\t{phone}",
-    ],
+    "en": r"""Yesterday {person_name} joined our team.|Our new manager, {person_name}, starts on {day}.|We met {person_name} and {person_name} at lunch.|approved by {person_name}|{person_name} said the {noun} was late.
+The report was written by {title}{person_name} in {year}.|According to {person_name}, nothing has changed.|Please forward this to {person_name} at {org}.|{person_name} will present the {noun} next week.|Dear {title}{person_name},
+Thanks, {person_name}|Best wishes\n{person_name}\n{org}|{person_name} ({email})|From: {person_name} <{email}>|Speaker: {person_name}, {org}|Last year {person_name} moved to {place}.|A letter from {person_name} arrived {day}.|{title}{person_name} and her {noun} left early.
+Did {person_name} ever reply?|{person_name}; {phone}; {email}|I spoke with {person_name} about the {noun}.|Is {title}{person_name} in the office?|The {noun} belongs to {person_name}.|name,{person_name},{phone}|{person_name}'s {noun} is broken.|Then {person_name} called.
+Please ring {phone} tomorrow.|Call me at {phone}.|Call us: {phone}|Call {phone} or {phone}.|Call {phone} after {day}.|If in doubt, call {phone}.|Phone: {phone}|You can reach us on {phone} until noon.|mobile {phone}, fax {phone}|Text {phone} to confirm.|If it rains, dial {phone}.|Office {phone} / home {phone}|Passport number {id_number}|Her passport no. {id_number} has expired.
+SSN {id_number}|National insurance: {id_number}.|We recorded identity card {id_number} for the visitor.|id {id_number} verified|Tax number {id_number} is missing from the form.|Driving licence {id_number} was returned.|Send parcels to {address}, please.|Our office is at {address}.
+She moved to {address} last spring.|Address: {address}|The house at {address} was sold.|Meet me outside {address} at noon.|{person_name}\n{address}|{id_number}\t{person_name}\t{email}|{n}\t{person_name}\t{phone}\t{place}|{phone}\t{email}|{person_name}\t{address}\t{date}|{person_name}\t{phone}\t{n}|{org}\t{id_number}|Signed: {person_name}|Sincerely yours, {person_name}|{person_name} lives in {place} and works for {org}.|Ask {person_name}, {org}.|Mail {email} for details.|e-mail: {email}|Reach out at {email} or {email}.|Forward the {noun} to {email}, thanks.|({email})""",
+    "de": r"""Gestern traf ich {person_name} im Büro.|Unsere neue Leiterin, {person_name}, beginnt am {day}.|{person_name} und {person_name} kommen später.|genehmigt von {person_name}|{person_name} sagte, das reicht.|Sehr geehrter {title}{person_name},
+Laut {person_name} bleibt alles beim Alten.|Bitte leiten Sie das an {person_name} weiter.|Der Bericht stammt von {title}{person_name}.|Viele Grüße\n{person_name}\n{org}|{person_name} ({email})|Von: {person_name} <{email}>|Im letzten Jahr zog {person_name} nach {place}.
+Hat {person_name} schon geantwortet?|{person_name}; {phone}; {email}|Wir sprachen mit {title}{person_name} über {noun}.|Dann rief {person_name} zurück.|Ist {title}{person_name} zu sprechen?|Name: {person_name}, {org}|Mein Kollege {person_name} hilft gern.|Auch {person_name} war dabei.
+Sie erreichen uns unter {phone} bis mittags.|Telefon: {phone}|mobil {phone}, Fax {phone}|Bitte wählen Sie {phone}.|Rückruf erbeten: {phone}|Reisepass Nr. {id_number} ist abgelaufen.|Personalausweis: {id_number}|Steuernummer {id_number} fehlt.|Die Kennung {id_number} wurde geprüft.|Versicherungsnummer {id_number}
+Unser Büro ist in der {address}.|Adresse: {address}|Sie zog in die {address} um.|Das Haus {address} wurde verkauft.|{person_name}\n{address}|Treffpunkt: {address}, um zehn.|{id_number}\t{person_name}\t{email}|{person_name}\t{phone}\t{n}|Gezeichnet: {person_name}|Hochachtungsvoll, {person_name}|{person_name} wohnt in {place}.|Fragen Sie {person_name}, {org}.|Mail an {email} genügt.|E-Mail: {email}|Fragen gern an {email} oder {email}.|({email})""",
+    "fr": r"""Notre collègue {person_name} arrive demain.|Hier, {person_name} a rejoint l'équipe.|{person_name} et {person_name} seront là.|approuvé par {person_name}|{person_name} pense que non.|Cher {title}{person_name},|Selon {person_name}, rien ne change.|Merci de transmettre à {title}{person_name}.
+Le rapport a été rédigé par {person_name}.|Bien à vous\n{person_name}\n{org}|{person_name} ({email})|De : {person_name} <{email}>|L'an dernier, {person_name} est parti à {place}.|Est-ce que {person_name} a répondu ?|{person_name} ; {phone} ; {email}|J'ai vu {title}{person_name} hier soir.
+Ensuite {person_name} a rappelé.|Nom : {person_name}, {org}|La lettre de {person_name} est là.|Aussi bien que {person_name}, je crois.|Joignez-nous au {phone} le matin.|Téléphone : {phone}|portable {phone}, fax {phone}|Composez le {phone} en cas de pluie.|Rappel au {phone}
+Passeport n° {id_number} périmé.|Carte d'identité : {id_number}|Numéro de sécurité sociale {id_number}.|Le numéro fiscal {id_number} manque.|Pièce {id_number} vérifiée|Nos bureaux sont au {address}.|Adresse : {address}|Elle a déménagé au {address}.|La maison du {address} est vendue.|{person_name}\n{address}
+Rendez-vous devant le {address} à midi.|{id_number}\t{person_name}\t{email}|{person_name}\t{phone}\t{n}|Signé : {person_name}|Sincèrement, {person_name}|{person_name} habite à {place}.|Demandez à {person_name}, {org}.|Écrire à {email} suffit.|Courriel : {email}|Posez vos questions à {email} ou {email}.|({email})""",
+    "es": r"""Ayer {person_name} se unió al equipo.|Nuestra jefa, {person_name}, empieza el {day}.|{person_name} y {person_name} vendrán luego.|aprobado por {person_name}|{person_name} dijo que no.|Estimado {title}{person_name}:|Según {person_name}, todo sigue igual.|Por favor reenvíe esto a {title}{person_name}.
+El informe lo escribió {person_name}.|Un abrazo\n{person_name}\n{org}|{person_name} ({email})|De: {person_name} <{email}>|El año pasado {person_name} se mudó a {place}.|¿Ha contestado {person_name}?|{person_name}; {phone}; {email}|Hablé con {title}{person_name} sobre {noun}.
+Luego {person_name} llamó.|Nombre: {person_name}, {org}|La carta de {person_name} ya llegó.|También estuvo {person_name} allí.|Nos encontrará en el {phone} por la mañana.|Teléfono: {phone}|móvil {phone}, fax {phone}|Marque el {phone} si llueve.|Devolver llamada al {phone}
+Pasaporte n.º {id_number} caducado.|DNI: {id_number}|Número de la seguridad social {id_number}.|Falta el NIF {id_number} en el impreso.|Carné {id_number} verificado|Nuestra oficina está en {address}.|Dirección: {address}|Se mudó a {address}.|La casa de {address} se vendió.|{person_name}\n{address}
+Quedamos delante de {address} a las diez.|{id_number}\t{person_name}\t{email}|{person_name}\t{phone}\t{n}|Fdo.: {person_name}|Atentamente, {person_name}|{person_name} vive en {place}.|Pregunte a {person_name}, {org}.|Basta un mensaje a {email}.|Correo: {email}|Dudas a {email} o {email}.|({email})""",
+    "pl": r"""Wczoraj {person_name} dołączył do zespołu.|Nasza nowa szefowa, {person_name}, zaczyna w {day}.|{person_name} i {person_name} przyjdą później.|zatwierdził {person_name}|{person_name} mówi, że nie.|Szanowny {title}{person_name},|Według {person_name} nic się nie zmienia.|Proszę przekazać to {title}{person_name}.
+Raport napisał {person_name}.|Pozdrowienia\n{person_name}\n{org}|{person_name} ({email})|Od: {person_name} <{email}>|W zeszłym roku {person_name} wyjechał do {place}.|Czy {person_name} odpisał?|{person_name}; {phone}; {email}|Rozmawiałem z {title}{person_name} o {noun}.
+Potem {person_name} oddzwonił.|Nazwisko: {person_name}, {org}|List od {person_name} już jest.|Był też {person_name} z żoną.|Jesteśmy pod numerem {phone} do południa.|Telefon: {phone}|kom. {phone}, faks {phone}|Proszę wybrać {phone}.|Prośba o telefon: {phone}
+Paszport nr {id_number} stracił ważność.|Dowód osobisty: {id_number}|PESEL {id_number}.|Brak numeru NIP {id_number}.|Legitymacja {id_number} sprawdzona|Nasze biuro: {address}.|Adres: {address}|Przeprowadziła się na {address}.|Dom przy {address} sprzedano.|{person_name}\n{address}
+Spotkanie pod {address} o dziesiątej.|{id_number}\t{person_name}\t{email}|{person_name}\t{phone}\t{n}|Podpisano: {person_name}|Łączę wyrazy szacunku, {person_name}|{person_name} mieszka w {place}.|Proszę pytać: {person_name}, {org}.|Wystarczy wiadomość na {email}.|E-mail: {email}|Pytania na {email} lub {email}.|({email})""",
+    "ru": r"""Вчера {person_name} пришёл в команду.|Наш новый директор, {person_name}, начнёт в {day}.|{person_name} и {person_name} придут позже.|утвердил {person_name}|{person_name} говорит, что нет.|Уважаемый {title}{person_name}!|По словам {person_name}, всё по-прежнему.|Передайте это {title}{person_name}.
+Отчёт написал {person_name}.|Всего доброго\n{person_name}\n{org}|{person_name} ({email})|От: {person_name} <{email}>|В прошлом году {person_name} переехал в {place}.|Ответил ли {person_name}?|{person_name}; {phone}; {email}|Я говорил с {title}{person_name} про {noun}.
+Потом {person_name} перезвонил.|Имя: {person_name}, {org}|Письмо от {person_name} пришло.|Там была и {person_name} с мужем.|Мы на связи по номеру {phone} до обеда.|Телефон: {phone}|моб. {phone}, факс {phone}|Наберите {phone}.|Просьба перезвонить: {phone}
+Номер паспорта {id_number} устарел.|Удостоверение личности: {id_number}|СНИЛС {id_number}.|Нет ИНН {id_number} в анкете.|Документ {id_number} проверен|Наш офис: {address}.|Адрес: {address}|Она переехала на {address}.|Дом на {address} продан.|{person_name}\n{address}
+Встреча у {address} в десять.|{id_number}\t{person_name}\t{email}|{person_name}\t{phone}\t{n}|Подписано: {person_name}|Искренне ваш, {person_name}|{person_name} живёт в {place}.|Спросите: {person_name}, {org}.|Достаточно письма на {email}.|Почта: {email}|Вопросы на {email} или {email}.|({email})""",
+    "ja": r"""昨日、{person_name}{suffix}が入社した。|新しい部長の{person_name}{suffix}は{day}に着任する。|{person_name}{suffix}と{person_name}{suffix}は後で来る。|承認：{person_name}|{person_name}{suffix}によると変更はない。|{person_name}{suffix}へ|{person_name}{suffix}に渡してください。
+報告書は{person_name}{suffix}が書いた。|よろしくお願いします\n{person_name}\n{org}|{person_name} ({email})|差出人: {person_name} <{email}>|昨年{person_name}{suffix}は{place}へ移った。|{person_name}、{phone}、{email}|{person_name}{suffix}と{noun}の話をした。|氏名: {person_name}、{org}|{person_name}{suffix}の手紙が届いた。|社長は{person_name}です。
+午前中は{phone}につながります。|電話番号: {phone}|携帯 {phone}、ファックス {phone}|{phone}におかけください。|旅券番号 {id_number} は失効。|身分証明書: {id_number}|個人番号 {id_number}|免許証{id_number}を確認した。|事務所は{address}にある。|住所: {address}|{address}へ引っ越した。|{address}の家は売れた。|{person_name}\n{address}
+{id_number}\t{person_name}\t{email}|{person_name}\t{phone}\t{n}|署名: {person_name}|草々 {person_name}|{person_name}{suffix}は{place}に住む。|{person_name}に聞いてください。|{email}に送ればよい。|メール: {email}|質問は{email}か{email}まで。|({email})""",
 }
 WITHOUT = {
-    "en": [
-        "Version {version} of {firm} replaces the {adj} {noun}.", "See entry {order} for the {adj} {noun}.", "Follow {handle} for news about the {noun} and the {low}.", "Reply from host {host} took {n} ms.",
-        "{firm} {firm} ships with {n} parts, order {order}.", "The price rose to {price} for one {noun}.", "Nobody had moved the {noun} since {date}.", "Hash {hash} belongs to the {noun}.",
-        "We walked past the {noun} street market and the {adj} avenue.", "Every {noun} needs a {noun}, and {firm} has {n} of them.", "The {adj} {noun} of {firm} was checked on {date}.", "{firm} counted {n} objects and lost none.",
-        "Is the {noun} still {adj}, or did the {noun} change it?", "Rain fell on the {noun} while the {noun} stayed dry.", "{plain} was {adj} in {firm}.", "The {plain} and the {noun} met in {date}.",
-    ],
-    "de": [
-        "Version {version} von {firm} ersetzt: {noun} ({adj}).", "Siehe Eintrag {order}: {noun}, {adj}.", "Neues über {noun} und {low} bei {handle}.", "Die Antwort von {host} dauerte {n} ms.", "{firm} {firm} kommt mit {n} Teilen, Auftrag {order}.",
-        "Der Preis stieg auf {price} pro Stück ({noun}).", "Seit dem {date} hatte niemand bewegt: {noun}.", "Der Hash {hash} gehört zu: {noun}.", "Wir gingen am Straßenmarkt vorbei ({noun}), dann die Allee entlang ({adj}).",
-        "Am {date} wurde geprüft: {noun} von {firm} ({adj}).", "{firm} zählte {n} Objekte und verlor keines.", "Ist das noch {adj} ({noun}), oder hat sich durch {noun} etwas geändert?", "Es regnete auf: {noun}; trocken blieb: {noun}.", "Zu jedem Stück {noun} gehört {noun}, und {firm} hat {n} davon.",
-    ],
-    "fr": [
-        "La version {version} de {firm} remplace : {noun} ({adj}).", "Voir l’entrée {order} : {noun}, {adj}.", "Suivez {handle} : {noun}, {low}.", "La réponse de {host} a pris {n} ms.", "{firm} {firm} est livré en {n} pièces, commande {order}.",
-        "Le prix est monté à {price} par {noun}.", "Personne n’avait déplacé depuis le {date} : {noun}.", "L’empreinte {hash} est celle-ci : {noun}.", "Nous avons longé le marché de la rue ({noun}) et l’avenue ({adj}).", "Le {date}, on a contrôlé : {noun} de {firm} ({adj}).",
-        "{firm} a compté {n} objets sans en perdre.", "Est-ce encore {adj} ({noun}), ou bien {noun} l’a-t-il changé ?", "La pluie tombait ({noun}) ; restait au sec : {noun}.", "À chaque {noun} il faut : {noun}, et {firm} en compte {n}.",
-    ],
-    "es": [
-        "La versión {version} de {firm} reemplaza: {noun} ({adj}).", "Véase la entrada {order}: {noun}, {adj}.", "Siga a {handle}: {noun}, {low}.", "La respuesta de {host} tardó {n} ms.", "{firm} {firm} llega con {n} piezas, pedido {order}.",
-        "El precio subió a {price} por {noun}.", "Desde el {date} nadie había movido: {noun}.", "El resumen {hash} corresponde a: {noun}.", "Pasamos por el mercado de la calle ({noun}) y la avenida ({adj}).", "El {date} se revisó: {noun} de {firm} ({adj}).",
-        "{firm} contó {n} objetos y no perdió ninguno.", "¿Sigue {adj} ({noun}) o lo cambió: {noun}?", "Llovía sobre: {noun}; seguía seco: {noun}.", "Cada {noun} necesita su {noun}, y {firm} tiene {n}.",
-    ],
-    "pl": [
-        "Wersja {version} dla {firm} zastępuje: {noun} ({adj}).", "Zob. wpis {order}: {noun}, {adj}.", "Wieści o {noun} i {low} u {handle}.", "Odpowiedź z {host} trwała {n} ms.", "{firm} {firm} ma {n} części, zamówienie {order}.",
-        "Cena wzrosła do {price} za: {noun}.", "Od {date} nikt nie ruszał: {noun}.", "Skrót {hash} należy do: {noun}.", "Minęliśmy targ przy ulicy ({noun}) i aleję ({adj}).", "Dnia {date} sprawdzono: {noun} z {firm} ({adj}).",
-        "{firm} policzył {n} obiektów i nie zgubił żadnego.", "Czy to nadal {adj} ({noun}), czy zmieniło to: {noun}?", "Do każdego hasła {noun} należy {noun}, a {firm} ma ich {n}.", "Deszcz padał na: {noun}; suche zostało: {noun}.",
-    ],
-    "ru": [
-        "Версия {version} для {firm} заменяет: {noun} ({adj}).", "См. запись {order}: {noun}, {adj}.", "Новости о {noun} и {low} у {handle}.", "Ответ от {host} занял {n} мс.", "{firm} {firm}: {n} деталей, заказ {order}.",
-        "Цена выросла до {price} за {noun}.", "С {date} никто не трогал: {noun}.", "Хеш {hash} относится к: {noun}.", "Мы прошли рынок на улице ({noun}) и проспект ({adj}).", "Проверено {date}: {noun} в {firm} ({adj}).",
-        "{firm}: сосчитано {n} объектов, потерь нет.", "Это всё ещё {adj} ({noun}), или {noun} что-то изменил?", "К каждому слову {noun} нужно {noun}, у {firm} их {n}.", "Дождь шёл, где {noun}; сухо было, где {noun}.",
-    ],
-    "ja": [
-        "{firm}の版{version}は{adj}{noun}を置き換える。", "{adj}{noun}は項目{order}を参照。", "{noun}と{low}の知らせは{handle}で。", "{host}からの応答は{n}ミリ秒かかった。", "{firm} {firm}は{n}点、注文{order}。", "{noun}一つの値段は{price}に上がった。",
-        "{date}から誰も{noun}を動かしていない。", "ハッシュ{hash}は{noun}のものだ。", "通りの市場({noun})と{adj}並木道を過ぎた。", "{date}に{firm}の{adj}{noun}を確認した。", "{firm}は{n}個を数え、一つも失わなかった。", "{noun}はまだ{adj}ままか、それとも{noun}が変えたのか。", "どの{noun}にも{noun}が要り、{firm}には{n}個ある。", "{noun}に雨が降り、{noun}は濡れなかった。",
-    ],
+    "en": r"""Release {version} of {org} is out.|{org} {org} costs {amount}.|{org} {org} supports {n} users.|The {place} office closes on {day}.|Order {code} was delivered.|Ticket {code}: the {noun} is {adj}.|{Noun} and {noun} are sold separately.|On {date} the {noun} failed.|Ping to {host} took {n} ms.|sha {hash}
+It costs {amount} per {noun}.|Our {noun} is {adj} and our {noun} is not.|The Chief {Noun} Officer of {org} resigned.|{Adj} {Noun} wins the {place} prize.|Please call the {noun} back.|Chapter {n}: The {Adj} {Noun}|We took the ring road past the {noun}.|{org} opened a {noun} in {place}.
+The street was {adj}, the avenue {adj}.|Follow {handle} for more.|Dear Customer, your {noun} is ready.|Between {year} and {year} sales doubled.|{Noun} {Noun} is a {noun} by {org}.|Between {n} and {n} of them were {adj}.|May is a month; Rose is a colour.|Why is the {noun} so {adj}?|The {org} {Noun} ships {n} times a day.|She left {place} for {place}.|{plain} and {plain} are words.
+The {plain} of {org} was {adj}.|{n} {Noun} parts, see {code}|Is {org} {org} still {adj}?|When {org} met {org}, prices fell.|Build {n}.{n} was {adj}.|The {noun} of the {org} was {adj}.|{Noun} for {org}: {amount}|{org} has {n} of them.|We rose at {n} and took the {noun}.|Prices rose to {amount} per {noun}.|A {noun} and a {noun} met the {noun}.|{org}, {org} and {org} merged.|{Noun}, {Noun} and {Noun} are {adj}.|In {place}, {org} owns a {noun}.|{org} delivers {org} by {day}.
+{org} {org} came with {n} screws.|A {org} {org} needs {n} screws.|No {noun} has a {noun}.|{org} lists {n} items.|{Adj} is the {noun} of {org}.|Copies of the {noun} are {adj}.|Help for {org}|{org} Help Desk|News from {org} and {org}|{low} is {adj}, {low} is not.|Which {noun} of {org} is {adj}?|Host {host} did not answer {org}.|Traffic from {host} was {adj}.|The {noun} at {host} is {adj}.|{host} and {host} were {adj}.|{n}. {Noun} {n}: {Noun}|ID {code} is a {noun}.|The {Noun} of {org} and the {Noun} of {place}|{org} Sales <{email}>|Accounts, {org} <{email}>|Team {org} <{email}>|{Noun} desk {org} ({email})|University of {place}|{org} de {place} opened.|{Noun} van {org}|Buy a {noun}: {Noun}, {Noun} or {Noun}.|The {noun} {noun} is {adj}.|Every {noun} has a {noun}.|One {noun}, two {noun} and {adj} {noun}.|On the {noun} lay the {noun}.""",
+    "de": r"""Ausgabe {version} von {org} ist da.|{org} {org} kostet {amount}.|{org} {org} bietet {n} Plätze.|Das Büro in {place} schließt am {day}.|Bestellung {code} wurde geliefert.|Vorgang {code}: {Noun} ist {adj}.|Am {date} fiel {noun} aus.|Abruf von {host} dauerte {n} ms.|Prüfsumme {hash}
+Das kostet {amount}.|Der Weg war {adj}, die Straße {adj}.|Kapitel {n}: {Noun} und {Noun}|{org} eröffnet in {place}.|Mehr bei {handle}.|Sehr geehrte Kunden, {noun} liegt bereit.|Zwischen {year} und {year} stieg der Umsatz.|Warum ist {noun} so {adj}?|Der Ring 3 und das Ufer sind {adj}.|{Noun} {Noun} stammt von {org}.|Zwischen {n} und {n} waren {adj}.|{plain} und {plain} sind Wörter.|Läuft {org} {org} noch?|Teil {n} von {org}, siehe {code}|{Noun} von {org}: {amount}|{org} hat {n} davon.|{Noun}, {Noun} und {Noun} sind {adj}.|Am {date} kam {Noun} von {org}.|{org} {org} braucht {n} Schrauben.|Jede {Noun} braucht {Noun}.|Preise stiegen auf {amount} je {Noun}.|{org} listet {n} Dinge.|{Noun} von {org} ({adj})|Team {org} <{email}>|Kundendienst {org} <{email}>|Vertrieb {org} ({email})|{Noun} der {org}|{Noun} von der {org} in {place}|Geprüft: {Noun} von {org}.|Stück {Noun} zu {Noun}|Pro {noun} ein {noun}, je {adj}.|Gut {noun}; schlecht {noun}.|Bei {noun} hilft {noun}.|{Adj} {noun}, {noun} und {noun}: {Noun}|Hilfe für {org}|{org} Kundendienst|Neues von {org} und {org}|Trocken blieb {Noun}, nass wurde {Noun}.|{low} ist {adj}, {low} nicht.|Niemand hatte {Noun} an {place} verkauft.|{Noun} ({Noun}) und {Noun} ({adj})|{org} {org} wiegt {n} Kilo.""",
+    "fr": r"""La sortie {version} de {org} est là.|{org} {org} coûte {amount}.|{org} {org} offre {n} places.|Le bureau de {place} ferme le {day}.|Colis {code} livré.|Dossier {code} : {noun} {adj}.|Le {date}, panne de {noun}.|Appel de {host} en {n} ms.|somme {hash}
+Cela coûte {amount}.|La rue était {adj}, l'avenue {adj}.|Chapitre {n} : {Noun} et {Noun}|{org} ouvre à {place}.|Plus chez {handle}.|Chers clients, {noun} vous attend.|Entre {year} et {year}, tout a doublé.|Pourquoi {noun} est-il si {adj} ?|{Noun} {Noun} vient de {org}.|Entre {n} et {n} étaient là.|{plain} et {plain} sont des mots.|{org} {org} marche encore ?|Pièce {n} de {org}, voir {code}|{Noun} de {org} : {amount}|{org} en a {n}.|{Noun}, {noun} et {noun} sont {adj}.|Le {date}, {noun} de {org} est venu.|{org} {org} exige {n} vis.|Chaque {noun} veut {noun}.|Les prix passent à {amount} par {noun}.|{org} recense {n} choses.|{Noun} de {org} ({adj})|{Noun} de la {org}|{Noun} du {noun} de {place}|Vu : {noun} de {org}.|Un {noun}, une {noun}, bien {adj}.|Sur {noun} il y a {noun}.|Pour {noun}, {noun} suffit.|Aide pour {org}|{org} Assistance|Du neuf chez {org} et {org}|{low} est {adj}, {low} non.|Rien de {noun} ({noun}) ni de {noun} ({adj})|{org} {org} pèse {n} kilos.""",
+    "es": r"""La edición {version} de {org} ya salió.|{org} {org} cuesta {amount}.|{org} {org} admite {n} usuarios.|La oficina de {place} cierra el {day}.|Paquete {code} entregado.|Caso {code}: {noun} {adj}.|El {date} falló {noun}.|Consulta a {host} en {n} ms.|suma {hash}
+Eso cuesta {amount}.|La calle era {adj}, la plaza {adj}.|Capítulo {n}: {Noun} y {Noun}|{org} abre en {place}.|Más en {handle}.|Estimados clientes, {noun} está listo.|Entre {year} y {year} se duplicó.|¿Por qué {noun} es tan {adj}?|{Noun} {Noun} es de {org}.|Entre {n} y {n} eran así.|{plain} y {plain} son palabras.|¿Funciona aún {org} {org}?|Parte {n} de {org}, ver {code}|{Noun} de {org}: {amount}|{org} tiene {n}.|{Noun}, {noun} y {noun} son {adj}.|El {date} vino {noun} de {org}.|{org} {org} pide {n} tornillos.|Cada {noun} pide {noun}.|Los precios pasan a {amount} por {noun}.|{org} enumera {n} cosas.|{Noun} de {org} ({adj})|Equipo {org} <{email}>|Servicio {org} <{email}>|Ventas {org} ({email})|{Noun} de la {org}|{Noun} del {noun} de {place}|Visto: {noun} de {org}.|Un {noun}, una {noun}, muy {adj}.|Sobre {noun} hay {noun}.|Para {noun}, {noun} basta.|Ayuda para {org}|{org} Soporte|Noticias de {org} y {org}|{low} es {adj}, {low} no.|Nada de {noun} ({noun}) ni de {noun} ({adj})|{org} {org} pesa {n} kilos.""",
+    "pl": r"""Wydanie {version} od {org} już jest.|{org} {org} kosztuje {amount}.|{org} {org} mieści {n} osób.|Biuro w {place} zamykamy w {day}.|Paczka {code} dotarła.|Sprawa {code}: {noun} {adj}.|Dnia {date} padł {noun}.|Zapytanie do {host} trwało {n} ms.|suma {hash}
+To kosztuje {amount}.|Ulica była {adj}, aleja {adj}.|Rozdział {n}: {Noun} i {Noun}|{org} otwiera biuro w {place}.|Więcej u {handle}.|Drodzy klienci, {noun} czeka.|Między {year} a {year} wzrosło.|Dlaczego {noun} jest {adj}?|{Noun} {Noun} to dzieło {org}.|Od {n} do {n} sztuk.|{plain} i {plain} to słowa.|Czy {org} {org} działa?|Część {n} od {org}, patrz {code}|{Noun} od {org}: {amount}|{org} ma ich {n}.|{Noun}, {noun} i {noun} są {adj}.|Dnia {date} przyszedł {noun} od {org}.|{org} {org} wymaga {n} śrub.|Każdy {noun} chce {noun}.|Ceny rosną do {amount} za {noun}.|{org} wylicza {n} rzeczy.|{Noun} z {org} ({adj})|Zespół {org} <{email}>|Obsługa {org} <{email}>|Sklep {org} ({email})|{Noun} od {org} i {Noun}|Widziano: {noun} z {org}.|Jeden {noun}, dwa {noun}, bardzo {adj}.|Na {noun} leży {noun}.|Dla {noun} dobry {noun}.|Wsparcie dla {org}|{org} Serwis|Nowości od {org} i {org}|{low} jest {adj}, {low} nie.|Ani {noun} ({noun}), ani {noun} ({adj})|{org} {org} waży {n} kilo.""",
+    "ru": r"""Выпуск {version} от {org} готов.|{org} {org} стоит {amount}.|{org} {org} вмещает {n} мест.|Офис в {place} закроют в {day}.|Посылка {code} доставлена.|Дело {code}: {noun} {adj}.|Утром {date} сломался {noun}.|Запрос к {host} занял {n} мс.|сумма {hash}
+Это стоит {amount}.|Улица была {adj}, площадь {adj}.|Глава {n}: {Noun} и {Noun}|{org} откроет офис в {place}.|Больше у {handle}.|Дорогие клиенты, {noun} ждёт.|Между {year} и {year} выросло.|Почему {noun} такой {adj}?|{Noun} {Noun} делает {org}.|От {n} до {n} штук.|{plain} и {plain} это слова.|Работает ли {org} {org}?|Часть {n} от {org}, см. {code}|{Noun} от {org}: {amount}|У {org} их {n}.|{Noun}, {noun} и {noun} это {adj}.|Утром {date} пришёл {noun} от {org}.|{org} {org} требует {n} винтов.|Каждый {noun} хочет {noun}.|Цены растут до {amount} за {noun}.|{org} насчитал {n} вещей.|{Noun} из {org} ({adj})|Команда {org} <{email}>|Служба {org} <{email}>|Магазин {org} ({email})|{Noun} от {org} и {Noun}|Видели: {noun} из {org}.|Один {noun}, два {noun}, очень {adj}.|На {noun} лежит {noun}.|Для {noun} хорош {noun}.|Поддержка для {org}|{org} Сервис|Новое от {org} и {org}|{low} это {adj}, {low} нет.|Ни {noun} ({noun}), ни {noun} ({adj})|{org} {org} весит {n} кило.""",
+    "ja": r"""{org}の{version}が公開された。|{org} {org}は{amount}です。|{place}支店は{day}に閉まる。|注文番号{code}は配達済み。|{noun}と{noun}は別売り。|{date}に{noun}が止まった。|{host}への問い合わせは{n}ミリ秒。|値{hash}|{noun}は{amount}する。|道は{adj}、{noun}も{adj}。|第{n}章 {noun}と{noun}|{org}は{place}に{noun}を開く。|詳しくは{handle}へ。|お客様、{noun}をどうぞ。|{year}年から{year}年まで続いた。|なぜ{noun}は{adj}のか。|{noun}担当の{noun}会議は{n}時。|{adj}{noun}は{org}の製品。|{noun}部長は不在。|{n}個の{noun}、{code}を見よ|{noun}の{noun}は{org}にある。|{org}には{n}個ある。|{noun}、{noun}と{noun}は{adj}。|{date}に{org}の{noun}が来た。|{org} {org}はねじ{n}本を要する。|値段は{noun}一つ{amount}になった。|{org}の{noun}({adj})|{noun}は{noun}と{noun}からなる。|{noun}に{noun}を置く。|{org}係 <{email}>|{org}営業部 ({email})|どんな{noun}にも{noun}が要る。|{noun}が変わった。|{noun}は{noun}のものだ。|その{noun}も{noun}も{adj}。|{noun}一つに{noun}二つ。|{org}相談室|{org}と{org}の話題|{low}は{adj}、{low}は違う。|{adj}{noun}({noun})を見た。|{noun}確認の{noun}を{org}が直した。|{org} {org}は{n}キロある。""",
 }
+#: Rows and lists, the same in every language.
+ROWS_WITH = r"""{person_name}\t{email}|{person_name}\t{date}\t{amount}|{place}\t{person_name}|{phone}\t{person_name}|{person_name}\t{id_number}|{person_name} ({email}, {org})|{person_name} ({org})|- {person_name}|{id_number}\t{phone}|{person_name}\t{id_number}\t{place}|{person_name}; {id_number}; {phone}|{person_name}\t{phone}\t{id_number}"""
+ROWS_WITHOUT = r"""{org}\t{amount}\t{n}|{Noun}\t{n}\t{amount}|{place}\t{date}|{Noun} ({Noun})|{org} ({place})|- {org}|{code}\t{Noun}\t{n}"""
 NOUNS = {
-    "en": "archive ledger harbour bucket bridge invoice kitchen witness lantern festival orchard timetable warehouse checkpoint signature turbine", "de": "Archiv Hauptbuch Hafen Behälter Brücke Rechnung Küche Zeuge Laterne Volksfest Obstgarten Fahrplan Lagerhaus Turbine",
-    "fr": "archive registre port conteneur pont facture cuisine témoin lanterne fête verger horaire entrepôt turbine", "es": "archivo puerto contenedor puente factura cocina testigo farol fiesta huerto horario almacén turbina", "pl": "archiwum księga port zasobnik most faktura kuchnia świadek latarnia festyn sad rozkład magazyn turbina",
-    "ru": "архив журнал гавань мост счёт кухня свидетель фонарь праздник сад расписание склад турбина", "ja": "記録庫 台帳 港 橋 請求書 台所 立会人 灯籠 祭り 果樹園 時刻表 倉庫 署名 検査点",
+    "en": "printer contract meeting sensor kettle shipment budget engine blanket window carpet battery survey menu ticket tractor lamp proposal garden mirror", "de": "Drucker Vertrag Sitzung Fühler Kessel Sendung Haushalt Motor Decke Fenster Teppich Umfrage Speisekarte Lampe Garten Spiegel",
+    "fr": "imprimante contrat réunion capteur bouilloire colis budget moteur fenêtre tapis sondage menu lampe jardin miroir", "es": "impresora contrato reunión sensor tetera envío presupuesto motor ventana alfombra encuesta menú lámpara jardín espejo", "pl": "drukarka umowa zebranie czujnik czajnik budżet silnik okno dywan ankieta lampa ogród lustro",
+    "ru": "принтер договор собрание датчик чайник бюджет двигатель окно ковёр опрос лампа сад зеркало", "ja": "印刷機 契約 会議 感知器 予算 機械 窓 調査 献立 電灯 庭園 鏡 提案 資料",
 }
 ADJECTIVES = {
-    "en": "quiet blue narrow old heavy bright unsigned missing northern", "de": "ruhig blau schmal alt schwer hell fehlend", "fr": "calme bleu étroit ancien lourd clair manquant", "es": "tranquilo azul estrecho viejo pesado claro ausente",
-    "pl": "cichy niebieski wąski stary ciężki jasny", "ru": "тихий синий узкий старый тяжёлый яркий", "ja": "静かな 青い 狭い 古い 重い 明るい 未署名の 北の 不足の",
+    "en": "late empty broken cheap green noisy round useful slow", "de": "spät leer kaputt billig grün laut rund nützlich", "fr": "vide cassé vert bruyant rond utile lent", "es": "vacío roto verde ruidoso redondo útil lento", "pl": "pusty zepsuty zielony głośny okrągły wolny",
+    "ru": "пустой сломанный зелёный громкий круглый медленный", "ja": "空の 壊れた 緑の 丸い 遅い 便利な",
 }
-TITLE = {"en": "Mr |Ms |Dr. |Prof. |Mrs ", "de": "Herr |Frau |Dr. |Prof. ", "fr": "M. |Mme |Dr ", "es": "D. |Sra. |Sr. |Dña. ", "pl": "Pan |Pani |dr ", "ru": "г-н |г-жа ", "ja": ""}
-LATIN = "bran dor fel gil hal ism jor kel lan mor ned ost per quil ros sil tor ulf ves wyn yar zel eld fin gar ham ker los mer nor pel rud sten".split()
-CYRILLIC = "брат вел гор дар жив зор кир лад мир нег ост пол рад свет тих уст фед хар яр бер сил".split()
-KANJI_FAMILY, KANJI_GIVEN = "川山田森林石岩坂沢原野崎島橋谷宮雪霧星月", "真音花空海陽葵楓凛詩澄千灯橙"
-FIRMS = "pex mor gar wist tar kee nik sol fen obo ith ras rus um vel lin zan plu dra quo".split()
-ORDINARY = "May Rose Port Bridge Harbour Grant Mark Will Hope Grace Summer Stone Field Church".split()
+DAYS = {"en": "Monday Tuesday Friday Sunday", "de": "Montag Dienstag Freitag Sonntag", "fr": "lundi mardi vendredi", "es": "lunes martes viernes", "pl": "poniedziałek piątek sobotę", "ru": "понедельник пятницу субботу", "ja": "月曜日 金曜日 日曜日"}
+TITLE = {"en": "Mr |Ms |Mrs |Dr |Dr. |Prof. |Miss ", "de": "Herr |Frau |Dr. |Prof. ", "fr": "M. |Mme |Dr |Mlle ", "es": "D. |Sr. |Sra. |Dña. |don ", "pl": "Pan |Pani |dr |mgr ", "ru": "г-н |г-жа |господин ", "ja": ""}
+GIVEN = {
+    "en": "James Mary Robert Linda Michael Susan David Karen Joseph Nancy Thomas Helen Paul Sandra Kevin Laura Emma Oliver Sophie Priya Arjun Kwame Fatima Omar Benjamin Margaret", "de": "Hans Wolfgang Klaus Jürgen Dieter Uwe Stefan Andreas Ursula Monika Petra Sabine Renate Heike Lena Jonas",
+    "fr": "Jean Pierre Michel Philippe Alain Nicolas Camille Élodie Chloé Margaux Aurélie Hélène Thierry Gaëlle", "es": "José Antonio Manuel Javier Carlos Alejandro María Carmen Isabel Pilar Lucía Marta Rocío Begoña", "pl": "Jan Andrzej Piotr Krzysztof Tomasz Paweł Michał Anna Katarzyna Małgorzata Agnieszka Ewa Zofia Grażyna",
+    "ru": "Александр Дмитрий Сергей Андрей Алексей Иван Михаил Ольга Елена Наталья Татьяна Ирина Светлана Мария", "ja": "太郎 花子 一郎 健太 翔太 大輔 直樹 美咲 陽子 恵子 由美 真由美 拓也 誠 明美 裕子 和也",
+}
+FAMILY = {
+    "en": "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Thompson Harris Clark Walker Wright Scott Baker Nelson Carter Mitchell Campbell Turner Phillips Patel Khan Singh Nguyen Okafor Fitzgerald Ashworth", "de": "Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Richter Klein Neumann Zimmermann Hartmann Lehmann Köhler",
+    "fr": "Martin Bernard Dubois Durand Moreau Laurent Lefebvre Leroy Fournier Girard Bonnet Lambert Rousseau Mercier Gauthier Chevalier", "es": "García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Díaz Álvarez Romero Navarro Torres Serrano Ortega", "pl": "Nowak Kowalski Wiśniewska Wójcik Kowalczyk Kamiński Lewandowska Zieliński Woźniak Dąbrowski Mazur Krawczyk Pawlak",
+    "ru": "Иванов Смирнова Кузнецов Попова Васильев Петрова Соколов Михайлова Новиков Фёдорова Морозов Волкова Лебедева Степанов", "ja": "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 林 斎藤 清水",
+}
+LATIN = "ab den tri lo mak ren sa vik ol bar cen du ger hol ing jo kas lin mun nor pat rou sel tam ur vo wen yo".split()
+CYRILLIC = "ан бор вас гри дем ел жук зах ил кар лоб мак ник ор пет рог сав тим ур фом чер шув".split()
+KANJI_FAMILY, KANJI_GIVEN = "上中大小東西南北村本高田山川木石井松竹藤", "一二郎子美太香恵介奈緒菜樹翔健直"
+KANJI_NOUN = "部品調整計画会議資料契約電気水道鉄鋼野菜牛乳天予報空港病院学校教室図書館旅銀行記録物置場所製造"
+ONSETS, VOWELS, CODAS = "b br c ch d dr f fl g gr h j k kl l m n p pl q r s st t tr v w x z".split(), "a e i o u ee ai ou y".split(), "- - - - r n s x l k th rk m p st t".replace("-", "").split(" ")
+#: The share of companies and products with two invented words, which look most like persons.
+PAIRS = 0.2
+STREET_ADJECTIVES = "Obere Untere Alte Neue Hintere Große Kleine Lange".split()
+TAILS = "Systems Software Bank Group Labs Media Logistik Holding".split()
+ORDINARY = "Rose Mark Will Hope Grace Hunter Cook Stone Field Church June April Sunny Dawn Frank Rich Bridge Port Summer Winter Grant May".split()
+PLACES = {"ja": "東京 大阪 京都 札幌 福岡"}
+
+
+def framed(lines: str) -> list[str]:
+    """The frames of a language: one per line or between bars, with line ends and tabs written as \\n and \\t."""
+    return [x.replace("\\n", "\n").replace("\\t", "\t") for line in lines.splitlines() for x in line.split("|")]
 
 
 class Maker:
-    def __init__(self, lexicon: Lexicon, seed: int) -> None:
-        self.r = random.Random(seed)
-        self.lexicon = lexicon
+    """Texts from a seed. ``part``: ``all`` frames and name parts, or those of ``train``, or those left out (``test``)."""
+
+    def __init__(self, lexicon: Lexicon, seed: int, part: str = "all", languages: tuple[str, ...] = LANGUAGES) -> None:
+        self.r, self.titled = random.Random(seed), False
+        self.languages = languages
+        fold = lambda x: zlib.crc32(x.encode()) % FOLDS == 0
+        self.keep = {"all": lambda x: True, "train": lambda x: not fold(x), "test": fold}[part]
+        frames = lambda table: {lang: [x for x in framed(table[lang]) if self.keep(x)] or framed(table[lang]) for lang in languages}
+        self.frames = (frames({k: f"{x}\n{ROWS_WITH}" for k, x in WITH.items()}), frames({k: f"{x}\n{ROWS_WITHOUT}" for k, x in WITHOUT.items()}))
         by = lambda kind, test: sorted(p for p, k in lexicon.parts.items() if kind in k and test(p))
-        latin = lambda p: re.match("[a-zà-ɏ]", p) is not None
-        self.parts = {(k, "latin"): by(k, latin) for k in ("given", "family")} | {(k, "cyrillic"): by(k, lambda p: re.match("[а-я]", p) is not None) for k in ("given", "family")}
-        self.parts |= {(k, "kanji"): by(k, lambda p: ord(p[0]) > 0x3000) for k in ("given", "family")}
+        scripts = {"latin": "[a-zà-ɏ]", "cyrillic": "[а-я]", "kanji": "[ぁ-鿿]"}
+        #: Listed parts that are short enough to be ordinary words too, so that these are seen outside of names.
+        self.ordinary = {s: [p for p in lexicon.parts if len(p) <= 8 and re.match(scripts[s], p)] for s in scripts}
+        self.listed = {(k, s): by(k, lambda p, s=s: re.match(scripts[s], p) is not None) for k in ("given", "family") for s in scripts}
+
+    def digits(self, form: str) -> str:
+        """9: any digit, 8: one from 1 to 9, A: a capital letter; everything else stands for itself."""
+        r = self.r
+        return "".join(str(r.randrange(10)) if c == "9" else str(r.randrange(1, 10)) if c == "8" else r.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "A" else c for c in form)
 
     def pick(self, text: str) -> str:
         return self.r.choice(text.split("|") if "|" in text else text.split())
 
-    def digits(self, form: str) -> str:
-        """9: any digit, A: a capital letter; everything else stands for itself."""
-        return "".join(str(self.r.randrange(10)) if c == "9" else self.r.choice("ABCDEFGHJKLMNPQRSTVWXYZ") if c == "A" else c for c in form)
-
-    def part(self, kind: str, script: str) -> str:
-        known = self.parts.get((kind, script))
-        if known and self.r.random() < 0.55:
-            word = self.r.choice(known)
+    def part(self, kind: str, script: str, lang: str = "en") -> str:
+        """A name part: from the lexicon, from the common ones, or of invented syllables."""
+        r, listed, form = self.r, self.listed.get((kind, script), []), self.r.random()
+        if listed and form < 0.5:
+            word = r.choice(listed)
+        elif form < 0.85:
+            table = (GIVEN if kind == "given" else FAMILY)[lang if script != "latin" or lang not in ("ru", "ja") else "en"]
+            common = [x for x in table.split() if self.keep(x)] or table.split()
+            word = r.choice(common)
+            if script == "cyrillic" and lang != "ru":
+                word = r.choice(GIVEN["ru"].split())
         elif script == "kanji":
-            word = "".join(self.r.choice(KANJI_FAMILY if kind == "family" else KANJI_GIVEN) for _ in range(self.r.choice((2, 2, 3))))
+            word = "".join(r.choice(KANJI_FAMILY if kind == "family" else KANJI_GIVEN) for _ in range(r.choice((1, 2, 2, 2, 3))))
         else:
-            word = "".join(self.r.choice(CYRILLIC if script == "cyrillic" else LATIN) for _ in range(self.r.choice((2, 2, 3))))
+            word = "".join(r.choice(CYRILLIC if script == "cyrillic" else LATIN) for _ in range(r.choice((2, 2, 3))))
             if script == "latin":
-                word += self.r.choice(("", "", "a", "e", "ø", "é", "in", "ard", "ström")) if kind == "given" else self.r.choice(("", "son", "sen", "wood", "er", "owiec", "ska", "ández", "üller"))
+                word += r.choice(("", "a", "e", "o", "is", "ine", "ette")) if kind == "given" else r.choice(("", "son", "er", "field", "ton", "mann", "ez", "ski", "eau", "berg", "ová", "han"))
             else:
-                word += self.r.choice(("", "а")) if kind == "given" else self.r.choice(("ов", "ова", "ский", "ин", "ец"))
+                word += r.choice(("", "а", "я")) if kind == "given" else r.choice(("ов", "ова", "ев", "ева", "ский", "ин", "енко"))
         return re.sub(r"(?:^|(?<=[\-’' ]))\w", lambda m: m.group().upper(), word)
 
     def person_name(self, lang: str) -> str:
         r = self.r
-        if lang == "ja" and r.random() < 0.7:
-            return self.part("family", "kanji") + r.choice(("", "", " ", "　")) + self.part("given", "kanji")
-        script = "cyrillic" if lang == "ru" and r.random() < 0.7 else "latin"
-        given, family = self.part("given", script), self.part("family", script)
-        if r.random() < 0.05:
-            given += "-" + self.part("given", script)
-        if script == "latin" and r.random() < 0.05:
-            family = r.choice(("Van der ", "De la ", "Van ", "O’", "Mac")) + family
-        elif r.random() < 0.08:
-            family += "-" + self.part("family", script)
+        if lang == "ja" and r.random() < 0.8:
+            return self.part("family", "kanji", "ja") + r.choice(("", "", "", " ", "　")) + self.part("given", "kanji", "ja")
+        script = "cyrillic" if lang == "ru" and r.random() < 0.8 else "latin"
+        given, family = self.part("given", script, lang), self.part("family", script, lang)
         form = r.random()
-        if form < 0.1:
-            return f"{given[0]}. {family}"
-        if form < 0.17:
-            return f"{given} {r.choice('ABCDEFGHKLMNPRST')}. {family}"
-        if form < 0.25:
-            return f"{family}, {given}"
-        if form < 0.28:
-            return family
-        if form < 0.31:
-            return f"{given}  {family}"
-        if form < 0.36:
-            return f"{given} {family}".upper()
-        if form < 0.41:
-            return f"{given} {family.upper()}"
-        if form < 0.45:
-            return f"{given} {family}".lower()
+        if form < 0.05:
+            given += "-" + self.part("given", script, lang)
+        elif form < 0.1 and script == "latin":
+            family = r.choice(("van der ", "de la ", "von ", "Van ", "O’", "O'", "Mc", "di ", "Van der ", "De ")) + family
+        elif form < 0.18:
+            family += r.choice("- ") + self.part("family", script, lang)
+        elif form < 0.24:
+            given += " " + self.part("given", script, lang)
+        form = r.random()
+        for limit, name in (
+            (0.08, f"{given[0]}. {family}"), (0.14, f"{given} {r.choice('ABCDEFGHKLMNPRST')}. {family}"), (0.22, f"{family}, {given}"), (0.32 if self.titled else 0.22, family), (0.23, given), (0.31, f"{given}  {family}"), (0.36, f"{given} {family}".upper()),
+            (0.41, f"{given} {family.upper()}"), (0.43, f"{given} {family}".lower()),
+        ):
+            if form < limit:
+                return name
         return f"{given} {family}"
 
     def email(self, lang: str) -> str:
         r = self.r
-        a, b = re.sub(r"[ ’]", "", self.part("given", "latin")).lower(), re.sub(r"[ ’]", "", self.part("family", "latin")).lower()
-        local = r.choice((f"{a}.{b}", f"{a}_{b}", f"{a}-{b[:4]}", f"{a[0]}{b}", f"o'{b}", f"{b}{r.randrange(100)}", f"{a}.{b}+x{r.randrange(9)}", r.choice(("info", "billing", "no-reply", "office"))))
-        domain = r.choice(("example.com", "mail.example", "corp.test", "post.example.net", "büro.example", "uni-ort.example", "a.b.example", f"{self.firm().lower()}.org"))
-        form = r.random()
-        if form < 0.08:
-            return f"{local} AT {domain.replace('.', ' DOT ')}" if r.random() < 0.7 else f"{local} AT {domain}"
-        if form < 0.16:
-            return f"{local} [at] {domain.replace('.', ' [dot] ')}"
-        if form < 0.22:
-            return f"{local}(at){domain}"
-        if form < 0.28:
-            return f"{local} @ {domain}"
-        if form < 0.31:
-            return f"{local}＠{domain}"
-        return f"{local}@{domain}".upper() if form < 0.4 else f"{local}@{domain}"
+        a, b = (re.sub(r"[ ’']", "", self.part(k, "latin")).lower() for k in ("given", "family"))
+        local = r.choice((f"{a}.{b}", f"{a}_{b}", f"{a}-{b[:4]}", f"{a[0]}{b}", f"o'{b}", f"{b}{r.randrange(100)}", f"{a}+{b[:3]}", r.choice(("hello", "sales", "jobs", "press", "admin"))))
+        domain = r.choice(("example.com", "mail.test", "firm.example", "post.example.org", "köln.example", "stadt-ort.example", f"{self.org().split()[0].lower()}.net"))
+        form, dot = r.random(), r.random()
+        for limit, style in (
+            (0.07, f"{local} AT {domain.replace('.', ' DOT ') if dot < 0.7 else domain}"), (0.14, f"{local} [at] {domain.replace('.', ' [dot] ')}"), (0.2, f"{local}(at){domain}"), (0.26, f"{local} @ {domain}"), (0.29, f"{local}＠{domain}"),
+            (0.37, f"{local}@{domain}".upper()),
+        ):
+            if form < limit:
+                return style
+        return f"{local}@{domain}"
+
+    def other_language(self, lang: str) -> str:
+        return lang if self.r.random() < 0.85 else self.r.choice(LANGUAGES)
 
     def phone(self, lang: str) -> str:
+        """National and international notations (public numbering plans)."""
         forms = {
-            "en": "+1 999 999 9999|(999) 999-9999|999.999.9999|1-999-999-9999|1-999-999-9999 ext. 999|+44 (0)20 9999 9999|020 9999 9999|999-999-9999|07999 999999", "de": "+49 30 99999 999|030/99999-999|(030) 99999 999|0049 30 99999999|+49-171-9999999|0171 9999999|030 99999999",
-            "fr": "+33 1 99 99 99 99|01 99 99 99 99|01.99.99.99.99|+33(0)199999999|06 99 99 99 99", "es": "+34 900 99 99 99|900 999 999|0034-900-999-999|900999999|91 999 99 99", "pl": "+48 22 999 99 99|22-999-99-99|(22) 9999999|+48 500 999 999|22 999 99 99|500 999 999",
-            "ru": "+7 (900) 999-99-99|8 900 999 99 99|8(900)9999999|+7 900 999 99 99|8-900-999-99-99", "ja": "03-9999-9999|(03)9999-9999|090-9999-9999|+81 3 9999 9999|０３-９９９９-９９９９",
+            "en": "+1 899 899 9999|(899) 899-9999|899.899.9999|89.99.99.99|1-899-899-9999|899-899-9999|899-899-9999 ext. 99|899-899-9999 x999|+44 (0)20 8999 9999|020 8999 9999|0161 899 9999|07999 999999|+44 7999 999999", "de": "+49 30 89999 999|030/89999-99|030/89999-999|0711/899999|(030) 89999 999|0049 30 89999999|+49-171-8999999|0171 8999999|030 8999999|089 899 99 99",
+            "fr": "+33 1 89 99 99 99|01 89 99 99 99|01.89.99.99.99|89.99.99.99|899.99.99.99|89.899.99.99|+33(0)189999999|06 89 99 99 99|0689999999", "es": "+34 889 99 99 99|889 999 999|0034-889-999-999|889999999|91 899 99 99|889 99 99 99", "pl": "+48 22 899 99 99|22-899-99-99|(22) 8999999|+48 889 999 999|22 899 99 99|889 999 999|889-999-999",
+            "ru": "+7 (899) 899-99-99|8 899 899 99 99|8(899)8999999|+7 899 899 99 99|8-899-899-99-99|+78998999999", "ja": "03-8999-9999|(03)8999-9999|090-8999-9999|+81 3 8999 9999|０３-８９９９-９９９９|0120-899-999",
         }
-        lang = lang if self.r.random() < 0.9 else self.r.choice(LANGUAGES)
-        form = self.digits(self.pick(forms[lang]))
-        return re.sub("９", lambda _: chr(0xFF10 + self.r.randrange(10)), form)
+        form = self.digits(self.pick(forms[self.other_language(lang)]))
+        return re.sub("[８９]", lambda _: chr(0xFF10 + self.r.randrange(10)), form)
 
     def id_number(self, lang: str) -> str:
+        """Passports, identity cards, social security and tax numbers in their public formats; account numbers by IBAN."""
         forms = {
-            "en": "AA 99 99 99 A|AA999999A|999-99-9999|999 99 9999", "de": "A99A9999A|99 999 999 999|99999999999|AA9AAA999", "fr": "9 99 99 99 999 999 99|999999999999999", "es": "99999999-A|99.999.999-A|99999999A|A-9999999-A|A9999999A",
-            "pl": "99999999999|AAA 999999|AAA999999", "ru": "99 99 999999|9999 № 999999|9999 999999|999-999-999 99", "ja": "9999 9999 9999|9999-9999-9999|999999999999|AA9999999",
+            "en": "AA 99 99 99 A|AA999999A|999-99-9999|999 99 9999|899999999|A9999999", "de": "A99A9999A|99 999 999 999|89999999999|AA9AAA999|A9AA99A99|DE99 9999 9999 9999 9999 99", "fr": "1 99 99 99 999 999 99|199999999999999|2 99 99 99 999 999|99AA99999", "es": "99999999-A|99.999.999-A|99999999A|A-9999999-A|A9999999A",
+            "pl": "99999999999|AAA 999999|AAA999999|999-999-99-99", "ru": "99 99 999999|9999 № 999999|9999 999999|999-999-999 99|999999999999", "ja": "9999 9999 9999|9999-9999-9999|999999999999|AA9999999",
         }
-        got = self.digits(self.pick(forms[lang if self.r.random() < 0.9 else self.r.choice(LANGUAGES)]))
-        return got.lower() if self.r.random() < 0.04 else got
+        got = self.digits(self.pick(forms[self.other_language(lang)]))
+        if self.r.random() < 0.25:  # leading zeros are common in some series
+            got = re.sub(r"^\d+", lambda m: ("0" * self.r.randrange(1, 4) + m.group())[: len(m.group())], got)
+        return got.lower() if self.r.random() < 0.05 else got
 
     def address(self, lang: str) -> str:
         r = self.r
-        n, word, two = str(r.randrange(1, 220)), self.part("family", "latin"), self.part("given", "latin")
-        city = f", {self.digits('99999')} {self.part('family', 'latin')}" if r.random() < 0.3 else ""
+        n, word, two = str(r.randrange(1, 300) if r.random() < 0.9 else r.randrange(300, 12000)), self.part("family", "latin", lang), self.part("given", "latin", lang)
+        city = f", {self.digits('99999')} {self.place(lang if lang not in ('ru', 'ja') else 'en')}" if r.random() < 0.3 else ""
         if lang == "en":
-            number = r.choice((n, n, n + "B", f"{n}-{int(n) + 2}"))
-            return f"{number} {r.choice((word, f'{word} Hill', f'Old {word}', f'Saint {two}’s'))} {self.pick('Street|Road|Avenue|Lane|Blvd|Dr.|Close|Walk|Way|Court')}{r.choice(('', '', ', Apt 4', ', Flat 2C', f' #{r.randrange(40)}'))}{city}"
+            number = r.choice((n, n, n, n + r.choice("ABc"), f"{n}-{int(n) + 2}"))
+            name = r.choice((word, f"{word} Park", f"Old {word}", f"St {two}’s", f"{two} {word}", "High", "North Mill"))
+            return f"{number} {name} {self.pick('Street|Road|Avenue|Lane|Blvd|Dr.|Drive|Close|Walk|Way|Court|St|Rd|Terrace')}{r.choice(('', '', '', ', Apt 4', ', Flat 2C', f' #{r.randrange(1, 40)}', ', Suite 200'))}{city}"
         if lang == "de":
-            street = r.choice((f"{word}straße", f"{word}weg", f"{word}platz", f"{word}str.", f"Obere {word}gasse", f"{word}er Allee", f"Am Alten {word}", f"An der {word}", f"Im {word}"))
-            return f"{street} {n}{r.choice(('', '', 'a', ' b', f'-{int(n) + 2}', f'–{int(n) + 2}'))}{city}"
+            street = r.choice((f"{word}straße", f"{word}weg", f"{word}platz", f"{word}str.", f"{r.choice(STREET_ADJECTIVES)} {word}{r.choice(('gasse', 'straße', 'weg'))}", f"{word}er Allee", f"Am Neuen {word}", f"An der {word}", f"Im {word}", "Ring", f"{two}-{word}-Straße", f"Zur {word}"))
+            return f"{street} {n}{r.choice(('', '', '', 'a', ' b', f'-{int(n) + 2}', f'–{int(n) + 2}'))}{city}"
         if lang == "fr":
-            return f"{n}{r.choice(('', '', ' bis', ' ter'))}{r.choice((',', ''))} {self.pick('rue|avenue|bd|place|impasse|chemin|boulevard')} {r.choice((f'{word}', f'de la {word}', f'des {word}s', f'du Vieux-{word}'))}{city}"
+            name = r.choice((word, f"de la {word}", f"des {word}s", f"du Faubourg {word}", f"du Petit-{word}", f"{two} {word}", f"de l’{word}"))
+            return f"{n}{r.choice(('', '', '', ' bis', ' ter', 'B'))}{r.choice((',', ''))} {self.pick('rue|avenue|bd|place|impasse|chemin|boulevard|Rue|quai')} {name}{city}"
         if lang == "es":
-            return f"{self.pick('Calle|C/|Avda.|Plaza|Paseo|Camino')} {r.choice((word, f'del {word} Viejo', f'de los {word}es', f'de {word}'))}{r.choice((',', ''))}{r.choice((' ', ', n.º ', ' n.º '))}{n}{r.choice(('', ', 3.º B', ' 2º dcha.', ', bajo'))}{city}".replace(",, ", ", ")
+            name = r.choice((word, f"del {word} Alto", f"de los {word}es", f"de {word}", f"{two} {word}"))
+            return f"{self.pick('Calle|C/|Avda.|Plaza|Paseo|Camino|calle|Ronda')} {name}{r.choice((' ', ', ', ', n.º ', ' n.º '))}{n}{r.choice(('', '', ', 3.º B', ' 2º dcha.', ', bajo'))}{city}"
         if lang == "pl":
-            return f"{self.pick('ul.|al.|pl.|os.')} {r.choice((word, f'Starych {word}ów', f'{two} {word}'))} {n}{r.choice(('', 'A', f'/{r.randrange(1, 40)}', ' m. 4'))}{city}"
+            return f"{self.pick('ul.|al.|pl.|os.|ul.')} {r.choice((word, f'Nowych {word}ów', f'{two} {word}', f'{two[0]}. {word}'))} {n}{r.choice(('', '', 'A', f'/{r.randrange(1, 40)}', ' m. 4'))}{city}"
         if lang == "ru":
-            a, b = self.part("given", "cyrillic"), self.part("family", "cyrillic")
-            name = r.choice((a, f"{b} {a}"))
+            a, b = self.part("given", "cyrillic", "ru"), self.part("family", "cyrillic", "ru")
+            name = r.choice((a, b, f"{b} {a}"))
             place = f", {self.digits('99999')} {b}" if r.random() < 0.3 else ""
-            tail = f"{r.choice((', д. ', ', дом ', ', ', ' '))}{n}{r.choice(('', ', кв. 12', '/3', ' корп. 2'))}{place}"
-            return f"{name} ул.{tail}" if r.random() < 0.2 else f"{self.pick('ул.|пр.|пер.|ш.|пл.')} {name}{tail}"
-        name = "".join(r.choice(KANJI_FAMILY) for _ in range(2))
-        block = r.choice((f"{r.randrange(1, 9)}丁目{r.randrange(1, 30)}番{r.randrange(1, 20)}号", f"{r.randrange(1, 9)}-{r.randrange(1, 30)}-{r.randrange(1, 20)}", f"{r.randrange(1, 9)}丁目{r.randrange(1, 30)}-{r.randrange(1, 20)}"))
-        return f"{name}{r.choice('市区町')}{''.join(r.choice(KANJI_FAMILY) for _ in range(2))}{r.choice(('', '町'))}{block}"
+            tail = f"{r.choice((', д. ', ', дом ', ', ', ' '))}{n}{r.choice(('', '', ', кв. 12', '/3', ' корп. 2'))}{place}"
+            return f"{name} ул.{tail}" if r.random() < 0.2 else f"{self.pick('ул.|пр.|пер.|ш.|пл.|улица')} {name}{tail}"
+        name = lambda k: "".join(r.choice(KANJI_FAMILY) for _ in range(k))
+        a, b, c = r.randrange(1, 9), r.randrange(1, 30), r.randrange(1, 20)
+        return f"{name(2)}{r.choice('市区町')}{name(2)}{r.choice(('', '町'))}{r.choice((f'{a}丁目{b}番{c}号', f'{a}-{b}-{c}', f'{a}丁目{b}-{c}'))}"
+
+    def org(self) -> str:
+        """A company or product; now and then it is called like a person, or has an ordinary second word."""
+        r = self.r
+        if r.random() < 0.03 and (known := self.listed["family", "latin"] + self.listed["given", "latin"]):
+            return r.choice(known).capitalize()
+        word = lambda: "".join(r.choice(ONSETS) + r.choice(VOWELS) + r.choice(CODAS) for _ in range(r.choice((1, 2, 2, 3, 4)))).capitalize()
+        form = r.random()
+        return f"{word()} {r.choice(TAILS)}" if form < 0.1 else f"{word()} {word()}" if form < 0.1 + PAIRS else word()
 
-    def firm(self) -> str:
-        """A product or company; now and then it is called like a person."""
-        if self.r.random() < 0.06 and (known := self.parts["family", "latin"] + self.parts["given", "latin"]):
-            return self.r.choice(known).capitalize()
-        return "".join(self.r.choice(FIRMS) for _ in range(self.r.choice((2, 2, 3)))).capitalize()
+    def place(self, lang: str) -> str:
+        if lang in PLACES:
+            return self.pick(PLACES[lang])
+        name = "".join(self.r.choice(CYRILLIC if lang == "ru" else LATIN) for _ in range(2)).capitalize()
+        return name + self.r.choice(("ск", "град", "ово")) if lang == "ru" else name + self.r.choice(("", "burg", "ville", "ton", " Bay", "dorf", "owice"))
 
     def other(self, what: str, lang: str) -> str:
         r = self.r
-        if what in ("noun", "adj"):
-            return r.choice((NOUNS if what == "noun" else ADJECTIVES)[lang].split())
+        if what.lower() in ("noun", "adj"):
+            word, form = r.choice((NOUNS if what.lower() == "noun" else ADJECTIVES)[lang].split()), r.random()
+            if form < 0.3 and what in ("noun", "adj") and lang != "de" and (known := self.ordinary.get("kanji" if lang == "ja" else "cyrillic" if lang == "ru" else "latin")):
+                word = r.choice(known)  # name parts are ordinary words as well
+            elif form < 0.42 and lang != "ja":
+                word = "".join(r.choice(CYRILLIC if lang == "ru" else LATIN) for _ in range(r.choice((1, 2, 2, 3)))) + r.choice(("", "", "e", "ung", "ion", "ing", "keit", "ado", "ość") if lang != "ru" else ("", "ость", "ание", "ка"))
+            elif form < 0.55 and lang == "ja" and what.lower() == "noun":
+                word = "".join(r.choice(KANJI_NOUN) for _ in range(r.choice((2, 2, 3, 4))))
+            return word.capitalize() if what[0].isupper() or lang == "de" and what == "noun" else word
         if what == "title":
             return r.choice(TITLE[lang].split("|")) if TITLE[lang] and r.random() < 0.5 else ""
         made: dict[str, Callable[[], str]] = {
-            "firm": self.firm, "low": lambda: self.firm().lower(), "handle": lambda: "@" + self.firm().lower(), "n": lambda: str(r.randrange(2, 1000)), "suffix": lambda: r.choice(("さん", "様", "氏")),
-            "date": lambda: r.choice((self.digits("20" + "99") + f"-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", f"{r.randrange(1, 29):02}.{r.randrange(1, 13):02}.20{r.randrange(10, 27)}")),
-            "version": lambda: self.digits(r.choice(("9.9.9", "9.99.99", "9.9.99"))), "order": lambda: self.digits(r.choice(("ORD", "TX", "REF", "INV")) + "-2099-999999"), "host": lambda: self.digits("192.0.2.99"),
-            "hash": lambda: "".join(r.choice("0123456789abcdef") for _ in range(24)), "price": lambda: self.digits(r.choice(("9.50", "9,50", "99.50", "999.50", "9999.50", "9999,50"))), "plain": lambda: r.choice(ORDINARY),
+            "org": self.org, "place": lambda: self.place(lang), "low": lambda: self.org().lower(), "day": lambda: self.pick(DAYS[lang]), "handle": lambda: "@" + self.org().split()[0].lower(), "n": lambda: str(r.randrange(2, 1000)), "suffix": lambda: r.choice(("さん", "様", "氏", "先生", "")),
+            "date": lambda: r.choice((f"20{r.randrange(10, 27)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", f"{r.randrange(1, 29):02}.{r.randrange(1, 13):02}.20{r.randrange(10, 27)}", f"{r.randrange(1, 29):02}/{r.randrange(1, 13):02}/20{r.randrange(10, 27)}")),
+            "year": lambda: str(r.randrange(1950, 2030)), "version": lambda: self.digits(r.choice(("9.9.9", "8.99.99", "v9.9", "9.9.99"))), "code": lambda: self.digits(r.choice(("AA-2099-999999", "AAA-2099-999999", "PO-999999", "#999999", "AAA-9999-99999", "INV-99999"))),
+            "host": lambda: ".".join(str(r.randrange(1, 256)) for _ in range(4)), "hash": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((12, 24, 40)))),
+            "amount": lambda: self.digits(r.choice(("€8.99", "8,99 €", "$899.00", "8 999,00", "89.999 zł", "¥8999"))), "plain": lambda: r.choice(ORDINARY),
         }
         return made[what]()
 
@@ -262,24 +297,28 @@ class Maker:
         for m in re.finditer(r"\{(\w+)\}", template):
             out += template[at : m.start()]
             if m[1] in KINDS:
-                body = getattr(self, m[1])(lang)
+                body = getattr(self, m[1])(self.other_language(lang) if m[1] == "address" else lang)
+                self.titled = False
                 gold.append((len(out), len(out) + len(body), m[1]))
             else:
                 body = self.other(m[1], lang)
+                self.titled = m[1] == "title" and bool(body)  # one part alone is mostly a family name behind a title
             out, at = out + body, m.end()
         return out + template[at:], gold
 
     def text(self) -> tuple[str, list[tuple[int, int, str]]]:
         """One to four sentences of one language, about half of them with personal data."""
-        lang = self.r.choice(LANGUAGES)
+        r, lang = self.r, self.r.choice(self.languages)
         out, gold = "", []
-        for i in range(self.r.randrange(1, 5)):
-            template = self.r.choice((WITH if self.r.random() < 0.5 else WITHOUT)[lang])
-            body, marks = self.sentence(template, lang)
-            if not marks and self.r.random() < 0.2:  # what happens to texts on their way
-                body = self.r.choice((str.upper, lambda b: b.replace(" ", "\t"), lambda b: "\ufeff" + b.replace(" ", "\t", 2), lambda b: b.replace(" ", "   ")))(body)
+        for i in range(r.randrange(1, 6)):
+            body, marks = self.sentence(r.choice(self.frames[r.random() < 0.65][lang]), lang)
+            if r.random() < 0.08:  # what happens to texts on their way
+                if not marks:
+                    body = r.choice((str.upper, lambda b: b.replace(" ", "   ")))(body)
+                elif len(body.replace(" ", "\t")) == len(body) and all(" " not in body[s:e] for s, e, _ in marks):
+                    body = body.replace(" ", "\t")
             if i:
-                out += self.r.choice((" ", " ", " ", "\n", "\r\n") if lang != "ja" else ("", "", "\n"))
+                out += r.choice((" ", " ", " ", "\n", "\r\n", "\t")) if lang != "ja" else r.choice(("", "", "\n", " "))
             gold += [(s + len(out), e + len(out), k) for s, e, k in marks]
             out += body
         return out, gold

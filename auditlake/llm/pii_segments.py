@@ -1,19 +1,22 @@
 """Candidate segments of personal data in a text, with whole-span features for the model.
 
-Candidates are proposed generously: every shape that could be an email address, a phone number, an identity number, a street
-address or a personal name. What they are is left to the weights. All positions are code points of the text itself.
+Candidates are proposed generously, from the text alone: every shape that could be an email address, a phone number, an
+identity number, a street address or a personal name. What they are is left to the weights; a listed name part is a feature of
+a candidate and no condition, but for names written wholly in lower case. Features come in groups (tuples), so that the score
+of a group that recurs is looked up instead of summed up again. All positions are code points of the text itself.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from auditlake.llm.semicrf import Segment
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
-#: The longest segment, in code points, and the most words of a name.
-MAX_SPAN, MAX_WORDS = 160, 6
+#: The most words of a name; with them, and the patterns below, the length of every segment is bounded.
+MAX_WORDS = 6
 
 #: Full-width forms of ASCII, one for one, so that positions stay.
 NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20, 0x202F: 0x20, 0x2009: 0x20, 0x200B: 0x20, 0x2011: 0x2D, 0x2010: 0x2D, 0x2012: 0x2D, 0x2013: 0x2D, 0x2212: 0x2D}
@@ -21,7 +24,7 @@ NARROW = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0xA0: 0x20,
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ԯḀ-ỿ̀-ͯ"
 #: Letters, and what becomes of them when UTF-8 is read as a one-byte character set.
 WIDE = LETTER + "¡-ª¬-º¼-¿\x80-\x9f„†‡‰‹•™›€"
-WORD = re.compile(rf"[{LETTER}](?:[{WIDE}]|['’\-](?=[{LETTER}]))*")
+WORD = re.compile(rf"(?<![0-9])[{LETTER}](?:[{WIDE}]|['’\-](?=[{LETTER}]))*")
 KANJI = "一-鿿々ヶヵノ〆"
 KANJI_RUN = re.compile(rf"[{KANJI}]+(?:[ ]?[{KANJI}]+)?")
 
@@ -38,7 +41,7 @@ PHONE = re.compile(
     rf"(?<![{_EDGE}.@#/\-+])(?:\+ ?\d|\(\+?\d{{1,4}}\)|\d)(?:[ .\-/]?\d|[ .\-/]?\(\d{{1,4}}\)){{5,16}}(?: ?(?:ext\.?|x|#) ?\d{{1,5}})?(?![0-9a-zß-öø-ɏа-ӿ@]|[\-/.]\d)"
 )
 ID = re.compile(
-    rf"(?<![{_EDGE}.@#/\-+])(?:(?:(?-i:[A-Z]{{1,3}})[ \-]?|[A-Z]{{1,3}}-?)\d(?:[ .\-]?\d){{4,12}}(?:[ \-]?[A-Z])?|\d(?:[ .\-]?\d){{6,16}}(?:[ \-]?[A-Z])?|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|[A-Z]{{3}} \d{{6}}|\d{{4}} ?[№N#]\.? ?\d{{6}}|(?=[A-Z]*\d[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{{7,9}})(?![{_EDGE}@]|[\-/.][{_EDGE}])",
+    rf"(?<![{_EDGE}.@#/\-+])(?:(?-i:[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)|(?:(?-i:[A-Z]{{1,3}})[ \-]?|[A-Z]{{1,3}}-?)\d(?:[ .\-]?\d){{4,12}}(?:[ \-]?[A-Z])?|\d(?:[ .\-]?\d){{6,16}}(?:(?-i:[ \-][A-Z])|-?[A-Z])?|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|[A-Z]{{3}} \d{{6}}|\d{{4}} ?[№N#]\.? ?\d{{6}}|(?=[A-Z]*\d[A-Z]*\d[A-Z]*\d)[A-Z][A-Z0-9]{{7,9}})(?![{_EDGE}@]|[\-/.][{_EDGE}])",
     re.IGNORECASE,
 )
 
@@ -62,15 +65,15 @@ SUFFIX_DE = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ri
 _NAME = rf"[{LETTER}0-9](?:[{WIDE}0-9]|['’\-])*"
 _UPPER = "(?-i:[A-ZÀ-ÖØ-ÞЀ-Я])"
 _CAP = rf"{_UPPER}(?:[{WIDE}.]|['’\-])*"
-_NUMBER = r"\d{1,4}(?: ?-\d{1,4})?(?: ?[A-Za-z](?![A-Za-zÀ-ɏ]|\. ?\d))?"
+_NUMBER = r"[1-9]\d{0,4}(?: ?-\d{1,5})?(?: ?[A-Za-z](?![A-Za-zÀ-ɏ]|\. ?\d))?"
 _alt = lambda words: "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 _TOWN = rf"{_UPPER}(?:[{WIDE}]|['’\-])*"
 _CITY = rf"(?:, ?\d{{5}} {_TOWN}(?:[ \-](?:{_TOWN}|(?:del?|sur|la|le|les|bei|am)(?![{LETTER}]))){{0,4}})?"
 STREETS = {
     # number, name, type: 12 Some Hill Road, Apt 4
     "number_first": re.compile(rf"(?<![\w\-/.]){_NUMBER} (?:{_CAP} ){{1,4}}(?:{_alt(AFTER_EN)})(?![{LETTER}])(?:,? (?:apt\.?|flat|unit|suite|no\.?) ?\w{{1,5}}| ?#\d{{1,5}})?{_CITY}", re.IGNORECASE),
-    # number, type, name: 14 bis, rue des Exemples
-    "number_type": re.compile(rf"(?<![\w\-/.])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-c])\b)?,? (?:{_alt(BEFORE)}) {_NAME}(?: {_NAME}){{0,4}}?(?=[,.;:)\r\n]| depuis|$| \()(?:, ?\d{{5}} [{LETTER}\-]+)?", re.IGNORECASE),
+    # number, type, name: 14 bis, rue des Exemples; where the name ends is left to the weights
+    "number_type": re.compile(rf"(?<![\w\-/.])[1-9]\d{{0,4}}(?: ?(?:bis|ter|quater|[a-c])\b)?,? (?:{_alt(BEFORE)}) {_NAME}(?: {_NAME}){{0,5}}", re.IGNORECASE),
     # type, name, number: Calle del Olmo, n.º 3 / ul. Dluga 4 m. 5
     "type_first": re.compile(rf"(?<![{LETTER}])(?:{_alt(BEFORE)})(?:(?<=[./]) ?| )(?:{_NAME}[ ]){{0,4}}?{_NAME},? ?(?:n\.?[º°o] ?|nr |№ ?|д\. ?|дом )?{_NUMBER}(?:/\d{{1,4}}| m\. ?\d{{1,4}}|,? кв\. ?\d{{1,4}}|,? корп\. ?\d{{1,3}}|,? \d{{1,2}}[.]?[ºª°o][.]?[ ]?(?:dcha\.|izq\.|dcha|izq|[A-Z])(?![{LETTER}])|, bajo){{0,3}}{_CITY}", re.IGNORECASE),
     # name, type, number: Гончарная Слобода ул., д. 5
@@ -81,34 +84,25 @@ STREETS = {
     # Japanese: city, ward, town, blocks
     "blocks": re.compile(rf"[{KANJI}ァ-ヺ]{{1,8}}?[市区町村郡][{KANJI}ァ-ヺ字]{{0,10}}?\d{{1,3}}(?:丁目|-)\d{{1,3}}(?:(?:番地?|-)(?:\d{{1,4}}号?)?)?(?:-\d{{1,4}})?"),
 }
-#: Without one of these a form cannot match; they are quick to look for.
+#: Without a token of these (or, of the compounds, a token that ends so) a form cannot match; they are quick to look for.
+_bare = lambda words: frozenset(w.strip("./").split(" ")[0] for w in words)
 HINTS = {
-    "number_first": tuple(f" {w}" for w in AFTER_EN), "number_type": tuple(f"{w} " for w in BEFORE), "type_first": tuple(f"{w}" if w in ("c/",) else f"{w} " for w in BEFORE) + tuple(w for w in BEFORE if w.endswith(".")),
-    "name_type": tuple(f" {w}" for w in AFTER_RU), "compound": tuple(f"{w} " for w in SUFFIX_DE), "preposition": tuple(f"{w} " for w in ("am", "an der", "an den", "im", "in der", "in den", "zum", "zur", "auf der", "auf dem", "unter den", "hinter der", "hinter dem", "vor dem", "bei der")),
-    "blocks": tuple("市区町村郡"),
+    "number_first": _bare(AFTER_EN), "number_type": _bare(BEFORE), "type_first": _bare(BEFORE), "name_type": _bare(AFTER_RU), "preposition": frozenset(("am", "an", "im", "in", "zum", "zur", "auf", "unter", "hinter", "vor", "bei")), "blocks": frozenset("市区町村郡"),
 }
+COMPOUND_ENDS = tuple(w.rstrip(".") for w in SUFFIX_DE)
+
 
 # Names ---------------------------------------------------------------------------------------------------------------
 
 #: Titles (fixed values); they stand before a name and are no part of it.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "hr", "fr", "sr", "sra", "srta", "don", "doña", "dña", "d", "m", "mme", "mlle", "pan", "pani", "г-н", "г-жа", "господин", "госпожа", "inż", "mgr"}
-#: Words behind which, or before which, a person is often named (fixed values).
-LEADS = {"regards", "sincerely", "asked", "contact", "attn", "grüßen", "gruß", "fragte", "kontakt", "ansprechpartner", "saludos", "atentamente", "pregunté", "contacto", "cordialement", "salutations", "demandé", "poważaniem", "pozdrawiam", "zapytano", "уважением", "спросили", "контакт", "signed", "by"}
-FOLLOWS = {"signed", "signe", "firmó", "podpisał", "podpisała", "подписал", "подписала", "danach", "wrote", "lives", "wohnt", "habite", "vive"}
-#: Auxiliaries that do so only before certain words.
-FOLLOWS_WITH = {"hat": {"am", "unterschrieben"}, "a": {"signé", "écrit"}, "has": {"signed"}, "ha": {"firmado"}}
 PARTICLES = {"van", "von", "der", "den", "de", "di", "da", "la", "le", "del", "zu", "ter", "af", "bin", "al"}
-JA_AFTER = ("様", "さん", "氏", "先生", "に尋ねた", "が署名", "\t", "(", "、", "\n")
-JA_BEFORE = ("担当:", "敬具 ", "敬具\n", "について", "連絡先:", "、")
-
+#: Japanese titles (fixed values); they stand behind a name.
+HONORIFICS = ("様", "さん", "氏", "先生")
 
-#: A person may stand right before these.
-NEXT = frozenset(("\t", "様", "氏", "に", "が", "さ"))
-MAIL_NEXT = re.compile(r" ?\([^()\n]{0,40}?(?:@| AT | at |\(at\)|\[at\])")
+MAIL_NEXT = re.compile(r" ?[(<][^()<>\n]{0,40}?(?:@| AT | at |\(at\)|\[at\])")
 #: What may stand between the words of a name.
 GAP = re.compile(r"\.? {0,3}|, ?")
-#: What stands before a foreign name in Japanese: kana, a colon, a comma, or the closing of a letter.
-JA_LEAD = re.compile(r"(?:[ぁ-ん]|:|、|敬具\s)$")
 
 
 class Lexicon:
@@ -119,13 +113,26 @@ class Lexicon:
         for part, kind in rows:
             if part and part.strip():
                 self.parts.setdefault(part.strip().lower(), set()).add(kind or "")
-        self.words = set(self.parts) | TITLES | LEADS | FOLLOWS | set(FOLLOWS_WITH)
         kanji = sorted((p for p in self.parts if re.match(rf"[{KANJI}ぁ-んァ-ヺ]", p)), key=len, reverse=True)
         self.kanji = re.compile("|".join(map(re.escape, kanji))) if kanji else None
+        self.seen: dict[str, tuple[str, str, str, bool]] = {}
 
     def kinds(self, word: str) -> str:
         return "+".join(sorted(self.parts.get(word.lower(), ()))) or "-"
 
+    def word(self, word: str) -> tuple[str, str, str, bool]:
+        """Key, shape, kinds in the lexicon, and whether it begins with a capital; remembered, up to a bounded number."""
+        got = self.seen.get(word)
+        if got is None:
+            key = word.lower()
+            kinds = self.kinds(key)
+            if kinds == "-" and "-" in key and (parts := [k for k in map(self.kinds, key.split("-")) if k != "-"]):
+                kinds = "h" + parts[0]
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            got = self.seen[word] = (key, _shape(word), kinds if kinds in ("-", "given", "family") else "h" if kinds[0] == "h" else "b", _capital(word, 0))
+        return got
+
 
 def _signature(s: str) -> str:
     """Runs of digits by length, letters as A, separators as they are: ``(030) 23125 12`` is ``(3) 5 2``."""
@@ -133,60 +140,102 @@ def _signature(s: str) -> str:
     return re.sub(r"\d+", lambda m: str(len(m.group())), s)
 
 
-def _left(text: str, at: int) -> list[str]:
-    """The two tokens before a position, on its line."""
-    piece = text[max(0, at - 40) : at].rsplit("\n", 1)
-    shown = piece[-1]
-    tokens = re.findall(rf"[{LETTER}]+(?:-[{LETTER}]+)*|\d+|[^\s{LETTER}0-9]|[{KANJI}ぁ-んァ-ヺー]|\t", shown)
-    if len(piece) > 1 or at <= 40:
-        tokens.insert(0, "^")
-    tokens = ["9" if t.isdigit() else t.lower() for t in tokens]
-    return tokens[-2:] if len(tokens) > 1 else ["^"] + tokens
-
-
-def _right(text: str, at: int) -> list[str]:
-    shown = text[at : at + 30]
-    m = re.findall(rf"\n|\t|[{LETTER}]+(?:-[{LETTER}]+)*|\d+|[^\s{LETTER}0-9]", shown)
-    tokens = ["9" if t.isdigit() else t.lower() for t in m[:2]]
-    return tokens + ["$"] * (2 - len(tokens))
-
-
-def _context(text: str, s: int, e: int, kind: str) -> list[str]:
-    left, right = _left(text, s), _right(text, e)
-    k = kind[:2]
-    edge = (text[s - 1] if s else "^") + "|" + (text[e] if e < len(text) else "$")
-    edge = re.sub(rf"[{LETTER}]", "a", re.sub(r"\d", "9", re.sub(rf"[{KANJI}]", "K", re.sub("[ぁ-ん]", "h", edge))))
-    return [f"{k}|l|{left[-1]}", f"{k}|ll|{left[-2]} {left[-1]}", f"{k}|r|{right[0]}", f"{k}|rr|{right[0]} {right[1]}", f"{k}|e|{edge}"]
+TOKEN = re.compile(rf"\n|\t|[{LETTER}]+(?:[\-'’][{LETTER}]+)*|\d+|[^\s]")
+_LETTER, _KANJI, _KANA = re.compile(rf"[{LETTER}]"), re.compile(rf"[{KANJI}]"), re.compile("[ぁ-ん]")
+
+
+def _side(c: str) -> str:
+    return "9" if c.isdigit() else "a" if _LETTER.match(c) else "K" if _KANJI.match(c) else "h" if _KANA.match(c) else c
+
+
+class Tokens:
+    """The tokens of a text, cut once: in small letters, numbers as ``9``, line ends as the text's own end."""
+
+    def __init__(self, text: str) -> None:
+        found = list(TOKEN.finditer(text))
+        self.text, self.starts = text, [m.start() for m in found]
+        self.words = ["9" if t.isdigit() else t.lower() for t in [m.group() for m in found]]
+        self.words += ["\n", "\n"]
+
+    def context(self, s: int, e: int, kind: str, hit: bool | None = None) -> tuple:
+        """The group of the two tokens on either side (the nearer first), the characters next to the segment, and whether a number follows soon."""
+        starts, words, text = self.starts, self.words, self.text
+        i, j = bisect_left(starts, s), bisect_left(starts, e)
+        l1 = words[i - 1] if i else "\n"
+        l2 = words[i - 2] if i > 1 and l1 != "\n" else "\n"
+        r1 = words[j]
+        r2 = words[j + 1] if r1 != "\n" else "\n"
+        return ("c", kind, l1, l2, r1, r2, text[s - 1 : s] or "^", text[e : e + 1] or "$", hit, "9" in words[j : j + 4])
+
+
+def expand(group: tuple) -> list[tuple]:
+    """The features of a group; a group of another form is a feature itself."""
+    form, kind = group[0], group[1]
+    if form == "c":
+        _, _, l1, l2, r1, r2, before, after, hit, near = group
+        out = [(kind, "l", l1), (kind, "ll", l2, l1), (kind, "r", r1), (kind, "rr", r1, r2), (kind, "e", _side(before), _side(after))]
+        if kind == "person_name":
+            out += [(kind, "lr", l1, r1), (kind, "hl", hit, l1), (kind, "hr", hit, r1), (kind, "near", hit, near)]
+        return out
+    if form == "n":
+        _, _, shape, order, left, right, title, mail, opens, start = group
+        hits = sum(x != "-" for x in order)
+        return [(kind, "bias"), (kind, "form", shape), (kind, "lex", order), (kind, "both", shape, order), (kind, "hits", hits, len(order)), (kind, "more", left, right), (kind, "title", title), (kind, "mail", mail), (kind, "opens", opens, shape), (kind, "start", start, hits > 0, shape)]
+    if form == "w":
+        _, _, first, last, listed_first, listed_last, one = group
+        out = [(kind, "first", first), (kind, "last", last)]
+        if not listed_first and not one:
+            out += [(kind, "f3", first[-3:]), (kind, "f2", first[-2:])]
+        if not listed_last:
+            out += [(kind, "s3", last[-3:], one), (kind, "s2", last[-2:], one)]
+        return out
+    if form == "d":
+        _, _, sig, digits, start, row, alpha, quad, extended = group
+        return [(kind, "bias"), (kind, "sig", sig), (kind, "n", digits), (kind, "start", start), (kind, "row", row), (kind, "alpha", alpha), (kind, "quad", quad), (kind, "ext", extended)]
+    if form == "a":
+        _, _, name, words, first, city, cut, last, word, end, follows, number = group
+        return [(kind, "bias"), (kind, "form", name), (kind, "words", words, name), (kind, "first", first), (kind, "city", city), (kind, "cut", cut), (kind, "last", last), (kind, "form first", name, word), (kind, "end", name, end, follows), (kind, "ends", end), (kind, "follows", follows), (kind, "number", name, number)]
+    if form == "k":
+        _, _, first, last, share, length, gap, cut, a, z = group
+        return [(kind, "bias"), (kind, "form", "kanji"), (kind, "kfirst", first), (kind, "klast", last), (kind, "kshare", share), (kind, "klen", length, share), (kind, "kgap", gap), (kind, "kcut", cut), (kind, "ka", a), (kind, "kz", z)]
+    if form == "m":
+        return [(kind, "bias"), (kind, "style", group[2]), (kind, "dots", group[3])]
+    return [group]
 
 
 #: Calendar dates, which may follow a number without a blank, are no part of candidates.
 PLAIN = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d(?!\d)|[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\d)")
 #: Four dotted numbers may be a host's address, if they are at most 255; that is a feature.
-QUAD = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+QUAD = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
+EXTENSION = re.compile(r" ?(?:ext\.?|x|#) ?\d{1,5}$", re.IGNORECASE)
+#: Texts without this hold no candidate number.
+SOME_NUMBER = re.compile(r"\d(?:\D{0,4}?\d){2}")
 
 
 def _quad(body: str) -> str:
-    return "-" if not QUAD.fullmatch(body) else "host" if all(int(x) < 256 for x in body.split(".")) else "other"
+    m = QUAD.search(body)
+    return "-" if m is None else "host" if all(int(x) < 256 for x in m.group().split(".")) else "other"
 
 
-def _numbers(text: str) -> Iterator[Segment]:
+def _numbers(text: str, tokens: Tokens) -> Iterator[Segment]:
+    if not SOME_NUMBER.search(text):
+        return
     masked = PLAIN.sub(lambda m: "\x00" * len(m.group()), text)
     spans = {(m.start(), m.end()) for m in PHONE.finditer(masked)} | {(m.start(), m.end()) for m in ID.finditer(masked)}
-    for s, e in sorted(spans):
+    for s, e in spans:
         body = text[s:e]
-        digits = sum(c.isdigit() for c in body)
-        if digits > 17 or digits < (3 if len(body) >= 8 and body.isalnum() else 6):
+        bare = EXTENSION.sub("", body)
+        digits = sum(c.isdigit() for c in bare)
+        if digits < (3 if len(body) >= 8 and body.isalnum() else 6):
             continue
-        sig = _signature(body)
-        row = "t" * (s > 0 and text[s - 1] == "\t") + "t" * (e < len(text) and text[e] == "\t")
-        quad = _quad(body)
+        sig = _signature(bare)
+        row = "t" * (text[s - 1 : s] == "\t") + "t" * (text[e : e + 1] == "\t")
         start = re.match(r"\+\d|\(?00|\(\+?\d|0|[A-Za-z]+|\d", body).group()
         for kind in ("phone", "id_number"):
-            k = kind[:2]
-            yield Segment(s, e, kind, [f"{k}|bias", f"{k}|sig|{sig}", f"{k}|n|{digits}", f"{k}|start|{start}", f"{k}|row|{row}", f"{k}|alpha|{bool(re.search('[A-Za-z]', body))}", f"{k}|quad|{quad}", *_context(text, s, e, kind)])
+            yield Segment(s, e, kind, [("d", kind, sig, digits, start, row, "A" in sig, _quad(body), bare != body), tokens.context(s, e, kind)])
 
 
-def _emails(text: str, folded: str) -> Iterator[Segment]:
+def _emails(text: str, folded: str, tokens: Tokens) -> Iterator[Segment]:
     if "@" not in folded and " at " not in folded and "(at)" not in folded and "[at]" not in folded:
         return
     for m in EMAIL.finditer(text):
@@ -194,41 +243,57 @@ def _emails(text: str, folded: str) -> Iterator[Segment]:
         style = "@" if re.search(r"\S@\S", body) else " @" if "@" in body else "(" if "(at" in body else "[" if "[at" in body else "AT"
         if style == "AT" and not re.search(r" AT .* DOT | AT .*\.", m.group()) and " dot " not in body:
             style = "at"
-        yield Segment(m.start(), m.end(), "email", ["em|bias", f"em|style|{style}", f"em|dots|{min(3, body.count('.') + body.count('dot'))}", *_context(text, m.start(), m.end(), "email")])
+        yield Segment(m.start(), m.end(), "email", [("m", "email", style, min(3, body.count(".") + body.count("dot"))), tokens.context(m.start(), m.end(), "email")])
+
+
+def _anchored(pattern: re.Pattern, tokens: Tokens, hints: frozenset[str]) -> Iterator[re.Match]:
+    """Matches that begin with one of the words, which may stand behind an elided article."""
+    upto = 0
+    for start, word in zip(tokens.starts, tokens.words, strict=False):
+        at = start if word in hints else start + max(word.rfind("'"), word.rfind("’")) + 1 if ("'" in word or "’" in word) and re.split("['’]", word)[-1] in hints else -1
+        if at >= upto and (m := pattern.match(tokens.text, at)):
+            yield m
+            upto = m.end()
 
 
-def _hinted(folded: str, hints: tuple[str, ...], number: bool) -> bool:
-    """Whether one of the hints occurs where a street's name (or number) may follow: not before a bracket."""
-    for hint in hints:
-        at = folded.find(hint)
-        while at >= 0:
-            after = folded[at + len(hint) : at + len(hint) + 1]
-            inside = not number and " " < hint[0] < "\u3000" and at > 0 and folded[at - 1].isalpha()  # the end of another word
-            if not inside and (after.isdigit() if number else after != "("):
-                return True
-            at = folded.find(hint, at + 1)
-    return False
+HOUSE = re.compile(r"[1-9]")
+_BLANK, _TOWN_CODE = re.compile(" "), re.compile(r", ?[0-9]{5} ")
 
 
-def _addresses(text: str, folded: str) -> Iterator[Segment]:
-    seen = set()
+def _addresses(text: str, tokens: Tokens) -> Iterator[Segment]:
+    there, seen = set(tokens.words), set()
+    if "9" not in there and not HOUSE.search(text):
+        return
     for name, pattern in STREETS.items():
-        if not _hinted(folded, HINTS[name], name == "compound"):
+        if HINTS[name].isdisjoint(there) if name != "compound" else not any(w.endswith(COMPOUND_ENDS) for w in there):
             continue
-        for m in pattern.finditer(text):
-            starts = [m.start()]
-            body = m.group()
+        for m in pattern.finditer(text) if name != "type_first" else _anchored(pattern, tokens, HINTS[name]):
+            starts, ends, body = [m.start()], [m.end()], m.group()
             if name in ("compound", "name_type"):  # the words before the street may belong to the sentence
-                starts += [m.start() + x.end() for x in re.finditer(" ", body) if len(body[: x.end()].split()) <= 2 and not body[x.end()].isdigit()]
-            for s, e in [(s, e) for s in starts for e in ([m.end(), m.end() - 1] if body.endswith(".") else [m.end()])]:  # the stop may be the sentence's
-                if (s, e) in seen or e - s > MAX_SPAN:
-                    continue
-                seen.add((s, e))
-                part = text[s:e]
-                words = part.split()
-                f = ["ad|bias", f"ad|form|{name}", f"ad|words|{min(6, len(words))}", f"ad|first|{'9' if words[0][0].isdigit() else 'A' if words[0][:1].isupper() else 'a'}", f"ad|city|{bool(re.search(r', ?[0-9]{5} ', part))}", f"ad|cut|{s - m.start() > 0}", f"ad|last|{words[-1][-4:].lower() if part.endswith('.') else '-'}"]
-                f.append(f"ad|form first|{name} {words[0].lower() if len(words[0]) < 9 and not words[0][0].isdigit() else '9' if words[0][0].isdigit() else 'w'}")
-                yield Segment(s, e, "address", f + _context(text, s, e, "address"))
+                starts += [m.start() + x.end() for x in _BLANK.finditer(body) if len(body[: x.end()].split()) <= 2 and not body[x.end()].isdigit()]
+            if name == "number_type":  # and so may those behind it
+                blanks = [x.start() for x in _BLANK.finditer(body)]
+                ends += [m.start() + x for x in blanks[2:]]
+                town = re.compile(rf", ?\d{{5}} {_TOWN}(?:[ \-]{_TOWN}){{0,3}}").match
+                ends += [t.end() for x in list(ends) if (t := town(text, x))]
+            ends += [x - 1 for x in list(ends) if text[x - 1] == "."]  # the stop may be the sentence's
+            for s in starts:
+                for e in ends:
+                    if (s, e) in seen or e - s < 5:
+                        continue
+                    seen.add((s, e))
+                    part = text[s:e]
+                    words = part.split()
+                    first, end = words[0], words[-1]
+                    word = first.lower() if len(first) < 9 and not first[0].isdigit() else "9" if first[0].isdigit() else "w"
+                    shape = "9" if end[-1:].isdigit() or end[0].isdigit() else _shape(end) if end[0].isalpha() else "x"
+                    after = TOKEN.match(text, e + 1) if text[e : e + 1] == " " else None
+                    follows = text[e : e + 1] if after is None else "9" if after.group()[0].isdigit() else _shape(after.group()) if after.group()[0].isalpha() else after.group()
+                    digits = re.search(r"\d+", part)
+                    yield Segment(s, e, "address", [
+                        ("a", "address", name, min(7, len(words)), "9" if first[0].isdigit() else "A" if first[:1].isupper() else "a", bool(_TOWN_CODE.search(part)), s - m.start() > 0, end[-4:].lower() if part.endswith(".") else "-", word, shape, follows, len(digits.group()) if digits else 0),
+                        tokens.context(s, e, "address"),
+                    ])
 
 
 def _shape(word: str) -> str:
@@ -236,79 +301,7 @@ def _shape(word: str) -> str:
         return "p"
     if len(word) == 1:
         return "I" if word.isupper() else "i"
-    return "U" if word.isupper() else "W" if word[0].isupper() else "w"
-
-
-def _names(text: str, folded: str, lexicon: Lexicon) -> Iterator[Segment]:
-    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    n = len(words)
-    if n:
-        keys = [folded[s:e] for s, e in words] if len(folded) == len(text) else [text[s:e].lower() for s, e in words]
-        anchors: set[int] = set()
-        leads: set[int] = set()
-        words_of_interest = lexicon.words
-        for i, (s, e) in enumerate(words):
-            key = keys[i]
-            after = text[e : e + 2]
-            prev = text[s - 1] if s else ""
-            ja = prev > "\u3000" or prev == ":" or (prev in " \n" and s > 1 and text[s - 2] == "具")
-            if key not in words_of_interest and not ja and after[:1] not in NEXT and "(" not in after and "-" not in key:
-                continue
-            if _listed(key, lexicon):
-                anchors.add(i)
-            if key in TITLES or key in LEADS:
-                anchors.add(i + 1)
-                leads.add(i + 1)
-                if text[e : e + 1] == "." or key in ("demandé", "pregunté", "mit"):
-                    anchors.add(i + 2)
-                    leads.add(i + 2)
-            if i and (key in FOLLOWS or (key in FOLLOWS_WITH and i + 1 < n and keys[i + 1] in FOLLOWS_WITH[key])):
-                anchors.add(i - 1)
-            if after[:1] in NEXT:
-                anchors.add(i)
-            elif ja and JA_LEAD.search(text[max(0, s - 4) : s]):
-                anchors.add(i)
-            elif "(" in after and MAIL_NEXT.match(text[e : e + 60]):
-                anchors.add(i)
-        done: set[tuple[int, int]] = set()
-        shapes: dict[int, str] = {}
-        for a in sorted(anchors):
-            if a >= n:
-                continue
-            low, high = a, a
-            while low > 0 and a - low < MAX_WORDS - 1 and GAP.fullmatch(text, words[low - 1][1], words[low][0]):
-                low -= 1
-            while high + 1 < n and high - a < MAX_WORDS - 1 and GAP.fullmatch(text, words[high][1], words[high + 1][0]):
-                high += 1
-            for i in range(low, high + 1):
-                if i not in shapes:
-                    shapes[i] = _shape(text[words[i][0] : words[i][1]])
-            if shapes[a] in "wi":  # only wholly in lower case, and then only where names stand or with a known part
-                while low < a and shapes[low] not in "wip":
-                    low += 1
-                while high > a and shapes[high] not in "wip":
-                    high -= 1
-                if not _listed(keys[a], lexicon) and not any(i in leads for i in range(low, a + 1)) and not any(_lower_end(text, words, keys, i) for i in range(a, high + 1)):
-                    continue
-            for b in range(low, a + 1):
-                for c in range(a, min(high + 1, b + MAX_WORDS)):
-                    if (b, c) not in done:
-                        done.add((b, c))
-                        seg = _name(text, words, keys, b, c, lexicon, leads, shapes)
-                        if seg:
-                            yield seg
-        for low, high in _capital_runs(text, words, shapes):
-            for b in range(low, high):
-                for c in range(b + 1, min(high + 1, b + MAX_WORDS)):
-                    if (b, c) not in done:
-                        seg = _name(text, words, keys, b, c, lexicon, leads, shapes)
-                        if seg:
-                            yield seg
-    yield from _kanji_names(text, lexicon)
-
-
-def _listed(key: str, lexicon: Lexicon) -> bool:
-    return key in lexicon.parts or ("-" in key and any(p in lexicon.parts for p in key.split("-")))
+    return "U" if word.isupper() else "W" if _capital(word, 0) else "w"
 
 
 def _capital(text: str, at: int) -> bool:
@@ -319,111 +312,129 @@ def _capital(text: str, at: int) -> bool:
     return text[at].isupper()
 
 
-def _capital_runs(text: str, words: list[tuple[int, int]], shapes: dict[int, str]) -> Iterator[tuple[int, int]]:
-    """First and last word of every run of two or more words with a capital, particles between them included."""
-    low = 0
-    while low < len(words):
-        high = low
-        if _capital(text, words[low][0]):
-            while high + 1 < len(words) and GAP.fullmatch(text, words[high][1], words[high + 1][0]) and (_capital(text, words[high + 1][0]) or _shape_at(text, words, high + 1, shapes) == "p"):
-                high += 1
-            if high > low:
-                for i in range(low, high + 1):
-                    _shape_at(text, words, i, shapes)
-                yield low, high
-        low = high + 1
-
-
-def _shape_at(text: str, words: list[tuple[int, int]], i: int, shape_of: dict[int, str]) -> str:
-    if i not in shape_of:
-        shape_of[i] = _shape(text[words[i][0] : words[i][1]])
-    return shape_of[i]
-
-
-def _lower_end(text: str, words: list[tuple[int, int]], keys: list[str], c: int) -> bool:
-    """Whether a name in lower case may end with word c: what comes behind speaks of a person."""
-    e = words[c][1]
-    follows = c + 1 < len(keys) and (keys[c + 1] in FOLLOWS or (keys[c + 1] in FOLLOWS_WITH and c + 2 < len(keys) and keys[c + 2] in FOLLOWS_WITH[keys[c + 1]]))
-    return follows or text[e : e + 1] == "\t" or MAIL_NEXT.match(text, e, e + 60) is not None
-
-
-def _name(text: str, words: list[tuple[int, int]], keys: list[str], b: int, c: int, lexicon: Lexicon, leads: set[int], shape_of: dict[int, str]) -> Segment | None:
-    shapes = [shape_of[i] for i in range(b, c + 1)]
-    if shapes[-1] in "Ip" or (shapes[0] == "p" and c == b):
-        return None
-    lower = sum(x in "wi" for x in shapes)
-    if lower and (lower + shapes.count("p") < len(shapes) or not (b in leads or _lower_end(text, words, keys, c) or (c > b and any(_listed(keys[i], lexicon) for i in range(b, c + 1))))):
-        return None  # a name is not half in lower case, but for its particles; wholly, only where names stand or with a known part
-    gaps, known = [], []
-    for i in range(b, c + 1):
-        s, e = words[i]
-        if i > b:
-            gap, before = text[words[i - 1][1] : s], shapes[i - b - 1]
-            if before in "Ii" and gap[:1] == ".":
+def _names(text: str, lexicon: Lexicon, tokens: Tokens) -> Iterator[Segment]:
+    """Every run of two to six words with a capital, particles included, listed or not; one word, and words in small letters, only
+
+    where something speaks for a person: a listed part, a title, or (small letters) a tab or an email address behind it.
+    """
+    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    n, known = len(words), lexicon.word
+    info = [known(text[s:e]) for s, e in words]
+    i = 0
+    while i < n:
+        if not info[i][3]:
+            if info[i][1] == "w":
+                s, e = words[i]
+                if info[i][2] != "-" or text[e : e + 1] == "\t" or (text[e : e + 2] in (" (", " <") and MAIL_NEXT.match(text, e, e + 60)) or (i and len(info[i - 1][0]) > 1 and info[i - 1][0] in TITLES):
+                    yield from _lower_names(text, words, info, i, tokens)
+            i += 1
+            continue
+        j = i
+        while j + 1 < n and (info[j + 1][3] or info[j + 1][1] == "p") and (text[words[j][1] : words[j + 1][0]] == " " or GAP.fullmatch(text, words[j][1], words[j + 1][0])):
+            j += 1
+        low = i - 1 if i and info[i - 1][1] == "p" and text[words[i - 1][1] : words[i][0]] == " " else i  # a particle may open a name
+        for b in range(low, j + 1):
+            # One word alone is a name behind a title, before a Japanese one, or if it is listed.
+            one = info[b][2] != "-" or (b and info[b - 1][0] in TITLES) or text.startswith(HONORIFICS, words[b][1])
+            for c in range(b if one else b + 1, min(j + 1, b + MAX_WORDS)):
+                seg = _name(text, words, info, b, c, tokens)
+                if seg:
+                    yield seg
+        i = j + 1
+
+
+def _lower_names(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, str, bool]], at: int, tokens: Tokens) -> Iterator[Segment]:
+    low = high = at
+    while low > 0 and at - low < MAX_WORDS - 1 and info[low - 1][1] in "wip" and text[words[low - 1][1] : words[low][0]] in (" ", ", "):
+        low -= 1
+    while high + 1 < len(words) and high - at < MAX_WORDS - 1 and info[high + 1][1] in "wip" and text[words[high][1] : words[high + 1][0]] in (" ", ", "):
+        high += 1
+    for b in range(low, at + 1):
+        for c in range(max(at, b + 1), min(high + 1, b + MAX_WORDS)):
+            if all(info[i][2] == "-" for i in range(b, at)) or c == at or b == at:  # each span once: from its first listed word
+                seg = _name(text, words, info, b, c, tokens)
+                if seg:
+                    yield seg
+
+
+def _name(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, str, bool]], b: int, c: int, tokens: Tokens) -> Segment | None:
+    last = info[c][1]
+    if last in "Iip" or (info[b][1] == "i" and text[words[b][1] : words[b][1] + 1] != "."):
+        return None  # no name ends with an initial or a particle, or begins with a word of one small letter
+    form, order = info[b][1], info[b][2]
+    comma = False
+    for i in range(b + 1, c + 1):
+        gap = text[words[i - 1][1] : words[i][0]]
+        if gap != " ":
+            if info[i - 1][1] in "Ii" and gap[:1] == ".":
                 gap = gap[1:]
-            if (not gap and before not in "Ii") or gap.strip(" ,") or len(gap) > 3 or (gap[:1] == "," and ("," in gaps or len(gap) > 2)):
+            elif not gap or gap[0] == ".":
                 return None
-            gaps.append("," if gap[:1] == "," else " ")
-        kinds = lexicon.kinds(keys[i])
-        if kinds == "-" and "-" in keys[i]:
-            kinds = "h" + "/".join(sorted({lexicon.kinds(p) for p in keys[i].split("-")}))
-        known.append(kinds)
+            if gap[:1] == ",":
+                if comma or len(gap) > 2:
+                    return None
+                comma = True
+                form += ","
+            elif gap.strip(" "):
+                return None
+        form += info[i][1]
+        order += info[i][2][0]
     s, e = words[b][0], words[c][1]
-    if e - s > MAX_SPAN:
-        return None
-    form = "".join(x if not i else ("," if gaps[i - 1] == "," else "") + x for i, x in enumerate(shapes))
-    hits = sum(k != "-" and not k.startswith("h-") for k in known)
-    order = " ".join(k if k in ("-", "given", "family") else "h" if k[0] == "h" else "b" for k in known)
-    before = text[words[b - 1][1] : s] if b else "^"
-    after = text[e : words[c + 1][0]] if c + 1 < len(words) else "$"
-    more_left = bool(b) and before in (" ", "  ") and _shape_at(text, words, b - 1, shape_of) in "WU" and keys[b - 1] not in TITLES
-    more_right = c + 1 < len(words) and after in (" ", "  ") and _shape_at(text, words, c + 1, shape_of) in "WU"
-    title = bool(b) and keys[b - 1] in TITLES and before in (" ", ". ")
-    mail = bool(MAIL_NEXT.match(text[e : e + 60]))
-    first_is_title = keys[b] in TITLES
-    f = ["pe|bias", f"pe|form|{form}", f"pe|lex|{order}", f"pe|hits|{hits}/{len(known)}", f"pe|more|{more_left}{more_right}", f"pe|title|{title}", f"pe|mail|{mail}", f"pe|opens title|{first_is_title}{form}"]
-    context = _context(text, s, e, "person_name")
-    f += [f"pe|lr|{context[0]} {context[2]}", f"pe|hit left|{hits > 0} {context[0]}", f"pe|hit right|{hits > 0} {context[2]}"]
-    return Segment(s, e, "person_name", f + context)
-
-
-def _kanji_names(text: str, lexicon: Lexicon) -> Iterator[Segment]:
-    if not re.search(f"[{KANJI}]", text):
-        return
-    for m in KANJI_RUN.finditer(text.replace("敬具", "\n\n")):  # a closing, not a name
+    left = right = title = opens = start = False
+    if b:
+        key, shape, _, capital = info[b - 1]
+        gap = text[words[b - 1][1] : s]
+        title = key in TITLES and gap in (" ", ". ")
+        left = capital and not title and gap in (" ", "  ")
+        start = "." in gap or "!" in gap or "?" in gap or "\n" in gap
+    else:
+        start = True
+    if c + 1 < len(words):
+        right = info[c + 1][3] and text[e : words[c + 1][0]] in (" ", "  ")
+    opens = info[b][0] in TITLES
+    hit = order.strip("-") != ""
+    mail = text[e : e + 1] in " (<" and bool(MAIL_NEXT.match(text, e, e + 60))
+    order = order.replace("given", "g").replace("family", "f")
+    return Segment(s, e, "person_name", [
+        ("n", "person_name", form, order, left, right, title, mail, opens, start), ("w", "person_name", info[b][0], info[c][0], info[b][2] != "-", info[c][2] != "-", b == c), tokens.context(s, e, "person_name", hit),
+    ])
+
+
+#: The longest name in Japanese script, in characters; longer runs are searched through by their parts.
+MAX_KANJI = 12
+
+
+def _kanji_names(text: str, lexicon: Lexicon, tokens: Tokens) -> Iterator[Segment]:
+    for m in KANJI_RUN.finditer(text):
         run, base = m.group(), m.start()
-        if len(run) < 3:
+        if len(run) < 2:
             continue
-        covered = [False] * len(run)
         first: dict[int, str] = {}
         last: dict[int, str] = {}
+        covered = [False] * len(run)
         if lexicon.kanji:
             at = 0
             while hit := lexicon.kanji.search(run, at):
-                kinds = lexicon.kinds(hit.group())
-                first[hit.start()], last[hit.end()] = kinds, kinds
+                first[hit.start()] = last[hit.end()] = lexicon.kinds(hit.group())
                 for i in range(hit.start(), hit.end()):
                     covered[i] = True
                 at = hit.start() + 1
         begins = [i for i in range(len(run)) if i == 0 or i in first or run[i - 1] == " "]
-        ends = [j for j in range(1, len(run) + 1) if j == len(run) or j in last or run[j : j + 1] in ("氏", "様")]
-        lead = any(text[max(0, base - len(x)) : base] == x for x in JA_BEFORE)
-        tail = any(text.startswith(x, base + len(run)) for x in JA_AFTER)
+        ends = [j for j in range(1, len(run) + 1) if j == len(run) or j in last or run[j] == " " or run.startswith(HONORIFICS, j)]
         for i in begins:
             for j in ends:
                 body = run[i:j]
-                if not 3 <= len(body.replace(" ", "")) <= 8 or " " in (body[0], body[-1]) or not (any(covered[i:j]) or lead or tail):
+                size = len(body) - body.count(" ")
+                if not 2 <= size <= MAX_KANJI or " " in (body[0], body[-1]):
                     continue
+                share = sum(covered[i:j]) / size
                 s, e = base + i, base + j
-                share = sum(covered[i:j]) / len(body.replace(" ", ""))
-                f = ["pe|bias", "pe|form|kanji", f"pe|kfirst|{first.get(i, '-')}", f"pe|klast|{last.get(j, '-')}", f"pe|kshare|{'all' if share == 1 else 'part' if share else 'none'}"]
-                f += [f"pe|klen|{len(body.replace(' ', ''))}", f"pe|kgap|{' ' in body}", f"pe|kcut|{i > 0}{j < len(run)}"]
-                tail_word = next((x for x in JA_AFTER if text.startswith(x, e)), "-")
-                f.append(f"pe|ktail|{tail_word}")
-                yield Segment(s, e, "person_name", f + _context(text, s, e, "person_name"))
+                group = ("k", "person_name", first.get(i, "-"), last.get(j, "-"), "all" if share == 1 else "part" if share else "none", size, " " in body, (i > 0, j < len(run)), body[0], body[-1])
+                yield Segment(s, e, "person_name", [group, tokens.context(s, e, "person_name", share > 0)])
 
 
 WIDE_CHARACTER = re.compile("[" + "".join(re.escape(chr(c)) for c in NARROW) + "]")
+ANY_KANJI = re.compile(f"[{KANJI}]")
 
 
 def narrow(text: str) -> str:
@@ -433,7 +444,6 @@ def narrow(text: str) -> str:
 def segments(text: str, lexicon: Lexicon) -> list[Segment]:
     """All candidates of a text, in no particular order."""
     t = narrow(text)
-    folded = t.lower()
-    return [*_emails(t, folded), *_numbers(t), *_addresses(t, folded), *_names(t, folded, lexicon)]
-
-
+    tokens = Tokens(t)
+    found = [*_emails(t, t.lower(), tokens), *_numbers(t, tokens), *_addresses(t, tokens), *_names(t, lexicon, tokens)]
+    return found + list(_kanji_names(t, lexicon, tokens)) if ANY_KANJI.search(t) else found

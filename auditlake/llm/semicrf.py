@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass, field
 
 #: Segments at most this many characters apart are neighbours; further ones do not know of each other.
@@ -23,7 +24,7 @@ class Segment:
     start: int
     end: int
     kind: str
-    features: list[str] = field(default_factory=list)
+    features: list[Hashable] = field(default_factory=list)
 
 
 def _link(a: Segment, b: Segment, text: str) -> str | None:
@@ -52,13 +53,45 @@ def _lse(values: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in values))
 
 
+#: Scores of feature groups that are remembered before the memory is emptied.
+REMEMBERED = 400_000
+
+
 class SemiCRF:
-    def __init__(self, weights: dict[str, float] | None = None) -> None:
-        self.weights: dict[str, float] = weights or {}
+    """``expand`` gives the features of a group, where segments carry groups of features; each stands for itself otherwise."""
+
+    def __init__(self, weights: dict[Hashable, float] | None = None, expand: Callable[[Hashable], list[Hashable]] = lambda f: [f]) -> None:
+        self.weights: dict[Hashable, float] = weights or {}
+        self.expand = expand
+        self._known: dict[Hashable, float] = {}
+        self._link: float | None = None
 
     def _score(self, s: Segment) -> float:
-        w = self.weights
-        return sum(w.get(f, 0.0) for f in s.features)
+        """The segment's score by the weights as they are; groups are remembered, so only for decoding."""
+        known, total = self._known, 0.0
+        for group in s.features:
+            v = known.get(group)
+            if v is None:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                w = self.weights
+                v = known[group] = sum([w.get(f, 0.0) for f in self.expand(group)])
+            total += v
+        return total
+
+    def _features(self, s: Segment) -> list[Hashable]:
+        return [f for group in s.features for f in self.expand(group)]
+
+    def viable(self, segments: list[Segment]) -> list[tuple[Segment, float]]:
+        """The segments, with their scores, that can be in a best chain.
+
+        One whose score and two best transitions sum up to nothing or less improves no chain by being in it; leaving it
+        out links its neighbours only if it is no longer than NEAR, and such short ones are kept.
+        """
+        link = 2 * max((w for f, w in self.weights.items() if isinstance(f, str) and f.startswith("t|")), default=0.0) if self._link is None else self._link
+        self._link = link = max(0.0, link)
+        scored = [(s, self._score(s)) for s in segments]
+        return [(s, v) for s, v in scored if v + link > 0 or s.end - s.start <= NEAR]
 
     def _before(self, group: list[Segment], text: str) -> list[tuple[int, list[tuple[int, str, float]]]]:
         """For each segment: how many segments end well before its start, and the near ones with their transition."""
@@ -72,14 +105,16 @@ class SemiCRF:
     def decode(self, segments: list[Segment], text: str) -> list[Segment]:
         """The best chain, in order of position. Ties: the chain with fewer and then earlier segments."""
         chosen: list[Segment] = []
-        for group in clusters(segments):
+        scored = self.viable(segments)
+        value = {id(s): v for s, v in scored}
+        for group in clusters([s for s, _ in scored]):
             before = self._before(group, text)
             best: list[tuple[float, int]] = []  # of chains that end with segment i: score, previous segment (-1: none)
             prefix: list[tuple[float, int]] = [(0.0, -1)]  # best among the first n segments
             for i, s in enumerate(group):
                 far, near = before[i]
                 top = max([prefix[far], *[(best[j][0] + w, j) for j, _, w in near]], key=lambda p: p[0])
-                best.append((top[0] + self._score(s), top[1]))
+                best.append((top[0] + value[id(s)], top[1]))
                 prefix.append(max(prefix[-1], (best[i][0], i), key=lambda p: p[0]))
             at, chain = prefix[-1][1], []
             while at >= 0:
@@ -93,7 +128,9 @@ class SemiCRF:
         total = 0.0
         for group in clusters(segments):
             m, before = len(group), self._before(group, text)
-            score = [self._score(s) for s in group]
+            every = [self._features(s) for s in group]
+            w_ = self.weights
+            score = [sum([w_.get(f, 0.0) for f in fs]) for fs in every]
             alpha, upto = [0.0] * m, [0.0] + [0.0] * m  # upto[n]: log sum over chains within the first n segments
             for i in range(m):
                 far, near = before[i]
@@ -115,11 +152,11 @@ class SemiCRF:
             follows = dict(zip(chain[1:], chain, strict=False))  # the gold segment before each
             for i in chain:
                 total += score[i]
-                for f in group[i].features:
+                for f in every[i]:
                     grad[f] += 1.0
             for i in range(m):
                 p = math.exp(min(0.0, alpha[i] + beta[i] - z))
-                for f in group[i].features:
+                for f in every[i]:
                     grad[f] -= p
                 for j, link, w in before[i][1]:
                     grad[link] -= math.exp(min(0.0, alpha[j] + w + score[i] + beta[i] - z))
@@ -130,10 +167,13 @@ class SemiCRF:
         return total
 
     def fit(self, samples: list[tuple[str, list[Segment], set[tuple[int, int, str]]]], epochs: int = 5, rate: float = 0.3, decay: float = 1e-4) -> list[float]:
-        """AdaGrad over the samples (text, candidates, gold segments) in their order; the mean log likelihood per epoch."""
-        seen: dict[str, float] = defaultdict(float)
-        history = []
-        for _ in range(epochs):
+        """AdaGrad over the samples (text, candidates, gold segments) in their order; the mean log likelihood per epoch.
+
+        The weights are the mean of those at the ends of the later half of the epochs.
+        """
+        seen: dict[Hashable, float] = defaultdict(float)
+        history, mean = [], defaultdict(float)
+        for epoch in range(epochs):
             total = 0.0
             for text, segments, gold in samples:
                 grad: dict[str, float] = defaultdict(float)
@@ -143,5 +183,10 @@ class SemiCRF:
                         g -= decay * self.weights.get(f, 0.0)
                         seen[f] += g * g
                         self.weights[f] = self.weights.get(f, 0.0) + rate * g / math.sqrt(seen[f] + 1e-8)
+            if epoch >= epochs // 2:
+                for f, w in self.weights.items():
+                    mean[f] += w / (epochs - epochs // 2)
             history.append(total / max(1, len(samples)))
+        self.weights, self._link = dict(mean), None
+        self._known.clear()
         return history

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import pii, queries
 from auditlake.llm.pii_samples import Maker
-from auditlake.llm.pii_segments import KINDS, Lexicon, narrow, segments
+from auditlake.llm.pii_segments import KINDS, Lexicon, expand, narrow, segments
 from auditlake.llm.semicrf import NEAR, Segment, SemiCRF
 
 ROWS = (("Maribel", "given"), ("Olsen ", "family"), (None, "given"), ("Rose", "given"), ("Bridge", "family"), ("Hartwood", "family"), ("", None), ("灯里", "given"), ("Иванов", "family"), ("Anton", "given"))
@@ -16,7 +16,7 @@ ROWS = (("Maribel", "given"), ("Olsen ", "family"), (None, "given"), ("Rose", "g
 
 @pytest.fixture(scope="module")
 def model():
-    return SemiCRF(pii.trained(ROWS)), Lexicon(list(ROWS))
+    return SemiCRF(pii.trained(ROWS), expand), Lexicon(list(ROWS))
 
 
 def chains(segs):
@@ -77,17 +77,31 @@ def test_likelihood_and_gradient_by_enumeration():
             assert math.isclose(grad[f], (values[0] - values[1]) / (2 * h), abs_tol=1e-5)
 
 
-def test_held_out_accuracy(model):
-    m, lexicon = model
-    maker, hit, said, there = Maker(lexicon, 999), Counter(), Counter(), Counter()
-    for _ in range(600):
+def test_accuracy_on_left_out_frames_and_name_parts():
+    lexicon, hit, said, there = Lexicon(list(ROWS)), Counter(), Counter(), Counter()
+    m, maker = SemiCRF(pii.trained(ROWS, part="train"), expand), Maker(Lexicon(list(ROWS)), 999, "test")
+    assert not {f for side in maker.frames for lang in side for f in side[lang]} & {f for side in Maker(lexicon, 0, "train").frames for lang in side for f in side[lang]}
+    for _ in range(1500):
         text, gold = maker.text()
         found = set(pii.entities(text, lexicon, m))
         there.update(k for _, _, k in gold)
         said.update(k for _, _, k in found)
         hit.update(k for _, _, k in found & set(gold))
-    for k in KINDS:
-        assert hit[k] / there[k] > 0.95 and hit[k] / said[k] > 0.95, (k, hit, said, there)
+    for k in KINDS:  # a floor; the README gives the figures themselves
+        assert hit[k] / there[k] > 0.7 and hit[k] / said[k] > 0.7, (k, hit, said, there)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Yesterday Jonathan Whitfield joined our team", [("person_name", "Jonathan Whitfield")]),
+    ("Our new manager, Priya Raghunathan, starts on Monday", [("person_name", "Priya Raghunathan")]),
+    ("Gestern traf ich Wolfgang Schillinger im Büro", [("person_name", "Wolfgang Schillinger")]),
+    ("Please ring 0161 496 0342", [("phone", "0161 496 0342")]),
+    ("Passport number 533380006", [("id_number", "533380006")]),
+    ("IBAN DE89 3704 0044 0532 0130 00 is mine", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+])
+def test_prose_of_its_own(model, text, want):
+    m, lexicon = model
+    assert [(k, text[s:e]) for s, e, k in pii.entities(text, lexicon, m)] == want
 
 
 @pytest.mark.parametrize("text,want", [
