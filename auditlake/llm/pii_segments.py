@@ -26,7 +26,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ԯḀ-ỿ̀-ͯ"
 WIDE = LETTER + "¡-ª¬-º¼-¿\x80-\x9f„†‡‰‹•™›€"
 WORD = re.compile(rf"(?<![0-9])[{LETTER}](?:[{WIDE}]|['’\-](?=[{LETTER}]))*")
 KANJI = "一-鿿々ヶヵノ〆"
-KANJI_RUN = re.compile(rf"[{KANJI}]+(?:[ ]?[{KANJI}]+)?")
+KANJI_RUN = re.compile(rf"[{KANJI}]+(?:[ ][{KANJI}]+){{0,3}}")
 
 # Email ---------------------------------------------------------------------------------------------------------------
 
