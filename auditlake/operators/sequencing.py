@@ -63,26 +63,30 @@ def number_by_text(df: DataFrame, order: str, name: str = "seq", ranges: int = 2
     return _numbered(df.withColumn(part, search(0, len(cuts))), part, order, name)
 
 
-def window_dedupe(df: DataFrame, ident: Column, time: Column, row: Column, ttl: int) -> DataFrame:
+def window_dedupe(df: DataFrame, ident: Column, time: Column, row: Column, ttl: int, stored: DataFrame | None = None) -> DataFrame:
     """``row`` and ``accepted``: whether the last accepted copy of the identifier had expired when this one came.
 
     A copy is accepted at or after ``ttl`` behind the last *accepted* one; a refused copy extends nothing. Copies are
     ordered by (time, row). One value per task is kept: rows are sorted by identifier and passed through in that order.
-    Rows with a null identifier or time do not come out.
+    Rows with a null identifier or time do not come out. ``stored`` (``id``, ``t``): copies accepted earlier; they come first
+    whatever their time.
     """
     ship(df.sparkSession)
-    rows = df.select(ident.alias("id"), time.cast("long").alias("t"), row.cast("long").alias("row")).filter("id IS NOT NULL AND t IS NOT NULL")
+    rows = df.select(ident.alias("id"), time.cast("long").alias("t"), row.cast("long").alias("row"), F.lit(True).alias("new")).filter("id IS NOT NULL AND t IS NOT NULL")
+    if stored is not None:
+        rows = rows.unionByName(stored.groupBy("id").agg(F.max("t").alias("t")).select("id", "t", F.lit(None).cast("long").alias("row"), F.lit(False).alias("new")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, expires = None, 0
         for b in batches:
-            out = []
-            for ident_, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                if ident_ != current or expires <= t:
+            out, at = [], []
+            for i, (ident_, t, new) in enumerate(zip(b.column("id").to_pylist(), b.column("t").to_pylist(), b.column("new").to_pylist(), strict=True)):
+                fresh = ident_ != current or expires <= t
+                if fresh or not new:
                     current, expires = ident_, t + ttl
-                    out.append(True)
-                else:
-                    out.append(False)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.bool_())], ["row", "accepted"])
+                if new:
+                    out.append(fresh)
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(at, pa.int64())), pa.array(out, pa.bool_())], ["row", "accepted"])
 
-    return rows.repartition("id").sortWithinPartitions("id", "t", "row").mapInArrow(run, "row long, accepted boolean")
+    return rows.repartition("id").sortWithinPartitions("id", "new", "t", "row").mapInArrow(run, "row long, accepted boolean")

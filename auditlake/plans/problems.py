@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.feed import invalid_reason, is_delete
 from auditlake.functions.rfc3339 import epoch_ms, iso_hour
 from auditlake.operators import late, seen
-from auditlake.operators.cdc import VectorTable
 from auditlake.operators.dedupe import ID, copies, dedupe_batch, with_id
 from auditlake.operators.diff import diff_copies
+from auditlake.operators.feed import ObjectFeed
 from auditlake.session import work_dir
 from auditlake.sources.tables import table
 
 #: Batches into which the recorded feed is cut when it is applied; a live feed has its own.
-FEED_BATCHES = 3
+FEED_BATCHES = 4
 
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -91,43 +90,39 @@ def p3_batches(spark: SparkSession, folder: str) -> DataFrame:
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def object_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """The changes of the monitored bucket, one row each: ``key``, ``etag``, ``deleted``, ``event_ms``, ``first_delivery``.
-
-    Copies (problem 3) are combined before they are shuffled. A change counts if any of its copies is sound; its place
-    among changes of the same millisecond is that of its first copy, sound or not.
-    """
-    n = table(spark, folder, "notifications")
+def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """The monitored bucket's messages, as :class:`ObjectFeed` takes them."""
     roles = table(spark, folder, "bucket_roles").filter("bucket_role = 'monitored'").select("bucket")
-    rows = n.join(roles, "bucket", "left_semi").select(
-        F.col("object.key").alias("key"), "action", F.col("object.etag").alias("etag"), "event_time", F.col("object.size").alias("size"), "copy_source", "delivery"
+    rows = table(spark, folder, "notifications").join(roles, "bucket", "left_semi")
+    return rows.select(
+        F.col("object.key").alias("key"), "action", F.col("object.etag").alias("etag"), "event_time", F.col("object.size").alias("size"), F.col("copy_source").isNotNull().alias("copied"), F.col("delivery").alias("arrival")
     )
-    sound = invalid_reason(F.col("action"), F.col("key"), F.col("size"), F.col("etag"), F.col("event_time"), F.col("copy_source").isNotNull()).isNull()
-    grouped = rows.groupBy("key", "action", "etag", "event_time").agg(F.min("delivery").alias("first_delivery"), F.max(sound).alias("sound"))
-    return grouped.filter("sound").select("key", "etag", is_delete(F.col("action")).alias("deleted"), epoch_ms(F.col("event_time")).alias("event_ms"), "first_delivery")
 
 
-def object_table(spark: SparkSession, folder: str, batches: int = FEED_BATCHES) -> VectorTable:
-    """The bucket's table, rebuilt by applying the feed in ``batches`` equal ranges of deliveries."""
-    root = work_dir(spark, "objects")
+def object_feed(spark: SparkSession, folder: str, batches: int = FEED_BATCHES) -> ObjectFeed:
+    """The bucket's table, rebuilt by applying the feed in ``batches`` equal ranges of deliveries, as a live feed would bring it.
+
+    Every batch is applied by an object of its own on the same folder, which finds there what the earlier ones left.
+    """
+    root, rows = work_dir(spark, "objects"), _deliveries(spark, folder)
     last = table(spark, folder, "notifications").agg(F.max("delivery")).first()[0] or 0
-    state = VectorTable(spark, root, "key", ["event_ms", "first_delivery"], ["etag"])
-    part = F.least(F.greatest(F.floor(F.col("first_delivery") * batches / F.lit(last + 1)), F.lit(0)), F.lit(batches - 1)).cast("int")
-    staged = state.newest(object_changes(spark, folder).withColumn("part", part), "part")
-    staged.write.mode("overwrite").partitionBy("part").parquet(f"{root}/staged")
-    written = spark.read.schema(staged.schema).parquet(f"{root}/staged")  # a range without changes has no folder
     for i in range(batches):
-        state.apply(i, written.filter(F.col("part") == i).select("k", "image"), newest=True)
-    return state
+        low, high = (last + 1) * i // batches, (last + 1) * (i + 1) // batches
+        part = rows.filter(((F.col("arrival") >= low) | (i == 0)) & (F.col("arrival") < high))
+        feed = ObjectFeed(spark, root)
+        feed.apply(i, part)
+        if i and i == batches // 2:
+            feed.table.compact()
+    return ObjectFeed(spark, root)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return object_table(spark, folder).read().select(F.col("k").alias("key"), "etag")
+    return object_feed(spark, folder).read().select(F.col("k").alias("key"), "etag")
 
 
 def p4_state(spark: SparkSession, folder: str) -> DataFrame:
-    """Every key ever changed, with its tombstones."""
-    return object_table(spark, folder).read(tombstones=True).select(F.col("k").alias("key"), "deleted", "etag")
+    """Every key ever changed, with its tombstones; the feed comes in twenty batches, compacted half way."""
+    return object_feed(spark, folder, 20).read(tombstones=True).select(F.col("k").alias("key"), "deleted", "etag")
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ nothing else; numbers and identifiers of earlier batches are read from what thos
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from auditlake.operators import late
 from auditlake.operators.cdc import VectorTable
 from auditlake.operators.dedupe import dedupe_batch
-from auditlake.operators.sequencing import number
+from auditlake.operators.feed import ObjectFeed
+from auditlake.operators.sequencing import number, window_dedupe
+from auditlake.session import remove
+from auditlake.sources.ledger import Ledger
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -33,33 +37,58 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
 
 
 class LogSink:
-    """Appends the new events of each batch to a log: first copies only, numbered without gaps over all batches.
+    """Appends the new events of each batch to a log, numbered without gaps over all batches.
 
-    ``root``: ``ids/batch=N`` (identifiers seen), ``log/batch=N`` (numbered rows), ``sizes/batch=N`` (one row each).
-    The rows need ``ident`` and a unique non-negative integer ``order``.
+    Without ``ttl`` an identifier is logged once ever: a batch is anti-joined with all that are stored. With ``ttl`` (in the units
+    of the long column ``time``) it is logged again once its last logged copy has expired, and only the identifiers that may
+    still be alive are read; batches whose identifiers have all expired are pruned, so a batch costs the same however long the
+    log is. Batches then come in order of time; a row that comes later than that is judged as of its batch.
+
+    ``root``: ``ids/batch=N`` (identifiers and times), ``log/batch=N`` (numbered rows), ``finished`` (the ledger, with the next
+    number and the newest time). The rows need ``ident`` and a unique non-negative integer ``order``; rows without identifier
+    (or, with ``ttl``, time) are left out. A finished batch is left as it is; one that was cut short overwrites its own folders.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ident: str, order: str) -> None:
-        self.spark, self.root, self.ident, self.order = spark, root, ident, order
+    def __init__(self, spark: SparkSession, root: str, ident: str, order: str, time: str | None = None, ttl: int | None = None) -> None:
+        if (time is None) != (ttl is None):
+            raise ValueError("a time to live needs a time, and the other way round")
+        self.spark, self.root, self.ident, self.order, self.time, self.ttl = spark, root, ident, order, time, ttl
+        self.finished = Ledger(spark, f"{root}/finished")
 
-    def _earlier(self, kind: str, batch: int) -> DataFrame | None:
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = [f"{self.root}/{kind}/batch={n}" for n in range(batch) if fs.exists(fs_path(f"{self.root}/{kind}/batch={n}"))]
-        return self.spark.read.parquet(*found) if found else None
+    def _ids(self, batches: list[int], kind: str) -> DataFrame | None:
+        t = self.time or "t"
+        paths = [f"{self.root}/ids/batch={n}" for n in batches]
+        return self.spark.read.schema(f"`{self.ident}` {kind}, `{t}` long").parquet(*paths) if paths else None
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        write = lambda df, kind: df.write.mode("overwrite").parquet(f"{self.root}/{kind}/batch={batch}")
-        stored, sizes = self._earlier("ids", batch), self._earlier("sizes", batch)
-        start = (sizes.agg(F.sum("n")).first()[0] if sizes is not None else 0) or 0
-        kept, new = dedupe_batch(rows.filter(F.col(self.ident).isNotNull()), stored, [F.col(self.order)], self.ident)
+        done = self.finished.numbers()
+        if batch in done:
+            return
+        notes = {n: json.loads(self.finished.note(n)) for n in (done if self.ttl else done[-1:])}
+        start = notes[done[-1]]["next"] if done else 0
+        kind = rows.schema[self.ident].dataType.simpleString()
+        rows = rows.filter(F.col(self.ident).isNotNull())
+        if self.ttl is None:
+            kept, _ = dedupe_batch(rows, self._ids(done, kind), [F.col(self.order)], self.ident)
+            when, alive = F.lit(None).cast("long"), done
+        else:
+            low = rows.agg(F.min(self.time)).first()[0]
+            alive = [n for n in done if low is None or notes[n]["newest"] is None or notes[n]["newest"] > low - self.ttl]
+            for n in set(done) - set(alive):
+                remove(self.spark, f"{self.root}/ids/batch={n}")  # expired, all of them
+            stored = self._ids(alive, kind)
+            fresh = window_dedupe(rows, F.col(self.ident), F.col(self.time), F.col(self.order), self.ttl, stored=stored if stored is None else stored.select(F.col(self.ident).alias("id"), F.col(self.time).alias("t")))
+            kept = rows.join(fresh.filter("accepted").select(F.col("row").alias(self.order)), self.order, "left_semi")
+            when = F.col(self.time)
+        write = lambda df, what: df.write.mode("overwrite").parquet(f"{self.root}/{what}/batch={batch}")
         write(number(kept, self.order).withColumn("seq", F.col("seq") + F.lit(start)), "log")
         written = self.spark.read.parquet(f"{self.root}/log/batch={batch}")
-        write(written.select(self.ident), "ids")
-        write(written.agg(F.count(F.lit(1)).alias("n")), "sizes")
+        write(written.select(self.ident, when.alias(self.time or "t")), "ids")
+        n, newest = self._ids([batch], kind).agg(F.count(F.lit(1)), F.max(self.time or "t")).first()
+        self.finished.add(batch, json.dumps({"next": start + n, "newest": newest}))
 
     def log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/log/*")
+        return self.spark.read.parquet(*[f"{self.root}/log/batch={n}" for n in self.finished.numbers()])
 
 
 class CorrectedPeriods:
@@ -80,6 +109,6 @@ class CorrectedPeriods:
         return self.spark.read.parquet(f"{self.root}/*").groupBy("period").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def apply_changes(table: VectorTable) -> Callable[[DataFrame, int], None]:
-    """Applies each batch of changes to a table kept with delete vectors."""
+def apply_changes(table: VectorTable | ObjectFeed) -> Callable[[DataFrame, int], None]:
+    """Applies each batch to a table kept with delete vectors, or to a feed of object changes in front of one."""
     return lambda rows, batch: table.apply(batch, rows)
