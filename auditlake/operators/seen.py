@@ -4,7 +4,8 @@ Rows are split by a hash of the key, each shard is sorted by arrival and passed
 (:mod:`auditlake.functions.bloom`), which holds some ten to twenty bits per different key and never the keys themselves.
 A key that holds a large share of all rows is thinned out before the shuffle: of equal keys within one Arrow batch all but
 the earliest are certainly repeats; they skip the filter and are spread over all shards by position.
-Shards follow ``spark.sql.shuffle.partitions``: raise it with the input so that a shard's chain (and sort) fits a task.
+The number of shards is a parameter: raise it with the number of different keys, so that a shard's chain stays in the tens of
+megabytes.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.bloom import BloomChain, Layer
 from auditlake.session import ship
+from auditlake.sources.ledger import Ledger
 
-ERROR = 0.001
+#: The bound on the chance that a new key is called old, and the keys of a chain's first layer.
+ERROR, CAPACITY = 0.001, 1024
+#: Hash shards, a chain each: a fixed number, so that the answers are the same on every cluster.
+SHARDS = 256
 
 
 def exact_bytes(key: Column) -> Column:
@@ -44,7 +49,33 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("pos"), pc.if_else(flag, pa.scalar(None, b.column("key").type), b.column("key")), flag], ["pos", "key", "certain"])
 
 
-def answers(rows: DataFrame, error: float = ERROR, capacity: int = 4096, only_seen: bool = False) -> DataFrame:
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """Items with their shard and the two hashes for its chain. Shards are fixed in number, so answers do not depend on the cluster."""
+    ship(rows.sparkSession)
+    thin = rows.mapInArrow(_thin, "pos long, key binary, certain boolean")
+    shard = F.pmod(F.when(F.col("certain"), F.xxhash64("pos")).otherwise(F.xxhash64("key")), F.lit(shards)).cast("int")
+    # The hashes in the chain differ from the one that places the rows: all keys of a shard share bits of that.
+    return thin.select(shard.alias("shard"), "pos", "key", "certain", F.xxhash64(F.lit(3), F.col("key")).alias("h1"), F.xxhash64(F.lit(7), F.col("key"), F.lit(11)).alias("h2"))
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The parts of a batch that belong to one shard."""
+    shards = b.column("shard").to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if low < high:
+            yield int(shards[low]), b.slice(low, high - low)
+
+
+def _ask(chain: BloomChain, part: pa.RecordBatch) -> np.ndarray:
+    certain = part.column("certain").to_numpy(zero_copy_only=False).astype(bool)
+    ask, seen = np.flatnonzero(~certain), certain.copy()
+    h1, h2 = (part.column(c).to_numpy(zero_copy_only=False).view(np.uint64)[ask] for c in ("h1", "h2"))
+    seen[ask] = chain.test_and_add(h1, h2)
+    return seen
+
+
+def answers(rows: DataFrame, error: float = ERROR, capacity: int = CAPACITY, only_seen: bool = False, shards: int = SHARDS) -> DataFrame:
     """Of :func:`keyed` rows: ``pos``, ``key``, ``seen`` (the filter's answer) and ``certain`` (``seen`` by comparison).
 
     ``seen`` is never false for a repeat, and true for a new key with a chance below ``error``. Ties in ``pos`` are
@@ -52,89 +83,85 @@ def answers(rows: DataFrame, error: float = ERROR, capacity: int = 4096, only_se
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = BloomChain(error, capacity)
+        shard, chain = None, None
         for b in batches:
-            certain = b.column("certain").to_numpy(zero_copy_only=False).astype(bool)
-            ask = np.flatnonzero(~certain)
-            seen = certain.copy()
-            h1, h2 = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64)[ask] for c in ("h1", "h2"))
-            seen[ask] = chain.test_and_add(h1, h2)
-            out = pa.RecordBatch.from_arrays([b.column("pos"), b.column("key"), pa.array(seen), b.column("certain")], ["pos", "key", "seen", "certain"])
-            yield out.filter(pa.array(seen)) if only_seen else out
+            seen = []
+            for s, part in _runs(b):
+                if s != shard:
+                    shard, chain = s, BloomChain(error, capacity)
+                seen.append(_ask(chain, part))
+            flags = pa.array(np.concatenate(seen) if seen else np.zeros(0, bool))
+            out = pa.RecordBatch.from_arrays([b.column("pos"), b.column("key"), flags, b.column("certain")], ["pos", "key", "seen", "certain"])
+            yield out.filter(flags) if only_seen else out
 
-    ship(rows.sparkSession)
-    thin = rows.mapInArrow(_thin, "pos long, key binary, certain boolean")
-    shard = F.when(F.col("certain"), F.xxhash64("pos")).otherwise(F.xxhash64("key"))
-    # The second hash differs from the one that places the rows: all keys of a shard share bits of that.
-    h2 = F.xxhash64(F.lit(7), F.col("key"), F.lit(11))
-    placed = thin.withColumn("shard", shard).repartition("shard").sortWithinPartitions("pos")
-    hashed = placed.select("pos", "key", "certain", F.xxhash64(F.lit(3), F.col("key")).alias("h1"), h2.alias("h2"))
-    return hashed.mapInArrow(run, "pos long, key binary, seen boolean, certain boolean")
+    placed = _placed(rows, shards).repartition("shard").sortWithinPartitions("shard", "pos")
+    return placed.mapInArrow(run, "pos long, key binary, seen boolean, certain boolean")
 
 
 class SeenStore:
     """Chains that outlive a run: each batch is answered against all earlier ones, whose keys are not kept.
 
-    ``root/batch=N`` holds the answers of batch N and the chains as they stood after it, one row per shard and layer. A
-    batch overwrites its own folder and reads only the one before, so it can be run again. The number of shards is
-    fixed for the life of the store: choose it so that a shard's share of all keys ever, at some 15 to 25 bits each,
-    stays in the tens of megabytes.
+    ``root/batch=N`` holds the answers of batch N, the layers that became full in it (written once, here) and the layer each
+    shard was filling when it ended. A batch reads all full layers and the last unfinished ones, and writes only its own
+    folder, so it can be run again until it stands in the ledger ``finished``. The number of shards is fixed for the life of the
+    store: choose it so that a shard's share of all keys ever, at some 15 to 25 bits each, stays in the tens of megabytes.
     """
 
     SCHEMA = "kind string, shard int, layer int, pos long, key binary, seen boolean, certain boolean, chain binary"
 
-    def __init__(self, root: str, shards: int = 64, error: float = ERROR, capacity: int = 4096) -> None:
+    def __init__(self, root: str, shards: int = 64, error: float = ERROR, capacity: int = CAPACITY) -> None:
         self.root, self.shards, self.error, self.capacity = root, shards, error, capacity
 
+    def _layers(self, spark: SparkSession, batches: list[int]) -> DataFrame:
+        """``shard``, ``layer``, ``chain`` and whether the layer is full, as the last of the batches left them."""
+        rows = spark.read.schema(f"batch int, {self.SCHEMA}").option("basePath", self.root).parquet(*[f"{self.root}/batch={n}" for n in batches])
+        return rows.filter((F.col("kind") == "full") | ((F.col("kind") == "active") & (F.col("batch") == batches[-1]))).select("shard", "layer", "chain", (F.col("kind") == "full").alias("full"))
+
     def apply(self, number: int, rows: DataFrame) -> None:
-        """Answer batch ``number`` (0, 1, 2, ...) of :func:`keyed` rows and add its keys."""
-        spark = rows.sparkSession
-        ship(spark)
-        error, capacity = self.error, self.capacity
+        """Answer batch ``number`` of :func:`keyed` rows and add its keys; rising numbers, a finished batch is left as it is."""
+        spark, error, capacity = rows.sparkSession, self.error, self.capacity
+        finished = Ledger(spark, f"{self.root}/finished")
+        done = finished.numbers()
+        if number in done:
+            return
+        if done and number < done[-1]:
+            raise ValueError(f"batch {done[-1]} is finished; {number} comes too late")
+        names = ["kind", "shard", "layer", "pos", "key", "seen", "certain", "chain"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, chain = None, None
+            shard, chain, old = None, None, 0
 
             def stored() -> pa.RecordBatch:
-                made = [("chain", shard, i, None, None, None, None, x.to_bytes()) for i, x in enumerate(chain.layers)]
+                last = len(chain.layers) - 1
+                made = [("active" if i == last else "full", shard, i, None, None, None, None, x.to_bytes()) for i, x in enumerate(chain.layers) if i >= old or i == last]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names)
 
-            names = ["kind", "shard", "layer", "pos", "key", "seen", "certain", "chain"]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
             for b in batches:
-                shards = b.column("shard").to_numpy(zero_copy_only=False)
-                cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
-                for low, high in zip(cuts, cuts[1:], strict=False):
-                    if low == high:
-                        continue
-                    part = b.slice(low, high - low)
-                    if shard != int(shards[low]):
+                for s, part in _runs(b):
+                    if s != shard:
                         if chain is not None and chain.layers:
                             yield stored()
-                        shard, chain = int(shards[low]), BloomChain(error, capacity)
-                    old = part.filter(pc.is_valid(part.column("chain")))
-                    chain.layers += [Layer.from_bytes(x) for x in old.column("chain").to_pylist()]
+                        shard, chain, old = s, BloomChain(error, capacity), 0
+                    held = part.filter(pc.is_valid(part.column("chain")))
+                    chain.layers += [Layer.from_bytes(x) for x in held.column("chain").to_pylist()]
+                    old += sum(held.column("certain").to_pylist())  # of stored layers: full, and so written before
                     new = part.filter(pc.is_null(part.column("chain")))
-                    certain = new.column("certain").to_numpy(zero_copy_only=False).astype(bool)
-                    ask, seen = np.flatnonzero(~certain), certain.copy()
-                    h1, h2 = (new.column(c).to_numpy(zero_copy_only=False).view(np.uint64)[ask] for c in ("h1", "h2"))
-                    seen[ask] = chain.test_and_add(h1, h2)
                     n = len(new)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(["answer"] * n, pa.string()), new.column("shard"), pa.nulls(n, pa.int32()), new.column("pos"), new.column("key"), pa.array(seen), new.column("certain"), pa.nulls(n, pa.binary())], names
+                        [pa.array(["answer"] * n, pa.string()), new.column("shard"), pa.nulls(n, pa.int32()), new.column("pos"), new.column("key"), pa.array(_ask(chain, new)), new.column("certain"), pa.nulls(n, pa.binary())], names
                     )
             if chain is not None and chain.layers:
                 yield stored()
 
-        thin = rows.mapInArrow(_thin, "pos long, key binary, certain boolean")
-        shard = F.pmod(F.when(F.col("certain"), F.xxhash64("pos")).otherwise(F.xxhash64("key")), F.lit(self.shards)).cast("int")
-        items = thin.select(shard.alias("shard"), F.lit(1).alias("ord"), "pos", "key", "certain", F.xxhash64(F.lit(3), F.col("key")).alias("h1"), F.xxhash64(F.lit(7), F.col("key"), F.lit(11)).alias("h2"), F.lit(None).cast("binary").alias("chain"))
-        if number:
+        items = _placed(rows, self.shards).select("shard", F.lit(1).alias("ord"), "pos", "key", "certain", "h1", "h2", F.lit(None).cast("binary").alias("chain"))
+        if done:
             none = lambda t: F.lit(None).cast(t)
-            before = spark.read.schema(self.SCHEMA).parquet(f"{self.root}/batch={number - 1}").filter("kind = 'chain'")
-            items = items.unionByName(before.select("shard", F.lit(0).alias("ord"), F.col("layer").cast("long").alias("pos"), none("binary").alias("key"), none("boolean").alias("certain"), none("long").alias("h1"), none("long").alias("h2"), "chain"))
+            before = self._layers(spark, done)
+            items = items.unionByName(before.select("shard", F.lit(0).alias("ord"), F.col("layer").cast("long").alias("pos"), none("binary").alias("key"), F.col("full").alias("certain"), none("long").alias("h1"), none("long").alias("h2"), "chain"))
         placed = items.repartition(self.shards, "shard").sortWithinPartitions("shard", "ord", "pos")
         placed.mapInArrow(run, self.SCHEMA).write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/batch={number}")
+        finished.add(number)
 
     def answers(self, spark: SparkSession, number: int) -> DataFrame:
         """``pos``, ``key``, ``seen``, ``certain`` of a batch's rows, as :func:`answers` gives them for one batch."""

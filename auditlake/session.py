@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -77,12 +78,10 @@ def ship(spark: SparkSession) -> None:
     _shipped = spark.sparkContext.applicationId
 
 
-#: Inputs smaller than this per core are spread out before costly work on their rows.
-SPREAD_BYTES = 4 << 20
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows for costly per-row work, dealt out evenly whatever the splits of their files are: one exchange at every size.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows for costly per-row work: a small input, which may lie in one file, is dealt out to all cores; a larger one has splits enough."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    Into ``partitions``, or as many as adaptive execution finds right: ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` each, smaller
+    ones (down to ``spark.sql.adaptive.coalescePartitions.minPartitionSize``) where there would be fewer than cores.
+    """
+    return df.repartition(partitions) if partitions else df.hint("rebalance")

@@ -20,7 +20,7 @@ def test_seen_answers_and_rate(spark, folder):
     assert all(answers[p] for p in repeats)
     rate = problems.p5_rate(spark, folder).first()
     assert rate.missed == 0 and rate.repeats == len(repeats) and rate.wrong == sum(bool(x) for x in answers.values()) - len(repeats)
-    assert rate.wrong_rate <= 5 * rate.bound
+    assert rate.wrong_rate <= rate.bound
 
 
 def test_entry_point(spark, folder):
