@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.notes import pair
 from auditlake.session import work_dir
 
 WIDTH, HEIGHT = 256, 8
@@ -101,15 +102,33 @@ def nodes(hashes: DataFrame, stored: bool = False) -> DataFrame:
     return out
 
 
-def inclusion_proofs(tree: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``index``, ``proof`` (array of hashes, lowest first) of each wanted leaf; one join, whatever their number."""
-    high = max(0, (size - 1).bit_length())
-    steps = wanted.select(F.col("index").alias("leaf"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("height")) if high else None
-    if steps is None:
-        return wanted.select("index", F.array().cast("array<binary>").alias("proof"))
-    steps = steps.withColumn("index", F.expr("shiftright(leaf, height) ^ 1L"))
-    found = steps.join(tree, ["height", "index"]).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("height", "hash"))).alias("p"))
-    return found.select(F.col("leaf").alias("index"), F.transform("p", lambda x: x["hash"]).alias("proof"))
+def _siblings(hashes: Column) -> tuple[Column, Column]:
+    """The heights of up to 256 hashes, to be named ``__heights``, and then for each hash its siblings inside the group, lowest first; a node that is carried up has none at that height."""
+    heights = _heights(hashes)
+    at = lambda i, h: F.get(F.get(F.col("__heights"), h), F.call_function("shiftright", i, h).bitwiseXOR(F.lit(1)))
+    one = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda h: at(i, h)), lambda x: x.isNotNull())
+    return heights, F.transform(F.sequence(F.lit(0), F.size(hashes) - 1), one)
+
+
+def inclusion_proofs(groups: list[DataFrame], wanted: DataFrame | None = None) -> DataFrame:
+    """``index``, ``proof`` (array of hashes, lowest first) of the leaves, or of those of ``wanted`` (``index``).
+
+    ``groups``: the :func:`levels` of the tree. The lower eight siblings of a leaf lie in its own group; the rest of its path is
+    that of the group in the level above, joined once per group. Nothing is shuffled but one row per 256 leaves.
+    """
+    upper = None
+    for level in range(len(groups) - 1, -1, -1):
+        g = groups[level]
+        if wanted is not None and not level:
+            g = g.join(wanted.select(F.expr(f"index div {WIDTH}").alias("tile")).distinct(), "tile", "left_semi")
+        heights, siblings = _siblings(F.col("hashes"))
+        g = g.withColumn("__heights", heights).select("tile", siblings.alias("low"))
+        above = F.array().cast("array<binary>")
+        if upper is not None:
+            g, above = g.join(upper.select(F.col("index").alias("tile"), F.col("proof").alias("above")), "tile"), F.col("above")
+        rows = g.select("tile", above.alias("above"), F.posexplode("low").alias("i", "low"))
+        upper = rows.select((F.col("tile") * WIDTH + F.col("i")).alias("index"), F.concat("low", "above").alias("proof"))
+    return upper if wanted is None else upper.join(wanted.select("index"), "index")
 
 
 def proof_root(index: Column, size: Column, leaf: Column, proof: Column) -> Column:
@@ -133,21 +152,20 @@ def proof_root(index: Column, size: Column, leaf: Column, proof: Column) -> Colu
 
 
 def consistency_ranges(old: int, new: int) -> list[tuple[int, int]]:
-    """The leaf ranges whose hashes prove that the tree of ``new`` leaves extends that of ``old`` (RFC 6962, 2.1.2), in order."""
+    """The leaf ranges whose hashes prove that the tree of ``new`` leaves extends that of ``old`` (RFC 6962, 2.1.2), in order.
+
+    Read off the bits of the last old leaf's index in the tree with carried nodes. Heights at which it is a right child all
+    the way from the leaf form one subtree that is wholly old: it comes first, unless it is the whole old tree. From there up,
+    the sibling at every height belongs to the proof, if there is one.
+    """
     if not 0 < old <= new:
         raise ValueError("the old tree has at least one leaf and is no larger than the new one")
-    out: list[tuple[int, int]] = []
-    low, high, whole = 0, new, True
-    m = old
-    while m < high - low:
-        k = 1 << ((high - low - 1).bit_length() - 1)
-        if m <= k:
-            out.append((low + k, high))
-            high = low + k
-        else:
-            out.append((low, low + k))
-            low, m, whole = low + k, m - k, False
-    return ([] if whole else [(low, high)]) + out[::-1]
+    if old == new:
+        return []
+    last, base = old - 1, (old & -old).bit_length() - 1
+    nodes = [] if old == 1 << base else [(base, last >> base)]
+    nodes += [(h, (last >> h) ^ 1) for h in range(base, (new - 1).bit_length()) if ((last >> h) ^ 1) << h < new]
+    return [(i << h, min(new, (i + 1) << h)) for h, i in nodes]
 
 
 def consistency_proof(tree: DataFrame, old: int, new: int) -> DataFrame:
@@ -171,6 +189,41 @@ def tiles(log_hashes: DataFrame, stored: bool = False) -> DataFrame:
     return out if out is not None else log_hashes.sparkSession.createDataFrame([], "level int, index long, width int, hashes array<binary>")
 
 
+def grown(entries: DataFrame, old: int, size: int, edges: dict[int, list[bytes]]) -> tuple[DataFrame, dict[int, list[bytes]]]:
+    """What growing a tree from ``old`` to ``size`` leaves adds: the new tiles, as :func:`tiles` gives them, and the new right edge.
+
+    ``entries``: ``index``, ``hash`` of the leaves from ``old`` on. ``edges``: per level the hashes of the tile that is not full. The
+    cost follows the number of new leaves; the edge is at most 255 hashes for each of eight levels.
+    """
+    spark, level, out, right, rows = entries.sparkSession, 0, None, {}, entries
+    while size >> (8 * level):
+        before, now = old >> (8 * level), size >> (8 * level)
+        if before == now:  # nothing new from here on up
+            right.update({k: v for k, v in edges.items() if k >= level})
+            break
+        held = spark.createDataFrame([(before - before % WIDTH + i, bytearray(h)) for i, h in enumerate(edges.get(level, []))], "index long, hash binary")
+        g = _written(grouped(rows.unionByName(held)), "grown")
+        part = g.select(F.lit(level).alias("level"), F.col("tile").alias("index"), F.size("hashes").alias("width"), "hashes")
+        out = part if out is None else out.unionByName(part)
+        right[level] = [bytes(h) for r in g.filter(F.size("hashes") < WIDTH).select("hashes").collect() for h in r["hashes"]]  # one tile at most
+        rows = g.filter(F.size("hashes") == WIDTH).select(F.col("tile").alias("index"), folded(F.col("hashes")).alias("hash"))
+        level += 1
+    return out, {k: v for k, v in right.items() if v}
+
+
+def edge_root(size: int, edges: dict[int, list[bytes]]) -> bytes:
+    """The root of a tree by its right edge: what is left over at a level is carried into the next."""
+    if not size:
+        return bytes.fromhex(EMPTY_ROOT)
+    carried: list[bytes] = []
+    for level in range((size.bit_length() + 7) // 8):
+        row = edges.get(level, []) + carried
+        while len(row) > 1:
+            row = [pair(row[i], row[i + 1]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
+        carried = row
+    return carried[0]
+
+
 def tile_coordinates(size: Column) -> Column:
     """Array of (level, index, width) of the tiles of a tree: per level the full ones and the partial one."""
     shape = "array<struct<level:int,index:bigint,width:int>>"

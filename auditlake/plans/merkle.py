@@ -65,8 +65,7 @@ def decompose(spark: SparkSession, folder: str) -> DataFrame:
 
 def _proofs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     leaves = _leaves(spark, folder)
-    size = leaves.count()
-    return m.inclusion_proofs(m.nodes(leaves, stored=True), leaves.select("index"), size), leaves, size
+    return m.inclusion_proofs(m.levels(leaves, stored=True)), leaves, leaves.count()
 
 
 def inclusion_proof(spark: SparkSession, folder: str) -> DataFrame:

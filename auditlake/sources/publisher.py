@@ -1,79 +1,98 @@
 """Publishing a log: immutable resources first, the live checkpoint last.
 
-``root/resources/size=N`` holds what was new when the log was published at N entries (``path``, ``data``), ``root/archive/size=N``
-the signed checkpoint of that size, ``root/live`` one row, the newest checkpoint. Everything but ``live`` is created once; a
-publication that is cut short is simply run again and writes the same bytes.
+``root/resources/F`` holds what a publication added (``path``, ``data``), ``root/edges/F`` the right edge of the tree after it,
+``root/archive`` the signed checkpoint of each size, ``root/steps`` the ledger of publications, ``root/live`` one row, the newest
+checkpoint. Every publication writes folders of its own and counts once it stands in the ledger, which takes one successor per
+step: of two publishers that start from the same step one wins. One that is cut short is simply run again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import notes
 from auditlake.errors import LogDiverged, NotVerifiable
 from auditlake.operators import merkle as m
+from auditlake.sources.ledger import Ledger
 
 
 class Publisher:
     def __init__(self, spark: SparkSession, root: str, key: notes.Key) -> None:
         self.spark, self.root, self.key = spark, root, key
+        self.steps = Ledger(spark, f"{root}/steps")
 
-    def _sizes(self, kind: str) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        done = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        ok = [p for p in done if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("size=")) for p in ok)
+    def _step(self, number: int) -> dict:
+        return json.loads(self.steps.note(number))
 
     def live(self) -> notes.Checkpoint | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/live/_SUCCESS")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return notes.open_checkpoint(self.spark.read.parquet(f"{self.root}/live").first()["note"], self.key)
-
-    def resources(self, log: DataFrame, size: int) -> DataFrame:
-        """``path``, ``data`` of the tiles and entry bundles of the log's first ``size`` entries."""
-        part = log.filter(F.col("seq") < size)
-        tiles = m.tiles(m.leaves(part)).select(m.tile_path(F.col("level"), F.col("index"), F.col("width")).alias("path"), F.unhex(F.array_join(F.transform("hashes", F.hex), "")).alias("data"))
-        bundles = m.bundles(part).select(m.tile_path(F.lit(None), F.col("bundle"), F.col("width")).alias("path"), "data")
-        return tiles.unionByName(bundles)
+        """The newest checkpoint; what ``root/live`` shows, or will once a publication that was cut short is run again."""
+        done = self.steps.numbers()
+        return notes.open_checkpoint(self._step(done[-1])["note"], self.key) if done else None
 
     def stored(self) -> DataFrame | None:
-        sizes = self._sizes("resources")
-        return self.spark.read.parquet(*[f"{self.root}/resources/size={n}" for n in sizes]) if sizes else None
+        """``path``, ``data`` of everything published."""
+        folders = [step["folder"] for n in self.steps.numbers() if (step := self._step(n))["folder"]]
+        return self.spark.read.parquet(*[f"{self.root}/resources/{f}" for f in folders]) if folders else None
+
+    def _edges(self, folder: str) -> dict[int, list[bytes]]:
+        return {r["level"]: [bytes(h) for h in r["hashes"]] for r in self.spark.read.parquet(f"{self.root}/edges/{folder}").collect()}  # at most eight rows
 
     def publish(self, log: DataFrame, size: int) -> notes.Checkpoint:
         """Publish the first ``size`` entries of ``log`` (``seq``, ``entry``); never fewer than are published already.
 
-        Raises :class:`LogDiverged`, before anything is written, if a resource of the same path holds other bytes, the log
-        has gaps or ends before ``size``, or an archived checkpoint of that size has another root.
+        Only the entries from the last full bundle on are read: the cost does not depend on the length of the log. Raises
+        :class:`LogDiverged`, before anything counts, if the entries of the last, partial bundle are not those published, the log
+        has gaps or ends before ``size``, an archived checkpoint of that size has another root, or another publisher was faster.
         """
-        before = self.live()
-        if before is not None and size < before.size:
-            raise LogDiverged(f"{before.size} entries are published, {size} would be a step back")
-        got = log.filter(F.col("seq").between(0, size - 1)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("d")).first()
-        if (got["n"], got["d"]) != (size, size):
-            raise LogDiverged(f"the log has {got['n']} entries below {size}, of {got['d']} numbers")
-        now, old = self.resources(log, size), self.stored()
-        if old is not None:
-            if now.join(old.withColumnRenamed("data", "kept"), "path").filter("data <> kept").limit(1).count():
-                raise LogDiverged("a published resource would change")
-            now = now.join(old.select("path"), "path", "left_anti")
-        if size not in self._sizes("resources"):
-            now.write.mode("overwrite").parquet(f"{self.root}/resources/size={size}")
-        root = bytes.fromhex(m.root(m.leaves(log.filter(F.col("seq") < size))).first()["root"])
-        point = notes.Checkpoint(self.key.name, size, root)
-        if size in self._sizes("archive"):
-            note = self.spark.read.parquet(f"{self.root}/archive/size={size}").first()["note"]
-            if notes.open_checkpoint(note, self.key) != point:
-                raise LogDiverged("an archived checkpoint has another root")
-        else:
-            note = notes.sign_note(point.text, self.key)
-            self.spark.createDataFrame([(note,)], "note string").write.mode("overwrite").parquet(f"{self.root}/archive/size={size}")
+        done = self.steps.numbers()
+        last = self._step(done[-1]) if done else None
+        before = notes.open_checkpoint(last["note"], self.key) if last else notes.Checkpoint(self.key.name, 0, bytes.fromhex(m.EMPTY_ROOT))
+        old, edges = before.size, self._edges(last["edges"]) if last else {}
+        if size < old:
+            raise LogDiverged(f"{old} entries are published, {size} would be a step back")
+        start = old - old % m.WIDTH
+        part = log.filter(F.col("seq").between(start, size - 1))
+        got = part.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("d")).first()
+        if (got["n"], got["d"]) != (size - start, size - start):
+            raise LogDiverged(f"the log has {got['n']} entries from {start} to {size}, of {got['d']} numbers")
+        leaves = m.leaves(part)
+        again = [bytes(r["hash"]) for r in leaves.filter(F.col("index") < old).orderBy("index").collect()]  # fewer than a bundle
+        if again != edges.get(0, []):
+            raise LogDiverged("a published resource would change")
+        if last and size == old:
+            return before
+        name, new_edges = f"{len(done)}-{uuid.uuid4().hex}", edges
+        if size > old:
+            tiles, new_edges = m.grown(leaves.filter(F.col("index") >= old), old, size, edges)
+            tiles = tiles.select(m.tile_path(F.col("level"), F.col("index"), F.col("width")).alias("path"), F.unhex(F.array_join(F.transform("hashes", F.hex), "")).alias("data"))
+            bundles = m.bundles(part).select(m.tile_path(F.lit(None), F.col("bundle"), F.col("width")).alias("path"), "data")
+            tiles.unionByName(bundles).write.parquet(f"{self.root}/resources/{name}")
+        rows = [(level, [bytearray(h) for h in hashes]) for level, hashes in new_edges.items()]
+        self.spark.createDataFrame(rows, "level int, hashes array<binary>").coalesce(1).write.parquet(f"{self.root}/edges/{name}")
+        point = notes.Checkpoint(self.key.name, size, m.edge_root(size, new_edges))
+        note = notes.sign_note(point.text, self.key)
+        kept = Ledger(self.spark, f"{self.root}/archive")
+        if not kept.add(size, note) and notes.open_checkpoint(kept.note(size), self.key) != point:
+            raise LogDiverged("an archived checkpoint has another root")
+        if not self.steps.add(len(done), json.dumps({"folder": name if size > old else None, "edges": name, "note": note})):
+            raise LogDiverged("another publisher was faster")
         self.spark.createDataFrame([(note,)], "note string").write.mode("overwrite").parquet(f"{self.root}/live")  # last
         return point
 
+    def audit(self, log: DataFrame) -> None:
+        """Compare all of the log with what is published, in one pass: raises :class:`LogDiverged` at the first difference."""
+        point, stored = self.live(), self.stored()
+        if point is None or stored is None:
+            raise NotVerifiable("nothing is published")
+        g = m.grouped(m.leaves(log.filter(F.col("seq") < point.size)))
+        now = g.select(m.tile_path(F.lit(0), F.col("tile"), F.size("hashes")).alias("path"), F.unhex(F.array_join(F.transform("hashes", F.hex), "")).alias("now"))
+        if now.count() != -(-point.size // m.WIDTH) or now.join(stored, "path", "left").filter("data IS NULL OR data <> now").limit(1).count():
+            raise LogDiverged("the log is not the published one")
+
     def verify(self) -> notes.Checkpoint:
         """Read everything back: entries of the bundles against the lowest tiles, and the tree against the live checkpoint."""
         point, stored = self.live(), self.stored()

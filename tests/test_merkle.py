@@ -48,9 +48,10 @@ def test_roots_and_proofs(spark, n):
     want = leaf_list(n)
     df = hashes(spark, n)
     assert m.root(df).first()["root"] == naive(want).hex()
-    tree = m.nodes(df)
+    groups = m.levels(df)
     pick = sorted({0, n - 1, n // 2, min(n - 1, 255)})
-    proofs = m.inclusion_proofs(tree, df.filter(F.col("index").isin(pick)), n).join(df, "index")
+    proofs = m.inclusion_proofs(groups, df.filter(F.col("index").isin(pick))).join(df, "index")
+    assert m.inclusion_proofs(groups).count() == n
     got = proofs.select("index", "proof", m.proof_root(F.col("index"), F.lit(n), F.col("hash"), F.col("proof")).alias("r")).collect()
     assert len(got) == (len(pick) if n > 1 else 1)
     for r in got:
@@ -71,6 +72,36 @@ def test_consistency(spark):
         m.consistency_ranges(0, 5)
 
 
+def ranges_by_recursion(m_, low, high, whole=True):
+    """RFC 6962, 2.1.2, word for word."""
+    n = high - low
+    if m_ == n:
+        return [] if whole else [(low, high)]
+    k = 1 << ((n - 1).bit_length() - 1)
+    if m_ <= k:
+        return [*ranges_by_recursion(m_, low, low + k, whole), (low + k, high)]
+    return [*ranges_by_recursion(m_ - k, low + k, high, False), (low, low + k)]
+
+
+def test_consistency_ranges_of_all_sizes():
+    for n in range(1, 70):
+        for old in range(1, n + 1):
+            assert m.consistency_ranges(old, n) == ranges_by_recursion(old, 0, n)
+
+
+def test_growth_step_by_step(spark):
+    want, edges, old = leaf_list(700), {}, 0
+    tiles = {}
+    for size in (1, 2, 255, 256, 257, 300, 512, 700):
+        new, edges = m.grown(hashes(spark, size).filter(F.col("index") >= old), old, size, edges)
+        tiles |= {(r["level"], r["index"], r["width"]): [bytes(x) for x in r["hashes"]] for r in new.collect()}
+        assert m.edge_root(size, edges) == naive(want[:size])
+        for r in m.tiles(hashes(spark, size)).collect():
+            assert tiles[r["level"], r["index"], r["width"]] == [bytes(x) for x in r["hashes"]]
+        old = size
+    assert m.edge_root(0, {}).hex() == m.EMPTY_ROOT
+
+
 def test_proofs_of_wrong_length_or_place_fail(spark):
     n, want = 11, leaf_list(11)
     rows = [(i, want[i], path(i, want)) for i in range(n)]

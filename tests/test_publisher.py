@@ -37,7 +37,7 @@ def test_crash_between_the_writes(spark, monkeypatch):
     p = Publisher(spark, work_dir(spark, "pub"), KEY)
     old = p.publish(log(spark, 300), 256)
     for step in ("root", "sign_note"):
-        where = "auditlake.operators.merkle.root" if step == "root" else "auditlake.notes.sign_note"
+        where = "auditlake.operators.merkle.edge_root" if step == "root" else "auditlake.notes.sign_note"
         with monkeypatch.context() as patch:
             patch.setattr(where, lambda *a, **k: 1 / 0)
             with pytest.raises(ZeroDivisionError):
@@ -50,10 +50,26 @@ def test_crash_between_the_writes(spark, monkeypatch):
 def test_refusals(spark):
     p = Publisher(spark, work_dir(spark, "pub"), KEY)
     p.publish(log(spark, 300), 300)
-    for bad, size in ((log(spark, 300), 299), (log(spark, 310), 320), (log(spark, 400, change=5), 400), (log(spark, 400).filter("seq <> 350"), 400)):
+    for bad, size in ((log(spark, 300), 299), (log(spark, 310), 320), (log(spark, 400, change=290), 400), (log(spark, 400).filter("seq <> 350"), 400)):
         with pytest.raises(LogDiverged):
             p.publish(bad, size)
     assert p.live().size == 300
+    p.audit(log(spark, 400))
+    for bad in (log(spark, 400, change=5), log(spark, 299)):  # behind the last full bundle only an audit of the whole log looks
+        with pytest.raises(LogDiverged):
+            p.audit(bad)
+
+
+def test_of_two_publishers_one_wins(spark):
+    root = work_dir(spark, "pub")
+    a, b = Publisher(spark, root, KEY), Publisher(spark, root, KEY)
+    a.publish(log(spark, 300), 300)
+    seen = b.steps.numbers()
+    b.steps.numbers = lambda: seen  # what it saw before the other went on
+    new = a.publish(log(spark, 400), 400)
+    with pytest.raises(LogDiverged):
+        b.publish(log(spark, 350), 350)
+    assert a.live() == new == a.verify()
 
 
 def test_facade(spark, folder):
