@@ -16,6 +16,7 @@ from auditlake.functions.feed import invalid_reason, is_delete
 from auditlake.functions.rfc3339 import epoch_ms
 from auditlake.operators.cdc import VectorTable
 from auditlake.operators.dedupe import message_id
+from auditlake.session import folders
 
 #: Identifiers are stored by spans of event time.
 SPAN_MS = 7 * 24 * 3_600_000
@@ -47,14 +48,16 @@ class ObjectFeed:
         new = new.select(
             message_id([key, action, etag, time]).alias("ident"), "first", "sound", "key", "etag", is_delete(action).alias("deleted"), epoch_ms(time).alias("event_ms"),
         ).withColumn("part", F.floor(F.col("event_ms") / SPAN_MS).cast("long"))
+        place = lambda df, to: df.repartition("part", F.pmod(F.hash("ident"), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(to)
         if done:
-            spans = [r[0] for r in rows.select(F.floor(epoch_ms(time) / SPAN_MS).cast("long")).distinct().collect()]  # one per week of the feed's life
-            paths = [f"{self.root}/ids/batch={n}" for n in done]
-            kept = self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.root}/ids").parquet(*paths).filter(F.col("part").isin(spans))
+            place(new, f"{self.root}/new")  # written, so that the messages are judged once and the weeks are known from the folders
+            spans = [int(f.removeprefix("part=")) for f in folders(self.spark, f"{self.root}/new") if f.startswith("part=")]
+            new = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/new")
+            kept = self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.root}/ids").parquet(*[f"{self.root}/ids/batch={n}" for n in done]).filter(F.col("part").isin(spans))
             kept = kept.groupBy("ident").agg(F.min("first").alias("known"), F.max("sound").alias("was"))
             new = new.join(kept, "ident", "left").filter("known IS NULL OR (sound AND NOT was)")
             new = new.withColumn("first", F.coalesce("known", "first")).select(*[c.split()[0] for c in self.SCHEMA.split(", ")])
-        new.repartition("part", F.pmod(F.hash("ident"), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/ids/batch={number}")
+        place(new, f"{self.root}/ids/batch={number}")
         written = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/ids/batch={number}")
         self.table.apply(number, written.filter("sound"))
 

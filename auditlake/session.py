@@ -62,6 +62,13 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies directly below a folder; none if there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once per session; operators that run Python on executors call it."""
     global _shipped

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import cdc
+from auditlake.operators.feed import ObjectFeed
 from auditlake.session import work_dir
 
 S = "key string, ms long, n long, deleted boolean, etag string, k string, image string, old string"
@@ -82,3 +83,64 @@ def test_positions_beyond_one_block(spark):
     t.apply(1, rows(spark, [(str(i), 2, i, True, None) for i in hit]))
     got = {int(r["k"]) for r in t.read().select("k").collect()}
     assert set(range(n)) - got == set(hit)
+
+
+def test_another_object_on_the_same_folder_goes_on(spark):
+    changes = [[("a", 10, 1, False, "new"), ("b", 1, 2, False, "b")], [("a", 5, 3, False, "old")], [("b", 2, 4, True, None), ("c", 1, 5, False, "c")]]
+    root = work_dir(spark, "t")
+    again = lambda: cdc.VectorTable(spark, root, "key", ["ms", "n"], ["etag"])
+    for i, part in enumerate(changes):
+        again().apply(i, rows(spark, part))
+        again().apply(i, rows(spark, [("z", 99, 99, False, "never")]))  # finished before: left as it is
+    assert live(again()) == {"a": "new", "c": "c"}
+    with pytest.raises(ValueError):
+        cut = cdc.VectorTable(spark, root, "key", ["ms", "n"], ["etag"])
+        cut.finished.add(7)
+        again().apply(6, rows(spark, changes[0]))
+
+
+def test_a_batch_cut_short_is_applied_again(spark, monkeypatch):
+    t = table(spark)
+    t.apply(0, rows(spark, [("a", 1, 1, False, "1"), ("b", 1, 1, False, "b")]))
+    with monkeypatch.context() as patch:
+        patch.setattr(t.finished, "add", lambda *a: 1 / 0)  # everything is written but the ledger
+        with pytest.raises(ZeroDivisionError):
+            t.apply(1, rows(spark, [("a", 2, 2, False, "half")]))
+    assert live(t) == {"a": "1", "b": "b"}
+    t.apply(1, rows(spark, [("a", 2, 2, False, "2")]))
+    assert live(t) == {"a": "2", "b": "b"}
+
+
+def test_compaction(spark):
+    t = table(spark)
+    for i in range(3):
+        t.apply(i, rows(spark, [(f"k{j}", i, j, j % 7 == i, f"{i}") for j in range(i * 20, 60)]))
+    want, n = live(t), t._read("data").count()
+    t.compact()
+    assert live(t) == want and t._read("data").count() == 60 < n
+    t.vacuum()
+    t.apply(3, rows(spark, [("k5", 9, 9, False, "9"), ("k6", -1, 9, False, "late")]))
+    assert live(t) == want | {"k5": "9"}
+
+
+F_ = "key string, action string, etag string, event_time string, size long, copied boolean, arrival long"
+T1, T2 = "2026-01-01T00:00:00Z", "2026-01-01T00:00:00.000+00:00"
+
+
+def feed(spark, root, batches):
+    for i, b in enumerate(batches):
+        ObjectFeed(spark, root).apply(i, spark.createDataFrame(b, F_))
+    return {r["k"]: r["etag"] for r in ObjectFeed(spark, root).read().collect()}
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 6])
+def test_feed_with_copies_ties_and_unsound_firsts(spark, cut):
+    deliveries = [
+        ("a", "PutObject", "A", T1, 1, False, 1), ("a", "PutObject", "B", T2, 1, False, 2), ("a", "PutObject", "A", T1, 1, False, 3),  # a copy of A does not win the tie
+        ("b", "PutObject", "X", T1, -1, False, 4), ("b", "PutObject", "Y", T1, 1, False, 5), ("b", "PutObject", "X", T1, 1, False, 6),  # X is sound late, its place is its first copy's
+        ("c", "DeleteObject", None, T1, None, False, 7), ("c", "PutObject", "C", "2025-12-31T23:59:59.999Z", 1, False, 8),
+        ("d", "Unknown", "D", T1, 1, False, 9), (None, "PutObject", "E", T1, 1, False, 10), ("f", "PutObject", "F", "no time", 1, False, 11), ("g", "PutObject", None, T1, None, False, 12),
+    ]
+    per = len(deliveries) // cut
+    got = feed(spark, work_dir(spark, "f"), [deliveries[i : i + per] for i in range(0, len(deliveries), per)])
+    assert got == {"a": "B", "b": "Y", "g": None}
