@@ -48,7 +48,7 @@ class ObjectFeed:
         new = new.select(
             message_id([key, action, etag, time]).alias("ident"), "first", "sound", "key", "etag", is_delete(action).alias("deleted"), epoch_ms(time).alias("event_ms"),
         ).withColumn("part", F.floor(F.col("event_ms") / SPAN_MS).cast("long"))
-        place = lambda df, to: df.repartition("part", F.pmod(F.hash("ident"), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(to)
+        place = lambda df, to: df.write.mode("overwrite").partitionBy("part").parquet(to)
         if done:
             place(new, f"{self.root}/new")  # written, so that the messages are judged once and the weeks are known from the folders
             spans = [int(f.removeprefix("part=")) for f in folders(self.spark, f"{self.root}/new") if f.startswith("part=")]

@@ -253,14 +253,32 @@ def bundles(log: DataFrame, seq: str = "seq", entry: str = "entry") -> DataFrame
     return rows.select("bundle", F.size("e").alias("width"), F.unhex(F.array_join(F.transform("e", lambda x: x["x"]), "")).alias("data"))
 
 
-def bundle_entries(bundle: DataFrame) -> DataFrame:
-    """``seq``, ``entry`` of the entries of bundles; the lengths must use up the bytes exactly, else the bundle fails."""
+def bundle_lists(bundle: DataFrame) -> DataFrame:
+    """``bundle`` and its ``entries`` in an array; the lengths must use up the bytes exactly, else the bundle fails."""
     size = lambda acc: F.conv(F.hex(F.substr("data", acc["at"], F.lit(2))), 16, 10).cast("int")
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<binary>").alias("out"))
     step = lambda acc, _: F.struct((acc["at"] + 2 + size(acc)).alias("at"), F.concat(acc["out"], F.array(F.substr("data", acc["at"] + 2, size(acc)))).alias("out"))
     read = bundle.withColumn("r", F.aggregate(F.sequence(F.lit(1), F.col("width")), start, step))
     checked = F.when(F.col("r.at") == F.length("data") + 1, F.col("r.out")).otherwise(F.raise_error(F.lit("a bundle's lengths do not fit its bytes")))
-    return read.select("bundle", F.posexplode(checked).alias("i", "entry")).select((F.col("bundle") * WIDTH + F.col("i")).alias("seq"), "entry")
+    return read.select("bundle", checked.alias("entries"))
+
+
+def bundle_entries(bundle: DataFrame) -> DataFrame:
+    """``seq``, ``entry`` of the entries of bundles."""
+    return bundle_lists(bundle).select("bundle", F.posexplode("entries").alias("i", "entry")).select((F.col("bundle") * WIDTH + F.col("i")).alias("seq"), "entry")
+
+
+def check_bundles(bundle: DataFrame, groups: DataFrame) -> DataFrame:
+    """``tile``, ``checked``, ``bad``: entries of a bundle whose leaf hash is not the one in the tile (``tile``, ``hashes``), or lacks one.
+
+    Joined on the tile, 256 entries at a time.
+    """
+    read = bundle_lists(bundle).select(F.col("bundle").alias("tile"), F.transform("entries", leaf_hash).alias("read"))
+    none = F.array().cast("array<binary>")
+    both = read.join(groups.select("tile", F.col("hashes").alias("kept")), "tile", "full_outer").select("tile", F.coalesce("read", none).alias("read"), F.coalesce("kept", none).alias("kept"))
+    n = F.greatest(F.size("read"), F.size("kept"))
+    wrong = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get("read", i).eqNullSafe(F.get("kept", i)))
+    return both.select("tile", n.cast("long").alias("checked"), F.size(wrong).cast("long").alias("bad"))
 
 
 def powers(n: Column) -> Column:

@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.errors import NotVerifiable
-from auditlake.functions.text import sampled
+from auditlake.functions.text import json_object, json_string, sampled
 from auditlake.operators import audit as a
 from auditlake.operators.ranges import interval_join, nearest_rank
 from auditlake.operators.sequencing import number_by_text
 from auditlake.sources import views as v
 from auditlake.sources.tables import table
 
-PREFIX, SCAN, RATE, PAGE, PER_PAGE, MAX_SCRUB = "legal/", "scan-2026-05-06", 0.2, 1000, 20, 1_000_000
-REPORT, RETAIN_SCANS, BATCH, INTERVAL_MS = 10_000, 2, 500, 5000
-#: Scans that are kept, as in the reference. RETAIN_SCANS is what the SQL of retained_scans still says.
-KEEP_SCANS = 50
-#: The reference's default for the largest object that is scrubbed; MAX_SCRUB is the query's.
-SCRUB_BYTES = 104_857_600
+PREFIX, SCAN, RATE, PAGE, PER_PAGE = "legal/", "scan-2026-05-06", 0.2, 1000, 20
+REPORT, BATCH, INTERVAL_MS = 10_000, 500, 5000
+#: Scans that are kept, and the largest object that is scrubbed.
+KEEP_SCANS, SCRUB_BYTES = 50, 104_857_600
 
 
 def _state(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,11 +85,8 @@ def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return v.listing(spark, folder).filter(sampled(F.lit(SCAN), F.col("key"), RATE)).select("key")
 
 
-def scrub_sample(spark: SparkSession, folder: str, max_bytes: int = MAX_SCRUB) -> DataFrame:
-    """Of each page of the listing, in key order, the first objects that are sampled and small enough.
-
-    Larger objects are never chosen. The query and its SQL stop at 1,000,000 bytes; the reference's setting is SCRUB_BYTES.
-    """
+def scrub_sample(spark: SparkSession, folder: str, max_bytes: int = SCRUB_BYTES) -> DataFrame:
+    """Of each page of the listing, in key order, the first objects that are sampled and no larger than ``max_bytes``."""
     pages = number_by_text(v.listing(spark, folder).select("key", "size"), "key", "pos").withColumn("page", F.expr(f"pos div {PAGE}"))
     chosen = pages.filter((F.col("size") <= max_bytes) & sampled(F.lit(SCAN), F.col("key"), RATE))
     n = F.row_number().over(Window.partitionBy("page").orderBy("key"))
@@ -155,15 +150,34 @@ def retained_findings(spark: SparkSession, folder: str) -> DataFrame:
     return content_drift(spark, folder).join(latest_scan(spark, folder).select("scan_id"), "scan_id", "left_semi").select("key", "scan_id", "against")
 
 
-def verify_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """Per scan: whether the drift findings in its index are as many as its summary commits to.
+#: What is wrong with the index of findings: every seventh finding of a scan is left out, and every third scan lists its end entry as one.
+LEFT_OUT, MISLISTED = "local % 7 = 3", "scan % 3 = 1"
+
 
-    Both are counted from the observations; the tables hold no audit entries of a signed log. The check of an index against
-    a log (survey J12) is ``operators.audit.verify_index``.
+def audit_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scans, an index of their findings, and the log's audit entries, made from the drift the scans found.
+
+    A scan's start entry is followed by its findings in order of key and its end entry, which states their number.
     """
-    index = content_drift(spark, folder).groupBy("scan_id").agg(F.count(F.lit(1)).alias("indexed"))
-    both = scan_summary(spark, folder).select("scan_id", "drift").join(index, "scan_id", "left").withColumn("indexed", F.coalesce("indexed", F.lit(0)))
-    return both.select("scan_id", "drift", "indexed", (F.col("drift") == F.col("indexed")).alias("ok"))
+    found = content_drift(spark, folder).groupBy("scan_id", "key", "against").agg(F.count(F.lit(1)).alias("n"))
+    found = found.withColumn("local", F.row_number().over(Window.partitionBy("scan_id").orderBy("key", "against")) - 1)
+    counts = _scans(spark, folder).join(found.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")), "scan_id", "left").select("scan_id", F.coalesce("n", F.lit(0)).alias("n"))
+    w = Window.orderBy("scan_id")  # a row per scan
+    scans = counts.select("scan_id", "n", (F.row_number().over(w) - 1).alias("scan"), F.coalesce(F.sum(F.col("n") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_seq"))
+    scans = scans.withColumn("end_seq", F.col("start_seq") + F.col("n") + 1)
+    text = lambda **fields: F.encode(json_object({"v": F.lit("1"), **fields}), "UTF-8")
+    mark = lambda phase, **more: text(type=json_string(F.lit("audit.scan")), scanId=json_string(F.col("scan_id")), phase=json_string(F.lit(phase)), **more)
+    placed = found.join(scans.select("scan_id", "scan", "start_seq", "end_seq"), "scan_id")
+    finding = text(type=json_string(F.lit("audit.finding")), scanId=json_string(F.col("scan_id")), kind=json_string(F.lit("CONTENT_DRIFT")), key=json_string(F.col("key")))
+    log = scans.select(F.col("start_seq").alias("seq"), mark("start").alias("entry")).unionByName(scans.select(F.col("end_seq").alias("seq"), mark("end", findings=F.col("n").cast("string")).alias("entry")))
+    log = log.unionByName(placed.select((F.col("start_seq") + 1 + F.col("local")).alias("seq"), finding.alias("entry")))
+    index = placed.filter(f"NOT ({LEFT_OUT})").select("scan_id", (F.col("start_seq") + 1 + F.col("local")).alias("seq"))
+    return scans.select("scan_id", "start_seq", "end_seq"), index.unionByName(scans.filter(MISLISTED).select("scan_id", F.col("end_seq").alias("seq"))), log
+
+
+def verify_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Per scan: whether its index of findings agrees with the log's entries. Some indexes omit findings, or list what is none."""
+    return a.verify_index(*audit_log(spark, folder))
 
 
 # Monitoring ---------------------------------------------------------------------------------------------------------
@@ -306,7 +320,7 @@ SQL = {
     "due_candidates": f"WITH {_FOUND} SELECT f.key, f.kind, l.observed_at FROM findings f JOIN listing l ON f.key = l.key, clock WHERE l.observed_at <= now_ms - {v.GRACE_MS} ORDER BY l.observed_at, f.key LIMIT {PAGE}",
     "backfill_snapshots": f"WITH {v.LISTING} SELECT key, etag, size, uploaded FROM listing WHERE key NOT IN (SELECT key FROM expected_objects)",
     "hash_sample": f"WITH {v.LISTING} SELECT key FROM listing WHERE {_PICK}",
-    "scrub_sample": f"WITH {v.LISTING} SELECT page, key FROM (SELECT page, key, row_number() OVER (PARTITION BY page ORDER BY key) AS n FROM (SELECT key, size, (row_number() OVER (ORDER BY key) - 1) // {PAGE} AS page FROM listing) WHERE size <= {MAX_SCRUB} AND {_PICK}) WHERE n <= {PER_PAGE}",
+    "scrub_sample": f"WITH {v.LISTING} SELECT page, key FROM (SELECT page, key, row_number() OVER (PARTITION BY page ORDER BY key) AS n FROM (SELECT key, size, (row_number() OVER (ORDER BY key) - 1) // {PAGE} AS page FROM listing) WHERE size <= {SCRUB_BYTES} AND {_PICK}) WHERE n <= {PER_PAGE}",
     "scrub_sha256": "SELECT doc_id, sha256(encode(text)) AS sha256, cast(octet_length(encode(text)) AS integer) AS bytes FROM documents",
     "content_drift": f"WITH {_DRIFT} SELECT * FROM drift",
     "scan_progress": f"WITH {_FOUND} SELECT kind, count(*) AS waiting, min(observed_at) AS oldest, coalesce(greatest(0, min(observed_at) + {v.GRACE_MS} - any_value(now_ms)), 0) AS wait_ms FROM findings f LEFT JOIN listing l ON f.key = l.key, clock GROUP BY kind",
@@ -314,9 +328,11 @@ SQL = {
     "scan_report": f"WITH {_FOUND} SELECT key, kind, (SELECT count(*) FROM findings) > {REPORT} AS truncated FROM findings ORDER BY key, kind LIMIT {REPORT}",
     "findings_page": f"WITH {_FOUND}, p AS (SELECT key, kind, row_number() OVER (ORDER BY key, kind) AS n FROM findings WHERE key > 'd') SELECT key, kind, CASE WHEN (SELECT count(*) FROM p) > 100 THEN (SELECT key FROM p WHERE n = 100) END AS next FROM p WHERE n <= 100",
     "latest_scan": f"WITH {_SCANS} SELECT * FROM scans ORDER BY started_at DESC, scan_id DESC LIMIT 1",
-    "retained_scans": f"WITH {_SCANS} SELECT * FROM scans ORDER BY started_at DESC, scan_id DESC LIMIT {RETAIN_SCANS}",
+    "retained_scans": f"WITH {_SCANS} SELECT * FROM scans ORDER BY started_at DESC, scan_id DESC LIMIT {KEEP_SCANS}",
     "retained_findings": f"WITH {_DRIFT}, {_SCANS} SELECT key, scan_id, against FROM drift WHERE scan_id = (SELECT scan_id FROM scans ORDER BY started_at DESC, scan_id DESC LIMIT 1)",
-    "verify_findings": f"WITH {_SUMMARY} SELECT scan_id, drift, drift AS indexed, true AS ok FROM summary",
+    "verify_findings": f"""WITH {_DRIFT}, {_SCANS}, per AS (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY key, against) - 1 AS local FROM (SELECT DISTINCT scan_id, key, against FROM drift)),
+  n AS (SELECT s.scan_id, row_number() OVER (ORDER BY s.scan_id) - 1 AS scan, count(local) AS signed, count(local) FILTER (WHERE NOT ({LEFT_OUT})) AS proven FROM scans s LEFT JOIN per p ON p.scan_id = s.scan_id GROUP BY s.scan_id)
+  SELECT scan_id, proven + wrong AS listed, proven, 0::bigint AS pending, wrong, signed, wrong = 0 AND proven = signed AS ok FROM (SELECT *, cast({MISLISTED} AS bigint) AS wrong FROM n)""",
     "watch_alerts": f"WITH {v.OBJECT_LOG} SELECT seq, key, alert FROM (SELECT seq, key, CASE WHEN deleted THEN 'delete' WHEN lag(NOT deleted, 1, false) OVER (PARTITION BY key ORDER BY seq) THEN 'overwrite' END AS alert FROM object_log WHERE starts_with(key, '{PREFIX}')) WHERE alert IS NOT NULL",
     "watch_live": f"WITH {v.OBJECT_LOG} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM object_log WHERE starts_with(key, '{PREFIX}')) WHERE rn = 1 AND NOT deleted",
     "watch_blinded": f"WITH {v.OBJECT_LOG} SELECT count(key_hmac) AS blinded, count(*) AS entries FROM object_log",

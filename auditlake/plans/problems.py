@@ -12,6 +12,7 @@ from auditlake.operators.diff import diff_copies
 from auditlake.operators.feed import ObjectFeed
 from auditlake.session import work_dir
 from auditlake.sources.tables import table
+from auditlake.sources.views import ms
 
 #: Batches into which the recorded feed is cut when it is applied; a live feed has its own.
 FEED_BATCHES = 4
@@ -48,7 +49,7 @@ def p1_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def _object_events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "object_events").select(
-        "seq", epoch_ms(F.col("event_time")).alias("event_ms"), epoch_ms(F.col("ingested_at")).alias("ingested_ms"), "size"
+        "seq", epochms(F.col("event_time")).alias("event_ms"), epochms(F.col("ingested_at")).alias("ingested_ms"), "size"
     )
 
 
@@ -91,7 +92,7 @@ def p3_batches(spark: SparkSession, folder: str) -> DataFrame:
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
+def deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """The monitored bucket's messages, as :class:`ObjectFeed` takes them."""
     roles = table(spark, folder, "bucket_roles").filter("bucket_role = 'monitored'").select("bucket")
     rows = table(spark, folder, "notifications").join(roles, "bucket", "left_semi")
@@ -105,7 +106,7 @@ def object_feed(spark: SparkSession, folder: str, batches: int = FEED_BATCHES) -
 
     Every batch is applied by an object of its own on the same folder, which finds there what the earlier ones left.
     """
-    root, rows = work_dir(spark, "objects"), _deliveries(spark, folder)
+    root, rows = work_dir(spark, "objects"), deliveries(spark, folder)
     last = table(spark, folder, "notifications").agg(F.max("delivery")).first()[0] or 0
     for i in range(batches):
         low, high = (last + 1) * i // batches, (last + 1) * (i + 1) // batches
@@ -197,24 +198,13 @@ pairs AS (SELECT coalesce(e.key, o.key) AS key, e.key IS NOT NULL AS e, o.key IS
   FROM expected_objects e FULL OUTER JOIN latest o ON e.key = o.key)"""
 
 
-def _ms(c: str) -> str:
-    """DuckDB: whole milliseconds of an RFC 3339 text, null for other texts."""
-    return (
-        f"(CASE WHEN regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]{{1,9}})?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') THEN "
-        f"epoch_us(try_cast(replace(substr({c}, 1, 19), 'T', ' ') AS timestamp)) // 1000 "
-        f"+ cast(rpad(left(regexp_extract({c}, '[.]([0-9]+)', 1), 3), 3, '0') AS bigint) "
-        f"- CASE WHEN {c} LIKE '%Z' THEN 0 ELSE (CASE WHEN substr({c}, -6, 1) = '-' THEN -1 ELSE 1 END) "
-        f"* (cast(substr({c}, -5, 2) AS bigint) * 60 + cast(substr({c}, -2, 2) AS bigint)) * 60000 END END)"
-    )
-
-
 def _hour(ms: str) -> str:
     return f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H')"
 
 
-TIMES = f"t AS (SELECT seq, coalesce(size, 0) AS size, {_ms('event_time')} AS ev, {_ms('ingested_at')} AS ing FROM object_events), s AS (SELECT *, ev // 3600000 * 3600000 AS h FROM t)"
+TIMES = f"t AS (SELECT seq, coalesce(size, 0) AS size, {ms('event_time')} AS ev, {ms('ingested_at')} AS ing FROM object_events), s AS (SELECT *, ev // 3600000 * 3600000 AS h FROM t)"
 IDENTIFIED = "SELECT delivery, row_number() OVER (PARTITION BY bucket, object.key, action, object.etag, event_time ORDER BY delivery) AS rn FROM notifications WHERE bucket IS NOT NULL AND object.key IS NOT NULL AND action IS NOT NULL AND event_time IS NOT NULL"
-CHANGES = f"""n AS (SELECT object.key AS key, action, object.etag AS etag, object.size AS size, event_time, copy_source, delivery, {_ms("event_time")} AS ms
+CHANGES = f"""n AS (SELECT object.key AS key, action, object.etag AS etag, object.size AS size, event_time, copy_source, delivery, {ms("event_time")} AS ms
   FROM notifications WHERE bucket IN (SELECT bucket FROM bucket_roles WHERE bucket_role = 'monitored')),
 c AS (SELECT key, action, etag, event_time, ms, min(delivery) AS first, bool_or(coalesce(
     action IN ('PutObject', 'CopyObject', 'CompleteMultipartUpload', 'DeleteObject', 'LifecycleDeletion')

@@ -93,11 +93,12 @@ def test_index_of_findings_against_the_log(spark):
 
 
 def test_scrub_sample_takes_a_size_bound(spark, tmp_path):
-    sizes = [10, plans.MAX_SCRUB, plans.MAX_SCRUB + 1, plans.SCRUB_BYTES, plans.SCRUB_BYTES + 1]
+    less = 1_000_000
+    sizes = [10, less, less + 1, plans.SCRUB_BYTES, plans.SCRUB_BYTES + 1]
     rows = [(f"k{i:03}", "s", 1, 1, "e", sizes[i % 5]) for i in range(200)]
     spark.createDataFrame(rows, "key string, scan_id string, observed_at long, uploaded long, etag string, size long").write.parquet(f"{tmp_path}/scrub_observations.parquet")
     chosen = lambda **x: {sizes[int(r["key"][1:]) % 5] for r in plans.scrub_sample(spark, str(tmp_path), **x).collect()}
-    assert chosen(max_bytes=plans.SCRUB_BYTES) - chosen() and max(chosen(max_bytes=plans.SCRUB_BYTES)) <= plans.SCRUB_BYTES and max(chosen()) <= plans.MAX_SCRUB
+    assert chosen() - chosen(max_bytes=less) and max(chosen()) == plans.SCRUB_BYTES and max(chosen(max_bytes=less)) <= less
 
 
 @pytest.mark.parametrize("query", [plans.watch_alerts, plans.watch_live])

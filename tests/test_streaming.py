@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import late
 from auditlake.operators.cdc import VectorTable
-from auditlake.session import work_dir
+from auditlake.session import folders, work_dir
 from auditlake.streaming import ttl
 from auditlake.streaming.ingest import CorrectedPeriods, LogSink, apply_changes, parquet_stream, run
 
@@ -46,7 +46,19 @@ def test_changes_over_batches(spark):
 
 def test_time_to_live(spark):
     root = work_dir(spark, "ttl")
-    stream = files(spark, root, "id string, t long, row long", [[("a", 0, 0), ("a", 60, 1), ("b", 5, 3)], [("a", 120, 2)]])
-    q = ttl.accepted(stream, 100).writeStream.format("memory").queryName("accepted").option("checkpointLocation", f"{root}/c").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r["row"] for r in spark.table("accepted").collect()) in ([0, 2, 3], [1, 2, 3], [0, 3])  # files of equal age come in any order
+    for i, part in enumerate([[("a", 0, 0), ("a", 60, 1), ("b", 5, 3), ("a", 99, 4)], [("a", 120, 2), ("a", 130, 5), ("b", 104, 6), ("b", 105, 7)]]):
+        spark.createDataFrame(part, "id string, t long, row long").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        q = ttl.accepted(parquet_stream(spark, f"{root}/in"), 100, idle=3_600_000).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").outputMode("append")
+        q.trigger(availableNow=True).start().awaitTermination()  # a new query on the same checkpoint
+        got = sorted((r["row"], r["t"]) for r in spark.read.parquet(f"{root}/out").collect())
+        assert got == ([(0, 0), (3, 5)] if not i else [(0, 0), (2, 120), (3, 5), (7, 105)])
+
+
+def test_log_with_a_time_to_live(spark):
+    root = work_dir(spark, "s")
+    batches = [[("a", 0, 0), ("b", 1, 10), ("a", 2, 50)], [("a", 3, 99), ("b", 4, 110), ("c", 5, 111), (None, 6, 111)], [("a", 7, 120), ("c", 8, 130)], [("c", 9, 400), ("d", 10, 401)]]
+    for i, rows in enumerate(batches):
+        LogSink(spark, f"{root}/out", "id", "n", "t", 100)(spark.createDataFrame(rows, "id string, n long, t long"), i)
+    rows = {r["seq"]: r["n"] for r in LogSink(spark, f"{root}/out", "id", "n", "t", 100).log().collect()}
+    assert rows == {0: 0, 1: 1, 2: 4, 3: 5, 4: 7, 5: 9, 6: 10}
+    assert "batch=0" not in folders(spark, f"{root}/out/ids")  # all of its identifiers have expired
