@@ -53,7 +53,8 @@ def accepted(stream: DataFrame, ttl: int, idle: int | None = None) -> DataFrame:
     """``row``, ``t`` of the accepted rows of a stream with ``id``, ``t`` (long, milliseconds) and ``row`` (long).
 
     Identifiers are forgotten after ``idle`` milliseconds of processing (by default twice ``ttl``, so that a stream may lie still
-    for as long as ``ttl`` without accepting a copy it should not).
+    for as long as ``ttl`` without accepting a copy it should not). A query that is to end by itself (``availableNow``) needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off: state that expires asks for further batches without end.
     """
     ship(stream.sparkSession)
     return stream.groupBy("id").transformWithStateInPandas(WithinTtl(ttl, 2 * ttl if idle is None else idle), outputStructType="row long, t long", outputMode="append", timeMode="ProcessingTime")
