@@ -108,7 +108,7 @@ def verify_consistency(spark: SparkSession, folder: str) -> DataFrame:
     cases = {
         "as it is": (first, proof), "cut short": (first, proof[:-1]), "exchanged": (first, proof[1::-1] + proof[2:]), "altered": (first, proof[:-1] + [other(h) for h in proof[-1:]]), "another root": (other(first), proof),
     }
-    rows = [(name, old, size, roots_of_proof(old, size, root, p) == (first, second)) for name, (root, p) in cases.items()]
+    rows = [(name, old, size, roots_of_proof(old, size, root, p) == (root, second)) for name, (root, p) in cases.items()]
     return spark.createDataFrame(rows, "proof string, old long, new long, ok boolean")
 
 

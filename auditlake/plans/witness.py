@@ -134,10 +134,10 @@ _DECISION = f"""{_N}, kinds(j, what, status) AS (VALUES {', '.join(f"({j}, '{wha
 s AS (SELECT (r * {len(ROUND)} + j) * {LOGS} + i AS pos, CASE WHEN what = 'unknown' THEN 'log.unknown' WHEN what IN ('no empty line', 'bad hash') THEN NULL ELSE 'log.example/' || i END AS origin, cast(status AS integer) AS status, what,
   CASE WHEN what IN ('no empty line', 'bad hash') THEN NULL WHEN what = 'unknown' THEN 0 WHEN what = 'good' THEN CASE WHEN r = 0 THEN 0 ELSE greatest(1, n * r // {ROUNDS + 1}) END ELSE greatest(1, n * (r + 1) // {ROUNDS + 1}) END AS recorded
   FROM kinds, range({ROUNDS}) a(r), range({LOGS}) b(i), n WHERE n >= {4 * (ROUNDS + 1)})"""
-_ANSWERS = f"""{_N}, a AS (SELECT greatest(1, n * (k + 1) // {ROUNDS + 1}) AS checkpoint, 'witness.example/' || j AS witness, 1700000000 + 60 * k + j AS at, j <= k + 1 AS good FROM n, range({ROUNDS}) x(k), range({WITNESSES}) y(j))"""
+_ANSWERS = f"""{_N}, a AS (SELECT greatest(1, n * (k + 1) // {ROUNDS + 1}) AS checkpoint, 'witness.example/' || j AS witness, 1700000000 + 60 * k + j AS t, j <= k + 1 AS good FROM n, range({ROUNDS}) x(k), range({WITNESSES}) y(j))"""
 SQL = {
     "witness_decision": f"WITH {_DECISION} SELECT pos, origin, status, recorded FROM s",
     "retained_evidence": f"WITH {_DECISION} SELECT pos, origin FROM s WHERE status = 422 ORDER BY pos DESC LIMIT {EVIDENCE}",
     "witness_quorum": f"WITH {_ANSWERS} SELECT checkpoint, count(*) FILTER (WHERE good) AS cosigned, count(*) FILTER (WHERE good) >= {QUORUM} AS ok FROM a GROUP BY checkpoint",
-    "witness_status": f"WITH {_ANSWERS} SELECT witness, max(checkpoint) FILTER (WHERE good) AS size, max(at) FILTER (WHERE good) AS cosigned_at, max(at) FILTER (WHERE NOT good) AS failed_at, coalesce(max(at) FILTER (WHERE NOT good) > coalesce(max(at) FILTER (WHERE good), -1), false) AS failing FROM a GROUP BY witness",
+    "witness_status": f"WITH {_ANSWERS} SELECT witness, max(checkpoint) FILTER (WHERE good) AS size, max(t) FILTER (WHERE good) AS cosigned_at, max(t) FILTER (WHERE NOT good) AS failed_at, coalesce(max(t) FILTER (WHERE NOT good) > coalesce(max(t) FILTER (WHERE good), -1), false) AS failing FROM a GROUP BY witness",
 }
