@@ -97,3 +97,28 @@ def validity(df: DataFrame, entry: str = "entry") -> DataFrame:
         .when(f("type") == "object.snapshot", snapshot).when(f("type") == "audit.observation", observation)
     )
     return rows.withColumn("known", known).withColumn("problem", F.when(known, problem))
+
+
+#: Most items of one append (fixed by the log).
+MAX_ITEMS = 1000
+
+
+def append_problems(items: DataFrame, batch: str) -> DataFrame:
+    """Per batch: ``items``, ``bad`` and whether the batch is ``accepted``: all of its items are sound and there are 1 to 1,000.
+
+    An item is sound if its ``event_id`` is a hash and its ``entry`` is of known type and breaks no rule. A null batch is one batch.
+    Counts combine on the map side, so a batch of any size is no burden.
+    """
+    sound = F.coalesce(F.col("event_id").rlike(HEX64), F.lit(False)) & F.col("known") & F.col("problem").isNull()
+    g = validity(items).groupBy(batch).agg(F.count(F.lit(1)).alias("items"), F.count_if(~sound).alias("bad"))
+    return g.withColumn("accepted", (F.col("bad") == 0) & F.col("items").between(1, MAX_ITEMS))
+
+
+def observation_problem() -> Column:
+    """The first rule an observation (``key``, ``etag``, ``size``, ``uploaded``, ``sha256``, ``stored_sha256``) breaks, null if it is sound."""
+    count = lambda c: F.col(c).isNull() | ~F.col(c).between(0, MAX_SAFE)
+    text = lambda c, form: F.col(c).isNull() | ~F.col(c).rlike(form)
+    return (
+        F.when(~good_key(F.col("key")), "key").when(text("etag", ETAG), "etag").when(count("size"), "size").when(count("uploaded"), "uploaded").when(text("sha256", HEX64), "sha256")
+        .when(F.col("stored_sha256").isNotNull() & ~F.col("stored_sha256").rlike(HEX64), "stored_sha256")
+    )

@@ -246,6 +246,26 @@ def tile_path(level: Column, index: Column, width: Column) -> Column:
     return F.concat(F.lit("tile/"), F.coalesce(level.cast("string"), F.lit("entries")), F.lit("/"), index_path(index), F.when(width < WIDTH, F.concat(F.lit(".p/"), width.cast("string"))).otherwise(F.lit("")))
 
 
+def parse_path(path: Column) -> Column:
+    """``level`` (null: entries), ``index`` and ``width`` of a tile's path; null unless it is exactly what :func:`tile_path` makes."""
+    part = lambda i: F.regexp_extract(path, r"\Atile/(entries|[0-9]{1,2})/((?:x[0-9]{3}/){0,5}[0-9]{3})(?:\.p/([0-9]{1,3}))?\z", i)
+    level = part(1).try_cast("int")
+    index = F.regexp_replace(part(2), "[x/]", "").try_cast("long")
+    width = F.when(part(3) == "", F.lit(WIDTH)).otherwise(part(3).try_cast("int"))
+    sound = (part(2) != "") & width.between(1, WIDTH) & (F.coalesce(level, F.lit(0)) < 64) & (tile_path(level, index, width) == path)
+    return F.when(sound, F.struct(level.alias("level"), index.alias("index"), width.alias("width")))
+
+
+def entries_at(bundle: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``seq``, ``entry`` of the entries whose numbers ``wanted`` (``seq``) lists: each bundle that holds one is read once.
+
+    The numbers are grouped by bundle before the join, so of a key with very many entries one row per bundle is shuffled.
+    """
+    places = wanted.select("seq").distinct().groupBy(F.expr(f"seq div {WIDTH}").alias("bundle")).agg(F.collect_set(F.expr(f"cast(seq % {WIDTH} AS int)")).alias("at"))
+    read = bundle_lists(bundle.join(places.select("bundle"), "bundle", "left_semi")).join(places, "bundle")
+    return read.select("bundle", "entries", F.explode("at").alias("i")).select((F.col("bundle") * WIDTH + F.col("i")).alias("seq"), F.get("entries", F.col("i")).alias("entry")).filter("entry IS NOT NULL")
+
+
 def bundles(log: DataFrame, seq: str = "seq", entry: str = "entry") -> DataFrame:
     """``bundle``, ``width``, ``data``: 256 entries each, every entry behind its length in two bytes."""
     one = F.concat(F.lpad(F.hex(F.length(entry)), 4, "0"), F.hex(entry))

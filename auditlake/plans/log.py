@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from auditlake.functions.rfc3339 import epoch_ms, iso_ms
 from auditlake.functions.text import base64, event_id, hmac_sha256_hex, json_string, strict_base64, strict_hex
 from auditlake.operators.dedupe import keep_first
-from auditlake.operators.entries import parsed, validity
+from auditlake.operators.entries import append_problems, observation_problem, parsed, validity
 from auditlake.operators.sequencing import window_dedupe
 from auditlake.sources import views as v
 from auditlake.sources.tables import table
@@ -131,6 +131,29 @@ def blinded_names(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("seq", hmac_sha256_hex(BLIND, F.col("key")).alias("blinded"), (F.col("key").isNull() != F.col("key_hmac").isNull()).alias("named_once"))
 
 
+def entries_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of one object in a log half of whose names are blinded: its key as it is, or its keyed hash."""
+    e = v.object_log(spark, folder).filter("key IS NOT NULL")
+    hidden = F.col("seq") % 2 == 1
+    names = e.select("seq", F.when(~hidden, F.col("key")).alias("key"), F.when(hidden, hmac_sha256_hex(BLIND, F.col("key"))).alias("key_hmac"))
+    return names.filter((F.col("key") == KEY) | (F.col("key_hmac") == hmac_sha256_hex(BLIND, F.lit(KEY)))).select("seq", F.col("key").isNull().alias("blinded"))
+
+
+def append_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Items offered in batches of a hundred, each taken whole or not at all: one bad item refuses its batch."""
+    return append_problems(table(spark, folder, "append_items").withColumn("batch", F.expr("item_pos div 100")), "batch")
+
+
+def listing_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations judged before they are used, by the first rule they break; some were altered, by their time."""
+    o, turn = table(spark, folder, "scrub_observations"), F.col("observed_at") % 13
+    alter = lambda c, i, bad: F.when(turn == i, bad).otherwise(F.col(c)).alias(c)
+    rows = o.select(
+        alter("key", 1, F.lit("")), alter("etag", 2, F.concat("etag", F.lit(" "))), alter("size", 3, F.lit(-1).cast("long")), alter("uploaded", 4, F.lit(2**53).cast("long")), alter("sha256", 5, F.upper("sha256")), alter("stored_sha256", 6, F.lit("ab")),
+    )
+    return rows.select(observation_problem().alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 # State --------------------------------------------------------------------------------------------------------------
 
 
@@ -138,6 +161,16 @@ def expected_state(spark: SparkSession, folder: str) -> DataFrame:
     return v.expected_state(v.object_log(spark, folder))
 
 
+def state_with_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest state per name where snapshots of listed objects the log did not know count as writes at their time of upload."""
+    log = v.object_log(spark, folder)
+    known = log.filter("key IS NOT NULL").select("key").distinct()
+    new = v.listing(spark, folder).join(known, "key", "left_anti")
+    size = log.agg(F.max("seq")).first()[0] or 0
+    snapshots = new.select(F.col("key").alias("name"), "etag", "size", F.col("uploaded").alias("event_ms"), F.lit(size + 1).cast("long").alias("seq"), F.lit(False).alias("deleted"))
+    return v.expected_state(log.select("name", "etag", "size", "event_ms", "seq", "deleted").unionByName(snapshots))
+
+
 def object_state(spark: SparkSession, folder: str) -> DataFrame:
     return v.expected_state(v.object_log(spark, folder).filter(F.col("name") == KEY))
 
@@ -190,7 +223,7 @@ QUERIES = {
     "classify_feed": classify_feed, "ingest_counters": ingest_counters, "event_id": event_ids, "dedupe_first": dedupe_first, "dedupe_window": dedupe_window, "sequence_log": sequence_log, "seq_gaps": seq_gaps,
     "retry_backoff": retry_backoff, "ts_validation": ts_validation, "event_ms": event_ms, "entry_validation": entry_validation, "entry_projection": entry_projection, "entry_view": entry_view,
     "canonical_json": canonical_keys, "hex_base64": hex_base64, "blinded_names": blinded_names, "expected_state": expected_state, "object_state": object_state, "object_states_range": object_states_range,
-    "live_objects": live_objects, "key_history": key_history, "key_history_budget": key_history_budget, "entry_range": entry_range, "recent_entries": recent_entries, "log_status": log_status,
+    "live_objects": live_objects, "entries_by_name": entries_by_name, "append_batches": append_batches, "listing_validation": listing_validation, "state_with_snapshots": state_with_snapshots, "key_history": key_history, "key_history_budget": key_history_budget, "entry_range": entry_range, "recent_entries": recent_entries, "log_status": log_status,
 }
 
 _ID = "sha256(to_json([bucket, key, action, etag, event_time]))"
@@ -232,4 +265,12 @@ SQL = {
     "entry_range": f"WITH {v.ENTRY_LOG} SELECT seq, event_id, count(*) OVER () = 500 AS complete FROM entry_log WHERE seq >= 100 AND seq < 600",
     "recent_entries": f"WITH {v.OBJECT_LOG} SELECT seq, name, action FROM object_log ORDER BY seq DESC LIMIT 50",
     "log_status": f"WITH {v.OBJECT_LOG}, last AS (SELECT max(ingested_ms // 60000) AS m FROM object_log) SELECT count(*) AS entries, max(seq) + 1 AS next_seq, count(*) FILTER (WHERE ingested_ms // 60000 < m) AS published, count(*) FILTER (WHERE ingested_ms // 60000 = m) AS pending FROM object_log, last",
+    "entries_by_name": f"WITH {v.OBJECT_LOG} SELECT seq, seq % 2 = 1 AS blinded FROM object_log WHERE key = '{KEY}'",
+    "append_batches": """SELECT item_pos // 100 AS batch, count(*) AS items, count(*) FILTER (WHERE event_id IS NULL OR NOT regexp_full_match(event_id, '[0-9a-f]{64}')) AS bad,
+  count(*) FILTER (WHERE event_id IS NULL OR NOT regexp_full_match(event_id, '[0-9a-f]{64}')) = 0 AS accepted FROM append_items GROUP BY 1""",
+    "listing_validation": """SELECT problem, count(*) AS n FROM (SELECT CASE observed_at % 13 WHEN 1 THEN 'key' WHEN 2 THEN 'etag' WHEN 3 THEN 'size' WHEN 4 THEN 'uploaded' WHEN 5 THEN CASE WHEN regexp_matches(sha256, '[a-f]') THEN 'sha256' END WHEN 6 THEN 'stored_sha256' END AS problem
+  FROM scrub_observations) GROUP BY problem""",
+    "state_with_snapshots": f"""WITH {v.OBJECT_LOG}, {v.LISTING}, every AS (SELECT name, etag, size, event_ms, seq, deleted FROM object_log UNION ALL
+  SELECT key, etag, size, uploaded, (SELECT max(seq) + 1 FROM object_log), false FROM listing WHERE key NOT IN (SELECT key FROM object_log WHERE key IS NOT NULL))
+  SELECT name, etag, size, event_ms, seq, deleted FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY event_ms DESC, seq DESC) AS rn FROM every) WHERE rn = 1""",
 }

@@ -10,7 +10,7 @@ from auditlake.operators import merkle as m
 from auditlake.session import work_dir
 from auditlake.sources import views as v
 
-ORIGIN = "log.example/vault-primary"
+ORIGIN, HOT = "log.example/vault-primary", "ops/heartbeat/latest.json"
 
 
 def _hex(c: str) -> F.Column:
@@ -145,6 +145,23 @@ def proof_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return steps.groupBy("seq").agg(F.count(F.lit(1)).alias("hashes"), F.size(F.collect_set(tile)).alias("tiles"))
 
 
+def parsed_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of tiles far into a log, read back; of every five one has a slash too many, one another root, one an impossible width."""
+    e = v.object_log(spark, folder).select("seq", (F.col("seq") % 8).cast("int").alias("level"), (F.col("seq") * 1237).alias("index"), (F.col("seq") % 256 + 1).cast("int").alias("width"))
+    path, turn = m.tile_path(F.when(F.col("seq") % 3 > 0, F.col("level")), F.col("index"), F.col("width")), F.col("seq") % 5
+    damaged = F.when(turn == 0, F.concat(path, F.lit("/"))).when(turn == 1, F.concat(F.lit("s"), path)).when(turn == 2, F.concat(F.regexp_replace(path, r"\.p/.*", ""), F.lit(".p/256"))).otherwise(path)
+    return e.select("seq", m.parse_path(damaged).alias("p")).select("seq", "p.level", "p.index", "p.width")
+
+
+def entries_of_key(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of one object, from an index of their numbers through the bundles that hold them."""
+    path = work_dir(spark, "log")
+    v.entry_log(spark, folder).select("seq", "entry").write.parquet(path)
+    log = spark.read.parquet(path)
+    index = log.filter(F.get_json_object(F.col("entry").cast("string"), "$.key") == HOT).select("seq")
+    return m.entries_at(m.bundles(log), index).select("seq", F.sha2("entry", 256).alias("entry_sha256"))
+
+
 def checkpoint_text(spark: SparkSession, folder: str) -> DataFrame:
     r = merkle_root(spark, folder)
     return r.select(m.checkpoint_text(ORIGIN, F.col("size"), base64(F.unhex("root"))).alias("text"))
@@ -182,7 +199,7 @@ def immutable_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     leaf_hashes, tile_roots, merkle_root, tile_coords, tiles_full, tiles_partial, tile_paths, decompose, inclusion_proof, verify_inclusion, consistency_proof, verify_consistency,
-    bundle_bytes, bundle_entries, verify_entries, proof_tiles, checkpoint_text, key_id, publish_manifest, immutable_divergence,
+    bundle_bytes, bundle_entries, verify_entries, proof_tiles, checkpoint_text, key_id, publish_manifest, immutable_divergence, parsed_paths, entries_of_key,
 )}
 
 _LEAVES = f"{v.ENTRY_LOG}, leaves AS (SELECT seq, sha256(unhex('00') || entry) AS h FROM entry_log), size AS (SELECT count(*) AS n FROM leaves)"
@@ -233,4 +250,6 @@ SQL = {
     "key_id": "SELECT bucket, substr(sha256(encode(bucket) || unhex('0A01') || unhex(sha256(bucket))), 1, 8) AS key_id FROM bucket_roles",
     "publish_manifest": f"WITH {_LEAVES} SELECT path FROM ({_resources_sql('n')}) EXCEPT SELECT path FROM ({_resources_sql('n // 2')})",
     "immutable_divergence": f"WITH {_LEAVES} SELECT path, NOT (path LIKE 'tile/0/%' AND cast(regexp_replace(regexp_replace(path, '[.]p/.*', ''), '.*/0/|[x/]', '', 'g') AS bigint) % 5 = 2) AS same FROM (SELECT path FROM ({_resources_sql('n', False)}) INTERSECT SELECT path FROM ({_resources_sql('n // 2', False)}))",
+    "parsed_paths": f"WITH {v.OBJECT_LOG} SELECT seq, CASE WHEN seq % 5 > 2 AND seq % 3 > 0 THEN cast(seq % 8 AS integer) END AS level, CASE WHEN seq % 5 > 2 THEN seq * 1237 END AS index, CASE WHEN seq % 5 > 2 THEN cast(seq % 256 + 1 AS integer) END AS width FROM object_log",
+    "entries_of_key": f"WITH {v.ENTRY_LOG} SELECT seq, sha256(entry) AS entry_sha256 FROM entry_log WHERE CAST(decode(entry) AS json)->>'key' = '{HOT}'",
 }

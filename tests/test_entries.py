@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators.entries import validity
+from auditlake.operators.entries import append_problems, observation_problem, validity
 
 GOOD = {"v": 1, "type": "object.event", "bucket": "vault-1", "key": "a/b", "action": "PutObject", "eventTime": "2026-03-01T00:00:00Z", "ingestedAt": "2026-03-01T00:00:01Z", "size": 5, "etag": "e"}
 SEEN, WANTED = {"etag": "e", "size": 1, "uploaded": "2026-03-01T00:00:00Z"}, {"eventTime": "2026-03-01T00:00:00Z", "seq": 4}
@@ -71,3 +71,20 @@ def test_unknown_and_broken_entries_never_fail(spark):
 def test_empty(spark, n):
     df = spark.createDataFrame([(b"{}",)], "entry binary").limit(n)
     assert validity(df).filter(F.col("known")).count() == 0
+
+
+def test_batches_are_taken_whole_or_not_at_all(spark):
+    import json
+
+    good = {"v": 1, "type": "object.event", "bucket": "b-1", "key": "k", "action": "PutObject", "eventTime": "2026-01-01T00:00:00Z", "ingestedAt": "2026-01-01T00:00:01Z"}
+    text = lambda **more: json.dumps(dict(sorted((good | more).items())), separators=(",", ":")).encode()
+    rows = [(1, "a" * 64, text()), (1, "b" * 64, text(key="l")), (2, "a" * 64, text()), (2, None, text()), (3, "a" * 64, text(bucket="B")), (4, "a" * 64, text(v=2)), (5, "A" * 64, text()), (6, "a" * 64, b"\xff"), (None, "a" * 64, text())]
+    rows += [(7, "c" * 64, text())] * 1000 + [(8, "c" * 64, text())] * 1001
+    got = {r["batch"]: (r["items"], r["bad"], r["accepted"]) for r in append_problems(spark.createDataFrame(rows, "batch int, event_id string, entry binary"), "batch").collect()}
+    assert got == {1: (2, 0, True), 2: (2, 1, False), 3: (1, 1, False), 4: (1, 1, False), 5: (1, 1, False), 6: (1, 1, False), None: (1, 0, True), 7: (1000, 0, True), 8: (1001, 0, False)}
+
+
+def test_observations(spark):
+    rows = [("k", "e", 1, 1, "a" * 64, None), ("", "e", 1, 1, "a" * 64, None), (None, "e", 1, 1, "a" * 64, None), ("k" * 1025, "e", 1, 1, "a" * 64, None), ("k", "e f", 1, 1, "a" * 64, None), ("k", None, 1, 1, "a" * 64, None), ("k", "e", -1, 1, "a" * 64, None), ("k", "e", 1, 2**53, "a" * 64, None), ("k", "e", 1, 1, "A" * 64, None), ("k", "e", 1, 1, "a" * 64, "b")]
+    df = spark.createDataFrame(rows, "key string, etag string, size long, uploaded long, sha256 string, stored_sha256 string")
+    assert [r[0] for r in df.select(observation_problem()).collect()] == [None, "key", "key", "key", "etag", "etag", "size", "uploaded", "sha256", "stored_sha256"]

@@ -139,3 +139,18 @@ def test_bundles_round_trip(spark):
 def test_powers(spark):
     df = spark.createDataFrame([(1,), (70_000,), (2**40 + 1,)], "n long")
     assert [r[0] for r in df.select(m.powers(F.col("n"))).collect()] == [[1], [65536, 4096, 256, 64, 32, 16], [2**40, 1]]
+
+
+def test_paths_read_back(spark):
+    good = {"tile/0/000": (0, 0, 256), "tile/entries/x001/x234/067.p/9": (None, 1234067, 9), "tile/5/x001/000": (5, 1000, 256), "tile/63/000.p/255": (63, 0, 255)}
+    bad = ["", "tile/0", "tile/0/", "tile/0/00", "tile/0/0000", "tile/00/000", "tile/64/000", "tile/0/x000/001", "tile/0/001/000", "tile/0/000.p/0", "tile/0/000.p/256", "tile/0/000.p/01", "tile/x/000", "tile/0/000\n", " tile/0/000", None]
+    df = spark.createDataFrame([(p,) for p in [*good, *bad]], "path string")
+    got = {r["path"]: r["p"] and tuple(r["p"]) for r in df.select("path", m.parse_path(F.col("path")).alias("p")).collect()}
+    assert got == good | dict.fromkeys(bad)
+
+
+def test_entries_at(spark):
+    log = spark.createDataFrame([(i, f"e{i}".encode()) for i in range(600)], "seq long, entry binary")
+    wanted = spark.createDataFrame([(3,), (3,), (255,), (256,), (599,), (600,), (9_999,)], "seq long")
+    assert sorted((r["seq"], bytes(r["entry"])) for r in m.entries_at(m.bundles(log), wanted).collect()) == [(i, f"e{i}".encode()) for i in (3, 255, 256, 599)]
+    assert m.entries_at(m.bundles(log), wanted.limit(0)).count() == 0
