@@ -33,23 +33,34 @@ def parsed(df: DataFrame, entry: str = "entry") -> DataFrame:
     return df.withColumn("e", F.from_json(utf8(F.col(entry)), SCHEMA, {"mode": "PERMISSIVE"}))
 
 
-def _encoded(e: str, names: list[str]) -> dict[str, Column]:
-    out = {}
-    for n in names:
-        c = F.col(f"{e}.{n}")
-        out[n] = c.cast("string") if n in ("v", "size", "graceSeconds", "seq", "objectsScanned", "findings", "logSizeAtStart") else json_string(c)
-    return out
+#: The fields of each type, and of the objects inside entries (fixed by the log's format).
+FIELDS = {
+    "object.event": ("v", "type", "bucket", "key", "keyHmac", "action", "eventTime", "ingestedAt", "size", "etag", "copySource"),
+    "object.snapshot": ("v", "type", "bucket", "key", "keyHmac", "size", "etag", "uploaded", "snapshotId"),
+    "audit.finding": ("v", "type", "kind", "bucket", "key", "keyHmac", "observed", "expected", "scanId", "observedAt", "graceSeconds"),
+    "audit.scan": ("v", "type", "scanId", "phase", "objectsScanned", "findings", "logSizeAtStart"),
+    "audit.observation": ("v", "type", "bucket", "key", "keyHmac", "etag", "size", "sha256", "scanId", "observedAt"),
+}
+INSIDE = {"copySource": ("bucket", "key", "keyHmac"), "observed": ("etag", "size", "uploaded", "sha256"), "expected": ("eventTime", "etag", "size", "seq", "sha256")}
+NUMBERS = ("v", "size", "graceSeconds", "seq", "objectsScanned", "findings", "logSizeAtStart")
+FINDING_KINDS = ("UNLOGGED_OBJECT", "MISSING_OBJECT", "ETAG_MISMATCH", "SIZE_MISMATCH", "PHANTOM_DELETE", "CONTENT_DRIFT")
 
 
-def canonical_event(e: str = "e") -> Column:
-    """The canonical text of an ``object.event`` with exactly its known fields."""
-    fields = _encoded(e, ["v", "type", "bucket", "key", "keyHmac", "action", "eventTime", "ingestedAt", "size", "etag"])
-    source = json_object(_encoded(f"{e}.copySource", ["bucket", "key", "keyHmac"]))
-    return json_object(fields | {"copySource": F.when(F.col(f"{e}.copySource").isNotNull(), source)})
+def canonical(kind: str, e: str = "e") -> Column:
+    """The canonical text of an entry of a type with exactly its known fields: an entry with any other field differs from it."""
+
+    def encoded(at: str, names: tuple[str, ...]) -> Column:
+        out = {}
+        for n in names:
+            c = F.col(f"{at}.{n}")
+            out[n] = F.when(c.isNotNull(), encoded(f"{at}.{n}", INSIDE[n])) if n in INSIDE else c.cast("string") if n in NUMBERS else json_string(c)
+        return json_object(out)
+
+    return encoded(e, FIELDS[kind])
 
 
 def event_problem(entry: Column, e: str = "e") -> Column:
-    """The first rule an ``object.event`` entry breaks, null if it is sound. Other known types: see :func:`validity`."""
+    """The first rule an ``object.event`` entry breaks, null if it is sound."""
     f = lambda n: F.col(f"{e}.{n}")
     deletion = F.coalesce(f("action").isin(*DELETES), F.lit(False))
     source = f("copySource")
@@ -68,33 +79,49 @@ def event_problem(entry: Column, e: str = "e") -> Column:
         .when(deletion & (f("size").isNotNull() | f("etag").isNotNull()), "deletion")
         .when(source.isNotNull() & (f("action") != "CopyObject"), "copySource")
         .when(source.isNotNull() & (f("copySource.bucket").isNull() | (f("copySource.key").isNull() == f("copySource.keyHmac").isNull())), "copySource")
-        .when(~canonical_event(e).eqNullSafe(utf8(entry)), "not canonical")
+        .when(~canonical("object.event", e).eqNullSafe(utf8(entry)), "not canonical")
     )
 
 
 def validity(df: DataFrame, entry: str = "entry") -> DataFrame:
-    """Adds ``known`` (type and version) and ``problem``; entries of unknown type are reported, not judged.
-
-    ``object.event`` is judged in full; of the other known types, which carry no objects' changes, the fields that place
-    and name them are.
-    """
+    """Adds ``known`` (type and version) and ``problem``; entries of unknown type are reported, not judged. All known types are judged in full."""
     rows = parsed(df, entry)
     f = lambda n: F.col(f"e.{n}")
     known = F.coalesce(f("type").isin(*KNOWN) & (f("v") == 1), F.lit(False))
+    whole = lambda c: F.col(c).isNull() | ~F.col(c).between(0, MAX_SAFE)
+    text = lambda c, form: F.col(c).isNull() | ~F.col(c).rlike(form)
     observed, expected = f("observed").isNotNull(), f("expected").isNotNull()
+    drift = f("kind") == "CONTENT_DRIFT"
+    long = F.length(entry) > MAX_ENTRY_BYTES
+    bucket = text("e.bucket", BUCKET)
     named = (f("key").isNull() == f("keyHmac").isNull()) | (f("key").isNotNull() & ~good_key(f("key"))) | (f("keyHmac").isNotNull() & ~f("keyHmac").rlike(HEX64))
+    rest = lambda problem, kind: problem.when(~canonical(kind).eqNullSafe(utf8(F.col(entry))), "not canonical")
     finding = (
-        F.when(named, "key").when(f("scanId").isNull() | ~f("scanId").rlike(IDENTIFIER), "scanId").when(epoch_ms(f("observedAt")).isNull(), "observedAt")
-        .when((f("kind") == "UNLOGGED_OBJECT") & (~observed | expected), "kind").when((f("kind") == "MISSING_OBJECT") & (observed | ~expected), "kind")
-        .when(f("kind").isin("ETAG_MISMATCH", "SIZE_MISMATCH", "PHANTOM_DELETE", "CONTENT_DRIFT") & (~observed | ~expected), "kind")
-        .when((f("kind") == "CONTENT_DRIFT") != f("observed.sha256").isNotNull(), "sha256").when((f("kind") != "CONTENT_DRIFT") & expected & f("expected.seq").isNull(), "expected.seq")
+        F.when(long, "too long").when(bucket, "bucket").when(named, "key").when(text("e.scanId", IDENTIFIER), "scanId").when(epoch_ms(f("observedAt")).isNull(), "observedAt")
+        .when(~F.coalesce(f("kind").isin(*FINDING_KINDS), F.lit(False)), "kind").when(whole("e.graceSeconds"), "graceSeconds")
+        .when(observed != (f("kind") != "MISSING_OBJECT"), "kind").when(expected != (f("kind") != "UNLOGGED_OBJECT"), "kind")
+        .when(observed & text("e.observed.etag", ETAG), "observed.etag").when(observed & whole("e.observed.size"), "observed.size").when(observed & epoch_ms(f("observed.uploaded")).isNull(), "observed.uploaded")
+        .when(expected & epoch_ms(f("expected.eventTime")).isNull(), "expected.eventTime").when(f("expected.etag").isNotNull() & ~f("expected.etag").rlike(ETAG), "expected.etag")
+        .when(f("expected.size").isNotNull() & whole("e.expected.size"), "expected.size").when(f("expected.seq").isNotNull() & whole("e.expected.seq"), "expected.seq")
+        .when((observed & (drift != f("observed.sha256").isNotNull())) | (expected & (drift != f("expected.sha256").isNotNull())), "sha256")
+        .when((f("observed.sha256").isNotNull() & ~f("observed.sha256").rlike(HEX64)) | (f("expected.sha256").isNotNull() & ~f("expected.sha256").rlike(HEX64)), "sha256")
+        .when(~drift & expected & f("expected.seq").isNull(), "expected.seq")
+    )
+    scan = (
+        F.when(long, "too long").when(text("e.scanId", IDENTIFIER), "scanId").when(~F.coalesce(f("phase").isin("start", "end"), F.lit(False)), "phase")
+        .when((f("phase") == "end") & (f("objectsScanned").isNull() | f("findings").isNull()), "counts").when((f("phase") == "start") & (f("objectsScanned").isNotNull() | f("findings").isNotNull()), "counts")
+        .when((f("phase") == "end") & f("logSizeAtStart").isNotNull(), "logSizeAtStart")
+    )
+    for n in ("objectsScanned", "findings", "logSizeAtStart"):
+        scan = scan.when(f(n).isNotNull() & whole(f"e.{n}"), n)
+    snapshot = F.when(long, "too long").when(bucket, "bucket").when(named, "key").when(whole("e.size") | text("e.etag", ETAG), "observed").when(epoch_ms(f("uploaded")).isNull(), "uploaded").when(text("e.snapshotId", IDENTIFIER), "snapshotId")
+    observation = (
+        F.when(long, "too long").when(bucket, "bucket").when(named, "key").when(text("e.etag", ETAG), "etag").when(whole("e.size"), "size").when(text("e.sha256", HEX64), "sha256").when(text("e.scanId", IDENTIFIER), "scanId")
+        .when(epoch_ms(f("observedAt")).isNull(), "observedAt")
     )
-    scan = F.when(f("scanId").isNull() | ~f("scanId").rlike(IDENTIFIER), "scanId").when(~F.coalesce(f("phase").isin("start", "end"), F.lit(False)), "phase").when((f("phase") == "end") & (f("objectsScanned").isNull() | f("findings").isNull()), "counts")
-    snapshot = F.when(named, "key").when(f("size").isNull() | f("etag").isNull(), "observed").when(epoch_ms(f("uploaded")).isNull(), "uploaded")
-    observation = F.when(named, "key").when(f("sha256").isNull() | ~f("sha256").rlike(HEX64), "sha256").when(epoch_ms(f("observedAt")).isNull(), "observedAt")
     problem = (
-        F.when(f("type") == "object.event", event_problem(F.col(entry))).when(f("type") == "audit.finding", finding).when(f("type") == "audit.scan", scan)
-        .when(f("type") == "object.snapshot", snapshot).when(f("type") == "audit.observation", observation)
+        F.when(f("type") == "object.event", event_problem(F.col(entry))).when(f("type") == "audit.finding", rest(finding, "audit.finding")).when(f("type") == "audit.scan", rest(scan, "audit.scan"))
+        .when(f("type") == "object.snapshot", rest(snapshot, "object.snapshot")).when(f("type") == "audit.observation", rest(observation, "audit.observation"))
     )
     return rows.withColumn("known", known).withColumn("problem", F.when(known, problem))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: str | None = None
+_made: list[str] = []
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,18 +42,27 @@ def shared_root(spark: SparkSession) -> str:
     if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="auditlake-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{root}")
     return f"file://{root}"
 
 
 def work_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A fresh folder below the shared root. It is removed when the driver ends, unless ``keep``."""
+    """A fresh folder below the shared root. It is removed by :func:`release`, at the latest when the driver ends, unless ``keep``."""
     path = f"{shared_root(spark)}/auditlake/{name}-{uuid.uuid4().hex}"
     if not keep:
-        atexit.register(remove, spark, path)
+        if not _made:
+            atexit.register(release, spark)
+        _made.append(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the folders of :func:`work_dir` made so far; a session that lives long calls it when its results have been read."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on any file system Spark knows; a session that is already gone is no error."""
     try:

@@ -1,3 +1,5 @@
+import math
+import random
 import warnings
 
 import pytest
@@ -63,6 +65,17 @@ def test_nearest_rank(spark):
     assert got == {"g": (4, 1, 9, 4.0, 1, 9), "h": (1, 7, 7, 7.0, 7, 7)}
 
 
+def test_nearest_rank_by_bins(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), "x", r.randrange(-50, 400)) for _ in range(900)] + [("b", "y", 3)]
+    got = nearest_rank(spark.createDataFrame(rows, "g string, h string, x long").repartition(3), ["g", "h"], F.col("x"), {"q1": 0.01, "q50": 0.5, "q99": 0.99, "top": 1.0}, width=7).collect()
+    assert len(got) == len({(g, h) for g, h, _ in rows})
+    for x in got:
+        own = sorted(v for g, h, v in rows if (g, h) == (x["g"], x["h"]))
+        rank = lambda q, own=own: own[max(1, math.ceil(len(own) * q)) - 1]
+        assert (x["n"], x["min"], x["max"], x["q1"], x["q50"], x["q99"], x["top"]) == (len(own), own[0], own[-1], rank(0.01), rank(0.5), rank(0.99), own[-1]) and abs(x["mean"] - sum(own) / len(own)) < 1e-9
+
+
 def test_fifty_scans_are_retained(spark, tmp_path):
     rows = [(f"s{i:02}", 1000 + i + late) for i in range(60) for late in (0, 500)] + [("tie", 1010)]
     spark.createDataFrame(rows, "scan_id string, observed_at long").write.parquet(f"{tmp_path}/scrub_observations.parquet")

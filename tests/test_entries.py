@@ -88,3 +88,20 @@ def test_observations(spark):
     rows = [("k", "e", 1, 1, "a" * 64, None), ("", "e", 1, 1, "a" * 64, None), (None, "e", 1, 1, "a" * 64, None), ("k" * 1025, "e", 1, 1, "a" * 64, None), ("k", "e f", 1, 1, "a" * 64, None), ("k", None, 1, 1, "a" * 64, None), ("k", "e", -1, 1, "a" * 64, None), ("k", "e", 1, 2**53, "a" * 64, None), ("k", "e", 1, 1, "A" * 64, None), ("k", "e", 1, 1, "a" * 64, "b")]
     df = spark.createDataFrame(rows, "key string, etag string, size long, uploaded long, sha256 string, stored_sha256 string")
     assert [r[0] for r in df.select(observation_problem()).collect()] == [None, "key", "key", "key", "etag", "etag", "size", "uploaded", "sha256", "stored_sha256"]
+
+
+SNAPSHOT = {"v": 1, "type": "object.snapshot", "bucket": "b-1", "key": "k", "size": 3, "etag": "e", "uploaded": "2026-01-01T00:00:00Z", "snapshotId": "s.1"}
+OBSERVATION = {"v": 1, "type": "audit.observation", "bucket": "b-1", "key": "k", "size": 3, "etag": "e", "sha256": "0" * 64, "scanId": "s", "observedAt": "2026-01-01T00:00:00Z"}
+SCAN = {"v": 1, "type": "audit.scan", "scanId": "s", "phase": "end", "objectsScanned": 1, "findings": 0}
+MORE = [
+    (SNAPSHOT, None), (change(SNAPSHOT, snapshotId=".x"), "snapshotId"), (change(SNAPSHOT, bucket="B"), "bucket"), (change(SNAPSHOT, etag=None), "observed"), (change(SNAPSHOT, size=2**53), "observed"), (change(SNAPSHOT, action="PutObject"), "not canonical"), (change(SNAPSHOT, uploaded="now"), "uploaded"),
+    (OBSERVATION, None), (change(OBSERVATION, sha256="0" * 63), "sha256"), (change(OBSERVATION, etag="a b"), "etag"), (change(OBSERVATION, keyHmac="0" * 64), "key"), (change(OBSERVATION, phase="end"), "not canonical"), (change(OBSERVATION, observedAt=None), "observedAt"),
+    (SCAN, None), (change(SCAN, logSizeAtStart=1), "logSizeAtStart"), (change(SCAN, findings=-1), "findings"), (change(SCAN, phase="start"), "counts"), (change(SCAN, bucket="b-1"), "not canonical"),
+    (change(FINDING, graceSeconds=-1), "graceSeconds"), (change(FINDING, kind="OTHER"), "kind"), (change(FINDING, note="x"), "not canonical"), (change(FINDING, bucket="B"), "bucket"),
+]
+
+
+def test_every_type_in_full(spark):
+    df = spark.createDataFrame([(i, text(o).encode()) for i, (o, _) in enumerate(MORE)], "i int, entry binary")
+    got = [r["problem"] for r in validity(df).orderBy("i").select("problem").collect()]
+    assert got == [p for _, p in MORE]
