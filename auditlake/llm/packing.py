@@ -9,6 +9,7 @@ which is counted per shard and offset, never by one sort.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,7 +137,17 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -
     ranked = placed.withColumn("local", local).join(per, ["bucket", "shard"]).withColumn("rank", F.col("local") + F.col("offset"))
     table = spark.createDataFrame([(s.bucket, s.start, s.base, s.slots) for s in segments], "bucket int, start long, base long, slots long")
     table = table.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("start", "base", "slots"))).alias("segments"))  # one row per bucket
-    found = ranked.join(F.broadcast(table), "bucket").withColumn("s", F.element_at(F.filter("segments", lambda s: s["start"] <= F.col("rank")), -1))
+    # The last segment that starts at or before the rank, by halving.
+    steps = max([1, *Counter(s.bucket for s in segments).values()]).bit_length()
+    ends = F.struct(F.lit(1).alias("low"), (F.size("segments") + 1).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        here = (middle > at["low"]) & (F.element_at("segments", middle)["start"] <= F.col("rank"))
+        return F.struct(F.when(here, middle).otherwise(at["low"]).alias("low"), F.when(here | (middle == at["low"]), at["high"]).otherwise(middle).alias("high"))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda x: x["low"])
+    found = ranked.join(F.broadcast(table), "bucket").withColumn("s", F.element_at("segments", at))
     container = (F.col("s.base") + F.floor((F.col("rank") - F.col("s.start")) / F.col("s.slots"))).cast("long")
     rest = items.filter("tokens IS NULL OR tokens <= 0").withColumn("container", F.when(F.col("tokens").isNotNull(), F.lit(0).cast("long")))
     return found.select("row", "piece", "first", "tokens", container.alias("container")).unionByName(rest)
