@@ -8,7 +8,9 @@ proportion to its length.
 
 from __future__ import annotations
 
+import gc
 import random
+import uuid
 from collections import Counter
 from collections.abc import Hashable, Iterator
 from functools import lru_cache
@@ -78,6 +80,18 @@ def redacted(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+_at_hand: dict[str, tuple[SemiCRF, Lexicon]] = {}
+
+
+def _ready(name: str, weights: dict[Hashable, float], parts: Rows) -> tuple[SemiCRF, Lexicon]:
+    """The model and lexicon of a call, made once per Python worker, with what they remember from task to task."""
+    if name not in _at_hand:
+        _at_hand.clear()
+        _at_hand[name] = SemiCRF(weights, expand), Lexicon(list(parts))
+        gc.freeze()  # they stay; the collector need not look at them again
+    return _at_hand[name]
+
+
 def find(df: DataFrame, row: Column, text: Column, lexicon: Rows, replace: bool = False) -> DataFrame:
     """``row``, ``kind``, ``start_pos``, ``end_pos`` of every item; with ``replace`` instead ``row``, ``text`` of every row.
 
@@ -87,11 +101,10 @@ def find(df: DataFrame, row: Column, text: Column, lexicon: Rows, replace: bool
     ship(df.sparkSession)
     rows = df.select(row.alias("row"), text.alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    weights = df.sparkSession.sparkContext.broadcast((trained(lexicon), lexicon))  # a few thousand weights
+    weights = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, trained(lexicon), lexicon))  # some ten thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, parts = weights.value
-        model, lex = SemiCRF(values, expand), Lexicon(list(parts))
+        model, lex = _ready(*weights.value)
         for b in batches:
             texts = b.column("text").to_pylist()
             found = [entities(t, lex, model) if t else [] for t in texts]

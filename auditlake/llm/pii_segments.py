@@ -115,29 +115,54 @@ class Lexicon:
                 self.parts.setdefault(part.strip().lower(), set()).add(kind or "")
         kanji = sorted((p for p in self.parts if re.match(rf"[{KANJI}ぁ-んァ-ヺ]", p)), key=len, reverse=True)
         self.kanji = re.compile("|".join(map(re.escape, kanji))) if kanji else None
-        self.seen: dict[str, tuple[str, str, str, bool]] = {}
+        self.word = Words(self)
 
     def kinds(self, word: str) -> str:
         return "+".join(sorted(self.parts.get(word.lower(), ()))) or "-"
 
-    def word(self, word: str) -> tuple[str, str, str, bool]:
-        """Key, shape, kinds in the lexicon, and whether it begins with a capital; remembered, up to a bounded number."""
-        got = self.seen.get(word)
-        if got is None:
-            key = word.lower()
-            kinds = self.kinds(key)
-            if kinds == "-" and "-" in key and (parts := [k for k in map(self.kinds, key.split("-")) if k != "-"]):
-                kinds = "h" + parts[0]
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            got = self.seen[word] = (key, _shape(word), kinds if kinds in ("-", "given", "family") else "h" if kinds[0] == "h" else "b", _capital(word, 0))
+
+#: Words (and tokens) that are remembered before the memory is emptied.
+REMEMBERED = 200_000
+
+
+class Words(dict):
+    """For a word: key, shape, kinds in the lexicon, whether it begins with a capital, and whether it is a title written out."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> tuple[str, str, str, bool, bool]:
+        key, kinds_of = word.lower(), self.lexicon.kinds
+        kinds = kinds_of(key)
+        if kinds == "-" and "-" in key and (parts := [k for k in map(kinds_of, key.split("-")) if k != "-"]):
+            kinds = "h" + parts[0]
+        if len(self) > REMEMBERED:
+            self.clear()
+        short = kinds if kinds in ("-", "given", "family") else "h" if kinds[0] == "h" else "b"
+        got = self[word] = (key, _shape(word), short, _capital(word, 0), len(key) > 1 and key in TITLES)
         return got
 
 
+class Norms(dict):
+    """For a token: in small letters, numbers as ``9``."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > REMEMBERED:
+            self.clear()
+        got = self[token] = "9" if token.isdigit() else token.lower()
+        return got
+
+
+_norms = Norms()
+
+
+LETTERS, DIGITS, START = re.compile(r"[A-Za-z]"), re.compile(r"\d+"), re.compile(r"\+\d|\(?00|\(\+?\d|0|[A-Za-z]+|\d")
+
+
 def _signature(s: str) -> str:
     """Runs of digits by length, letters as A, separators as they are: ``(030) 23125 12`` is ``(3) 5 2``."""
-    s = re.sub(r"[A-Za-z]", "A", s)
-    return re.sub(r"\d+", lambda m: str(len(m.group())), s)
+    return DIGITS.sub(lambda m: str(len(m.group())), LETTERS.sub("A", s))
 
 
 TOKEN = re.compile(rf"\n|\t|[{LETTER}]+(?:[\-'’][{LETTER}]+)*|\d+|[^\s]")
@@ -154,7 +179,7 @@ class Tokens:
     def __init__(self, text: str) -> None:
         found = list(TOKEN.finditer(text))
         self.text, self.starts = text, [m.start() for m in found]
-        self.words = ["9" if t.isdigit() else t.lower() for t in [m.group() for m in found]]
+        self.words = [_norms[m.group()] for m in found]
         self.words += ["\n", "\n"]
 
     def context(self, s: int, e: int, kind: str, hit: bool | None = None) -> tuple:
@@ -228,11 +253,11 @@ def _numbers(text: str, tokens: Tokens) -> Iterator[Segment]:
         digits = sum(c.isdigit() for c in bare)
         if digits < (3 if len(body) >= 8 and body.isalnum() else 6):
             continue
-        sig = _signature(bare)
+        sig, quad, context = _signature(bare), _quad(body), tokens.context(s, e, "phone")
         row = "t" * (text[s - 1 : s] == "\t") + "t" * (text[e : e + 1] == "\t")
-        start = re.match(r"\+\d|\(?00|\(\+?\d|0|[A-Za-z]+|\d", body).group()
+        start = START.match(body).group()
         for kind in ("phone", "id_number"):
-            yield Segment(s, e, kind, [("d", kind, sig, digits, start, row, "A" in sig, _quad(body), bare != body), tokens.context(s, e, kind)])
+            yield Segment(s, e, kind, [("d", kind, sig, digits, start, row, "A" in sig, quad, bare != body), ("c", kind, *context[2:])])
 
 
 def _emails(text: str, folded: str, tokens: Tokens) -> Iterator[Segment]:
@@ -319,13 +344,14 @@ def _names(text: str, lexicon: Lexicon, tokens: Tokens) -> Iterator[Segment]:
     """
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     n, known = len(words), lexicon.word
-    info = [known(text[s:e]) for s, e in words]
-    i = 0
+    info = [known[text[s:e]] for s, e in words]
+    tabs, marks, i = "\t" in text, " (" in text or " <" in text, 0
     while i < n:
-        if not info[i][3]:
-            if info[i][1] == "w":
-                s, e = words[i]
-                if info[i][2] != "-" or text[e : e + 1] == "\t" or (text[e : e + 2] in (" (", " <") and MAIL_NEXT.match(text, e, e + 60)) or (i and len(info[i - 1][0]) > 1 and info[i - 1][0] in TITLES):
+        one = info[i]
+        if not one[3]:
+            if one[1] == "w":
+                e = words[i][1]
+                if one[2] != "-" or (tabs and text[e : e + 1] == "\t") or (marks and text[e : e + 2] in (" (", " <") and MAIL_NEXT.match(text, e, e + 60)) or (i and info[i - 1][4]):
                     yield from _lower_names(text, words, info, i, tokens)
             i += 1
             continue
@@ -343,7 +369,7 @@ def _names(text: str, lexicon: Lexicon, tokens: Tokens) -> Iterator[Segment]:
         i = j + 1
 
 
-def _lower_names(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, str, bool]], at: int, tokens: Tokens) -> Iterator[Segment]:
+def _lower_names(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, str, bool, bool]], at: int, tokens: Tokens) -> Iterator[Segment]:
     low = high = at
     while low > 0 and at - low < MAX_WORDS - 1 and info[low - 1][1] in "wip" and text[words[low - 1][1] : words[low][0]] in (" ", ", "):
         low -= 1
@@ -357,7 +383,7 @@ def _lower_names(text: str, words: list[tuple[int, int]], info: list[tuple[str,
                     yield seg
 
 
-def _name(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, str, bool]], b: int, c: int, tokens: Tokens) -> Segment | None:
+def _name(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, str, bool, bool]], b: int, c: int, tokens: Tokens) -> Segment | None:
     last = info[c][1]
     if last in "Iip" or (info[b][1] == "i" and text[words[b][1] : words[b][1] + 1] != "."):
         return None  # no name ends with an initial or a particle, or begins with a word of one small letter
@@ -382,7 +408,7 @@ def _name(text: str, words: list[tuple[int, int]], info: list[tuple[str, str, st
     s, e = words[b][0], words[c][1]
     left = right = title = opens = start = False
     if b:
-        key, shape, _, capital = info[b - 1]
+        key, _, _, capital, _ = info[b - 1]
         gap = text[words[b - 1][1] : s]
         title = key in TITLES and gap in (" ", ". ")
         left = capital and not title and gap in (" ", "  ")
