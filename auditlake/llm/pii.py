@@ -89,6 +89,7 @@ def _ready(name: str, weights: dict[Hashable, float], parts: Rows) -> tuple[Semi
         _at_hand.clear()
         _at_hand[name] = SemiCRF(weights, expand), Lexicon(list(parts))
         gc.freeze()  # they stay; the collector need not look at them again
+        gc.set_threshold(50_000, 20, 20)  # nor so often at candidates, which hold no cycles
     return _at_hand[name]
 
 

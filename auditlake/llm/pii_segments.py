@@ -34,6 +34,9 @@ AT = r"(?: ?@ ?| ?\(at\) ?| ?\[at\] ?| at )"
 DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )"
 EMAIL = re.compile(rf"(?<![{LETTER}0-9])[{LETTER}0-9][{LETTER}0-9._+'’\-]*{AT}[{LETTER}0-9\-]+(?:{DOT}[{LETTER}0-9\-]*[{LETTER}0-9])+", re.IGNORECASE)
 
+#: What stands for the sign, and what else than letters and digits may stand in the part before it.
+SIGN, LOCAL = re.compile(AT, re.IGNORECASE), "._+'’-"
+
 # Numbers -------------------------------------------------------------------------------------------------------------
 
 _EDGE = rf"A-Za-z0-9À-ɏЀ-ӿ"
@@ -263,7 +266,17 @@ def _numbers(text: str, tokens: Tokens) -> Iterator[Segment]:
 def _emails(text: str, folded: str, tokens: Tokens) -> Iterator[Segment]:
     if "@" not in folded and " at " not in folded and "(at)" not in folded and "[at]" not in folded:
         return
-    for m in EMAIL.finditer(text):
+    upto = 0
+    for sign in SIGN.finditer(text):
+        start = sign.start()
+        while start > upto and (text[start - 1].isalnum() or text[start - 1] in LOCAL):
+            start -= 1
+        while start < sign.start() and text[start] in LOCAL:
+            start += 1
+        m = EMAIL.match(text, start) if start >= upto else None
+        if m is None:
+            continue
+        upto = m.end()
         body = m.group().lower()
         style = "@" if re.search(r"\S@\S", body) else " @" if "@" in body else "(" if "(at" in body else "[" if "[at" in body else "AT"
         if style == "AT" and not re.search(r" AT .* DOT | AT .*\.", m.group()) and " dot " not in body:
