@@ -102,12 +102,15 @@ def nodes(hashes: DataFrame, stored: bool = False) -> DataFrame:
     return out
 
 
-def _siblings(hashes: Column) -> tuple[Column, Column]:
-    """The heights of up to 256 hashes, to be named ``__heights``, and then for each hash its siblings inside the group, lowest first; a node that is carried up has none at that height."""
-    heights = _heights(hashes)
-    at = lambda i, h: F.get(F.get(F.col("__heights"), h), F.call_function("shiftright", i, h).bitwiseXOR(F.lit(1)))
-    one = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda h: at(i, h)), lambda x: x.isNotNull())
-    return heights, F.transform(F.sequence(F.lit(0), F.size(hashes) - 1), one)
+def _siblings(hashes: Column) -> Column:
+    """For each of up to 256 hashes, its siblings inside the group, lowest first; a node that is carried up has none at that height.
+
+    The heights are bound to a lambda's variable, so that they are computed once for the group and not once for each sibling.
+    """
+    at = lambda every, i, h: F.get(F.get(every, h), F.call_function("shiftright", i, h).bitwiseXOR(F.lit(1)))
+    one = lambda every, i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda h: at(every, i, h)), lambda x: x.isNotNull())
+    own = F.sequence(F.lit(0), F.size(hashes) - 1)
+    return F.get(F.transform(F.array(_heights(hashes)), lambda every: F.transform(own, lambda i: one(every, i))), F.lit(0))
 
 
 def inclusion_proofs(groups: list[DataFrame], wanted: DataFrame | None = None) -> DataFrame:
@@ -121,8 +124,7 @@ def inclusion_proofs(groups: list[DataFrame], wanted: DataFrame | None = None) -
         g = groups[level]
         if wanted is not None and not level:
             g = g.join(wanted.select(F.expr(f"index div {WIDTH}").alias("tile")).distinct(), "tile", "left_semi")
-        heights, siblings = _siblings(F.col("hashes"))
-        g = g.withColumn("__heights", heights).select("tile", siblings.alias("low"))
+        g = g.select("tile", _siblings(F.col("hashes")).alias("low"))
         above = F.array().cast("array<binary>")
         if upper is not None:
             g, above = g.join(upper.select(F.col("index").alias("tile"), F.col("proof").alias("above")), "tile"), F.col("above")
