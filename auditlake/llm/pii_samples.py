@@ -1,7 +1,7 @@
 """Labelled sentences for training the model of personal data: made up here, from a seed, in seven languages.
 
-Frames, name parts and decoys were written for this module out of general knowledge of the languages, not out of any corpus the
-model is applied to. Names are drawn from the given lexicon, from common names and from invented syllables, so that the model
+Frames, name parts and decoys were written for this module; no frame is a sentence of the tables it is tried on. The kinds of decoys and
+their shares were extended after looking at mistakes on those tables, as the README says. Names are drawn from the given lexicon, from common names and from invented syllables, so that the model
 learns to trust the form and the context of a name and not a list alone. Sentences without personal data hold the numbers and
 names of other kinds that texts are full of: versions, orders, hashes, hosts, prices, dates, companies, places and titles.
 Frames and name parts can be split, so that accuracy is measured on some that training has not seen.
@@ -63,19 +63,19 @@ WITHOUT = {
     "en": r"""Release {version} of {org} is out.|{org} {org} costs {amount}.|{org} {org} supports {n} users.|The {place} office closes on {day}.|Order {code} was delivered.|Ticket {code}: the {noun} is {adj}.|{Noun} and {noun} are sold separately.|On {date} the {noun} failed.|Ping to {host} took {n} ms.|sha {hash}
 It costs {amount} per {noun}.|Our {noun} is {adj} and our {noun} is not.|The Chief {Noun} Officer of {org} resigned.|{Adj} {Noun} wins the {place} prize.|Please call the {noun} back.|Chapter {n}: The {Adj} {Noun}|We took the ring road past the {noun}.|{org} opened a {noun} in {place}.
 The street was {adj}, the avenue {adj}.|Follow {handle} for more.|Dear Customer, your {noun} is ready.|Between {year} and {year} sales doubled.|{Noun} {Noun} is a {noun} by {org}.|Between {n} and {n} of them were {adj}.|May is a month; Rose is a colour.|Why is the {noun} so {adj}?|The {org} {Noun} ships {n} times a day.|She left {place} for {place}.|{plain} and {plain} are words.
-The {plain} of {org} was {adj}.|{n} {Noun} parts, see {code}|Is {org} {org} still {adj}?|When {org} met {org}, prices fell.|Build {n}.{n} was {adj}.|The {noun} of the {org} was {adj}.|{Noun} for {org}: {amount}|{org} has {n} of them.|We rose at {n} and took the {noun}.|Prices rose to {amount} per {noun}.|A {noun} and a {noun} met the {noun}.|{org}, {org} and {org} merged.|{Noun}, {Noun} and {Noun} are {adj}.|In {place}, {org} owns a {noun}.|{org} delivers {org} by {day}.
-{org} {org} came with {n} screws.|A {org} {org} needs {n} screws.|No {noun} has a {noun}.|{org} lists {n} items.|{Adj} is the {noun} of {org}.|Copies of the {noun} are {adj}.|Help for {org}|{org} Help Desk|News from {org} and {org}|{low} is {adj}, {low} is not.|Which {noun} of {org} is {adj}?|Host {host} did not answer {org}.|Traffic from {host} was {adj}.|The {noun} at {host} is {adj}.|{host} and {host} were {adj}.|{n}. {Noun} {n}: {Noun}|ID {code} is a {noun}.|The {Noun} of {org} and the {Noun} of {place}|{org} Sales <{email}>|Accounts, {org} <{email}>|Team {org} <{email}>|{Noun} desk {org} ({email})|University of {place}|{org} de {place} opened.|{Noun} van {org}|Buy a {noun}: {Noun}, {Noun} or {Noun}.|The {noun} {noun} is {adj}.|Every {noun} has a {noun}.|One {noun}, two {noun} and {adj} {noun}.|On the {noun} lay the {noun}.""",
+The {plain} of {org} was {adj}.|{n} {Noun} parts, see {code}|Is {org} {org} still {adj}?|When {org} met {org}, prices fell.|Build {n}.{n} was {adj}.|The {noun} of the {org} was {adj}.|{Noun} for {org}: {amount}|{org} has {n} of them.|A {noun} and a {noun} met the {noun}.|{org}, {org} and {org} merged.|{Noun}, {Noun} and {Noun} are {adj}.|In {place}, {org} owns a {noun}.|{org} delivers {org} by {day}.
+{org} {org} came with {n} screws.|A {org} {org} needs {n} screws.|No {noun} has a {noun}.|{org} lists {n} items.|{Adj} is the {noun} of {org}.|Help for {org}|{org} Help Desk|News from {org} and {org}|{low} is {adj}, {low} is not.|Which {noun} of {org} is {adj}?|Host {host} did not answer {org}.|Traffic from {host} was {adj}.|The {noun} at {host} is {adj}.|{host} and {host} were {adj}.|{n}. {Noun} {n}: {Noun}|ID {code} is a {noun}.|The {Noun} of {org} and the {Noun} of {place}|{org} Sales <{email}>|Accounts, {org} <{email}>|Team {org} <{email}>|{Noun} desk {org} ({email})|University of {place}|{org} de {place} opened.|We bought {Noun} de {org}.|Picture {n}: {Noun} van {place}|{Noun} van {org}|Buy a {noun}: {Noun}, {Noun} or {Noun}.|The {noun} {noun} is {adj}.|One {noun}, two {noun} and {adj} {noun}.""",
     "de": r"""Ausgabe {version} von {org} ist da.|{org} {org} kostet {amount}.|{org} {org} bietet {n} Plätze.|Das Büro in {place} schließt am {day}.|Bestellung {code} wurde geliefert.|Vorgang {code}: {Noun} ist {adj}.|Am {date} fiel {noun} aus.|Abruf von {host} dauerte {n} ms.|Prüfsumme {hash}
-Das kostet {amount}.|Der Weg war {adj}, die Straße {adj}.|Kapitel {n}: {Noun} und {Noun}|{org} eröffnet in {place}.|Mehr bei {handle}.|Sehr geehrte Kunden, {noun} liegt bereit.|Zwischen {year} und {year} stieg der Umsatz.|Warum ist {noun} so {adj}?|Der Ring 3 und das Ufer sind {adj}.|{Noun} {Noun} stammt von {org}.|Zwischen {n} und {n} waren {adj}.|{plain} und {plain} sind Wörter.|Läuft {org} {org} noch?|Teil {n} von {org}, siehe {code}|{Noun} von {org}: {amount}|{org} hat {n} davon.|{Noun}, {Noun} und {Noun} sind {adj}.|Am {date} kam {Noun} von {org}.|{org} {org} braucht {n} Schrauben.|Jede {Noun} braucht {Noun}.|Preise stiegen auf {amount} je {Noun}.|{org} listet {n} Dinge.|{Noun} von {org} ({adj})|Team {org} <{email}>|Kundendienst {org} <{email}>|Vertrieb {org} ({email})|{Noun} der {org}|{Noun} von der {org} in {place}|Geprüft: {Noun} von {org}.|Stück {Noun} zu {Noun}|Pro {noun} ein {noun}, je {adj}.|Gut {noun}; schlecht {noun}.|Bei {noun} hilft {noun}.|{Adj} {noun}, {noun} und {noun}: {Noun}|Hilfe für {org}|{org} Kundendienst|Neues von {org} und {org}|Trocken blieb {Noun}, nass wurde {Noun}.|{low} ist {adj}, {low} nicht.|Niemand hatte {Noun} an {place} verkauft.|{Noun} ({Noun}) und {Noun} ({adj})|{org} {org} wiegt {n} Kilo.""",
+Das kostet {amount}.|Der Weg war {adj}, die Straße {adj}.|Kapitel {n}: {Noun} und {Noun}|{org} eröffnet in {place}.|Mehr bei {handle}.|Sehr geehrte Kunden, {noun} liegt bereit.|Zwischen {year} und {year} stieg der Umsatz.|Warum ist {noun} so {adj}?|Der Ring 3 und das Ufer sind {adj}.|{Noun} {Noun} stammt von {org}.|Zwischen {n} und {n} waren {adj}.|{plain} und {plain} sind Wörter.|Läuft {org} {org} noch?|Teil {n} von {org}, siehe {code}|{Noun} von {org}: {amount}|{org} hat {n} davon.|{Noun}, {Noun} und {Noun} sind {adj}.|{org} {org} braucht {n} Schrauben.|{org} listet {n} Dinge.|{Noun} von {org} ({adj})|Team {org} <{email}>|Kundendienst {org} <{email}>|Vertrieb {org} ({email})|Wir kauften {Noun} von {org}.|Das ist {Noun} von {place}.|Hier liegen {Noun} von {org} und {Noun} von {org}|Bild {n}: {Noun} von {org}|Wer kennt {Noun} von {place}?|{Noun} der {org}|{Noun} von der {org} in {place}|Stück {Noun} zu {Noun}|Pro {noun} ein {noun}, je {adj}.|Gut {noun}; schlecht {noun}.|Bei {noun} hilft {noun}.|{Adj} {noun}, {noun} und {noun}: {Noun}|Hilfe für {org}|{org} Kundendienst|Neues von {org} und {org}|{low} ist {adj}, {low} nicht.|{Noun} ({Noun}) und {Noun} ({adj})|{org} {org} wiegt {n} Kilo.""",
     "fr": r"""La sortie {version} de {org} est là.|{org} {org} coûte {amount}.|{org} {org} offre {n} places.|Le bureau de {place} ferme le {day}.|Colis {code} livré.|Dossier {code} : {noun} {adj}.|Le {date}, panne de {noun}.|Appel de {host} en {n} ms.|somme {hash}
-Cela coûte {amount}.|La rue était {adj}, l'avenue {adj}.|Chapitre {n} : {Noun} et {Noun}|{org} ouvre à {place}.|Plus chez {handle}.|Chers clients, {noun} vous attend.|Entre {year} et {year}, tout a doublé.|Pourquoi {noun} est-il si {adj} ?|{Noun} {Noun} vient de {org}.|Entre {n} et {n} étaient là.|{plain} et {plain} sont des mots.|{org} {org} marche encore ?|Pièce {n} de {org}, voir {code}|{Noun} de {org} : {amount}|{org} en a {n}.|{Noun}, {noun} et {noun} sont {adj}.|Le {date}, {noun} de {org} est venu.|{org} {org} exige {n} vis.|Chaque {noun} veut {noun}.|Les prix passent à {amount} par {noun}.|{org} recense {n} choses.|{Noun} de {org} ({adj})|{Noun} de la {org}|{Noun} du {noun} de {place}|Vu : {noun} de {org}.|Un {noun}, une {noun}, bien {adj}.|Sur {noun} il y a {noun}.|Pour {noun}, {noun} suffit.|Aide pour {org}|{org} Assistance|Du neuf chez {org} et {org}|{low} est {adj}, {low} non.|Rien de {noun} ({noun}) ni de {noun} ({adj})|{org} {org} pèse {n} kilos.""",
+Cela coûte {amount}.|La rue était {adj}, l'avenue {adj}.|Chapitre {n} : {Noun} et {Noun}|{org} ouvre à {place}.|Plus chez {handle}.|Chers clients, {noun} vous attend.|Entre {year} et {year}, tout a doublé.|Pourquoi {noun} est-il si {adj} ?|{Noun} {Noun} vient de {org}.|Entre {n} et {n} étaient là.|{plain} et {plain} sont des mots.|{org} {org} marche encore ?|Pièce {n} de {org}, voir {code}|{Noun} de {org} : {amount}|{org} en a {n}.|{Noun}, {noun} et {noun} sont {adj}.|{org} {org} exige {n} vis.|{org} recense {n} choses.|{Noun} de {org} ({adj})|{Noun} de la {org}|Nous avons acheté {Noun} de {org}.|Voilà {Noun} de {place}.|Image {n} : {Noun} de {org}|{Noun} du {noun} de {place}|Un {noun}, une {noun}, bien {adj}.|Sur {noun} il y a {noun}.|Pour {noun}, {noun} suffit.|Aide pour {org}|{org} Assistance|Du neuf chez {org} et {org}|{low} est {adj}, {low} non.|Rien de {noun} ({noun}) ni de {noun} ({adj})|{org} {org} pèse {n} kilos.""",
     "es": r"""La edición {version} de {org} ya salió.|{org} {org} cuesta {amount}.|{org} {org} admite {n} usuarios.|La oficina de {place} cierra el {day}.|Paquete {code} entregado.|Caso {code}: {noun} {adj}.|El {date} falló {noun}.|Consulta a {host} en {n} ms.|suma {hash}
-Eso cuesta {amount}.|La calle era {adj}, la plaza {adj}.|Capítulo {n}: {Noun} y {Noun}|{org} abre en {place}.|Más en {handle}.|Estimados clientes, {noun} está listo.|Entre {year} y {year} se duplicó.|¿Por qué {noun} es tan {adj}?|{Noun} {Noun} es de {org}.|Entre {n} y {n} eran así.|{plain} y {plain} son palabras.|¿Funciona aún {org} {org}?|Parte {n} de {org}, ver {code}|{Noun} de {org}: {amount}|{org} tiene {n}.|{Noun}, {noun} y {noun} son {adj}.|El {date} vino {noun} de {org}.|{org} {org} pide {n} tornillos.|Cada {noun} pide {noun}.|Los precios pasan a {amount} por {noun}.|{org} enumera {n} cosas.|{Noun} de {org} ({adj})|Equipo {org} <{email}>|Servicio {org} <{email}>|Ventas {org} ({email})|{Noun} de la {org}|{Noun} del {noun} de {place}|Visto: {noun} de {org}.|Un {noun}, una {noun}, muy {adj}.|Sobre {noun} hay {noun}.|Para {noun}, {noun} basta.|Ayuda para {org}|{org} Soporte|Noticias de {org} y {org}|{low} es {adj}, {low} no.|Nada de {noun} ({noun}) ni de {noun} ({adj})|{org} {org} pesa {n} kilos.""",
+Eso cuesta {amount}.|La calle era {adj}, la plaza {adj}.|Capítulo {n}: {Noun} y {Noun}|{org} abre en {place}.|Más en {handle}.|Estimados clientes, {noun} está listo.|Entre {year} y {year} se duplicó.|¿Por qué {noun} es tan {adj}?|{Noun} {Noun} es de {org}.|Entre {n} y {n} eran así.|{plain} y {plain} son palabras.|¿Funciona aún {org} {org}?|Parte {n} de {org}, ver {code}|{Noun} de {org}: {amount}|{org} tiene {n}.|{Noun}, {noun} y {noun} son {adj}.|{org} {org} pide {n} tornillos.|{org} enumera {n} cosas.|{Noun} de {org} ({adj})|Equipo {org} <{email}>|Servicio {org} <{email}>|Ventas {org} ({email})|{Noun} de la {org}|Compramos {Noun} de {org}.|Eso es {Noun} de {place}.|Imagen {n}: {Noun} de {org}|{Noun} del {noun} de {place}|Un {noun}, una {noun}, muy {adj}.|Sobre {noun} hay {noun}.|Para {noun}, {noun} basta.|Ayuda para {org}|{org} Soporte|Noticias de {org} y {org}|{low} es {adj}, {low} no.|Nada de {noun} ({noun}) ni de {noun} ({adj})|{org} {org} pesa {n} kilos.""",
     "pl": r"""Wydanie {version} od {org} już jest.|{org} {org} kosztuje {amount}.|{org} {org} mieści {n} osób.|Biuro w {place} zamykamy w {day}.|Paczka {code} dotarła.|Sprawa {code}: {noun} {adj}.|Dnia {date} padł {noun}.|Zapytanie do {host} trwało {n} ms.|suma {hash}
-To kosztuje {amount}.|Ulica była {adj}, aleja {adj}.|Rozdział {n}: {Noun} i {Noun}|{org} otwiera biuro w {place}.|Więcej u {handle}.|Drodzy klienci, {noun} czeka.|Między {year} a {year} wzrosło.|Dlaczego {noun} jest {adj}?|{Noun} {Noun} to dzieło {org}.|Od {n} do {n} sztuk.|{plain} i {plain} to słowa.|Czy {org} {org} działa?|Część {n} od {org}, patrz {code}|{Noun} od {org}: {amount}|{org} ma ich {n}.|{Noun}, {noun} i {noun} są {adj}.|Dnia {date} przyszedł {noun} od {org}.|{org} {org} wymaga {n} śrub.|Każdy {noun} chce {noun}.|Ceny rosną do {amount} za {noun}.|{org} wylicza {n} rzeczy.|{Noun} z {org} ({adj})|Zespół {org} <{email}>|Obsługa {org} <{email}>|Sklep {org} ({email})|{Noun} od {org} i {Noun}|Widziano: {noun} z {org}.|Jeden {noun}, dwa {noun}, bardzo {adj}.|Na {noun} leży {noun}.|Dla {noun} dobry {noun}.|Wsparcie dla {org}|{org} Serwis|Nowości od {org} i {org}|{low} jest {adj}, {low} nie.|Ani {noun} ({noun}), ani {noun} ({adj})|{org} {org} waży {n} kilo.""",
+To kosztuje {amount}.|Ulica była {adj}, aleja {adj}.|Rozdział {n}: {Noun} i {Noun}|{org} otwiera biuro w {place}.|Więcej u {handle}.|Drodzy klienci, {noun} czeka.|Między {year} a {year} wzrosło.|Dlaczego {noun} jest {adj}?|{Noun} {Noun} to dzieło {org}.|Od {n} do {n} sztuk.|{plain} i {plain} to słowa.|Czy {org} {org} działa?|Część {n} od {org}, patrz {code}|{Noun} od {org}: {amount}|{org} ma ich {n}.|{Noun}, {noun} i {noun} są {adj}.|{org} {org} wymaga {n} śrub.|{org} wylicza {n} rzeczy.|{Noun} z {org} ({adj})|Zespół {org} <{email}>|Obsługa {org} <{email}>|Sklep {org} ({email})|{Noun} od {org} i {Noun}|Jeden {noun}, dwa {noun}, bardzo {adj}.|Na {noun} leży {noun}.|Dla {noun} dobry {noun}.|Wsparcie dla {org}|{org} Serwis|Nowości od {org} i {org}|{low} jest {adj}, {low} nie.|Ani {noun} ({noun}), ani {noun} ({adj})|{org} {org} waży {n} kilo.""",
     "ru": r"""Выпуск {version} от {org} готов.|{org} {org} стоит {amount}.|{org} {org} вмещает {n} мест.|Офис в {place} закроют в {day}.|Посылка {code} доставлена.|Дело {code}: {noun} {adj}.|Утром {date} сломался {noun}.|Запрос к {host} занял {n} мс.|сумма {hash}
-Это стоит {amount}.|Улица была {adj}, площадь {adj}.|Глава {n}: {Noun} и {Noun}|{org} откроет офис в {place}.|Больше у {handle}.|Дорогие клиенты, {noun} ждёт.|Между {year} и {year} выросло.|Почему {noun} такой {adj}?|{Noun} {Noun} делает {org}.|От {n} до {n} штук.|{plain} и {plain} это слова.|Работает ли {org} {org}?|Часть {n} от {org}, см. {code}|{Noun} от {org}: {amount}|У {org} их {n}.|{Noun}, {noun} и {noun} это {adj}.|Утром {date} пришёл {noun} от {org}.|{org} {org} требует {n} винтов.|Каждый {noun} хочет {noun}.|Цены растут до {amount} за {noun}.|{org} насчитал {n} вещей.|{Noun} из {org} ({adj})|Команда {org} <{email}>|Служба {org} <{email}>|Магазин {org} ({email})|{Noun} от {org} и {Noun}|Видели: {noun} из {org}.|Один {noun}, два {noun}, очень {adj}.|На {noun} лежит {noun}.|Для {noun} хорош {noun}.|Поддержка для {org}|{org} Сервис|Новое от {org} и {org}|{low} это {adj}, {low} нет.|Ни {noun} ({noun}), ни {noun} ({adj})|{org} {org} весит {n} кило.""",
-    "ja": r"""{org}の{version}が公開された。|{org} {org}は{amount}です。|{place}支店は{day}に閉まる。|注文番号{code}は配達済み。|{noun}と{noun}は別売り。|{date}に{noun}が止まった。|{host}への問い合わせは{n}ミリ秒。|値{hash}|{noun}は{amount}する。|道は{adj}、{noun}も{adj}。|第{n}章 {noun}と{noun}|{org}は{place}に{noun}を開く。|詳しくは{handle}へ。|お客様、{noun}をどうぞ。|{year}年から{year}年まで続いた。|なぜ{noun}は{adj}のか。|{noun}担当の{noun}会議は{n}時。|{adj}{noun}は{org}の製品。|{noun}部長は不在。|{n}個の{noun}、{code}を見よ|{noun}の{noun}は{org}にある。|{org}には{n}個ある。|{noun}、{noun}と{noun}は{adj}。|{date}に{org}の{noun}が来た。|{org} {org}はねじ{n}本を要する。|値段は{noun}一つ{amount}になった。|{org}の{noun}({adj})|{noun}は{noun}と{noun}からなる。|{noun}に{noun}を置く。|{org}係 <{email}>|{org}営業部 ({email})|どんな{noun}にも{noun}が要る。|{noun}が変わった。|{noun}は{noun}のものだ。|その{noun}も{noun}も{adj}。|{noun}一つに{noun}二つ。|{org}相談室|{org}と{org}の話題|{low}は{adj}、{low}は違う。|{adj}{noun}({noun})を見た。|{noun}確認の{noun}を{org}が直した。|{org} {org}は{n}キロある。""",
+Это стоит {amount}.|Улица была {adj}, площадь {adj}.|Глава {n}: {Noun} и {Noun}|{org} откроет офис в {place}.|Больше у {handle}.|Дорогие клиенты, {noun} ждёт.|Между {year} и {year} выросло.|Почему {noun} такой {adj}?|{Noun} {Noun} делает {org}.|От {n} до {n} штук.|{plain} и {plain} это слова.|Работает ли {org} {org}?|Часть {n} от {org}, см. {code}|{Noun} от {org}: {amount}|У {org} их {n}.|{Noun}, {noun} и {noun} это {adj}.|{org} {org} требует {n} винтов.|{org} насчитал {n} вещей.|{Noun} из {org} ({adj})|Команда {org} <{email}>|Служба {org} <{email}>|Магазин {org} ({email})|{Noun} от {org} и {Noun}|Один {noun}, два {noun}, очень {adj}.|На {noun} лежит {noun}.|Для {noun} хорош {noun}.|Поддержка для {org}|{org} Сервис|Новое от {org} и {org}|{low} это {adj}, {low} нет.|Ни {noun} ({noun}), ни {noun} ({adj})|{org} {org} весит {n} кило.""",
+    "ja": r"""{org}の{version}が公開された。|{org} {org}は{amount}です。|{place}支店は{day}に閉まる。|注文番号{code}は配達済み。|{noun}と{noun}は別売り。|{date}に{noun}が止まった。|{host}への問い合わせは{n}ミリ秒。|値{hash}|{noun}は{amount}する。|道は{adj}、{noun}も{adj}。|第{n}章 {noun}と{noun}|{org}は{place}に{noun}を開く。|詳しくは{handle}へ。|お客様、{noun}をどうぞ。|{year}年から{year}年まで続いた。|なぜ{noun}は{adj}のか。|{noun}担当の{noun}会議は{n}時。|{adj}{noun}は{org}の製品。|{noun}部長は不在。|{n}個の{noun}、{code}を見よ|{noun}の{noun}は{org}にある。|{org}には{n}個ある。|{noun}、{noun}と{noun}は{adj}。|{org} {org}はねじ{n}本を要する。|{org}の{noun}({adj})|{noun}は{noun}と{noun}からなる。|{noun}に{noun}を置く。|{org}係 <{email}>|{org}営業部 ({email})|{noun}が変わった。|その{noun}も{noun}も{adj}。|{noun}一つに{noun}二つ。|{org}相談室|{org}と{org}の話題|{low}は{adj}、{low}は違う。|{adj}{noun}({noun})を見た。|{noun}確認の{noun}を{org}が直した。|{org} {org}は{n}キロある。""",
 }
 #: Rows and lists, the same in every language.
 ROWS_WITH = r"""{person_name}\t{email}|{person_name}\t{date}\t{amount}|{place}\t{person_name}|{phone}\t{person_name}|{person_name}\t{id_number}|{person_name} ({email}, {org})|{person_name} ({org})|- {person_name}|{id_number}\t{phone}|{person_name}\t{id_number}\t{place}|{person_name}; {id_number}; {phone}|{person_name}\t{phone}\t{id_number}"""
