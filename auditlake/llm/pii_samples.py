@@ -1,6 +1,7 @@
 """Labelled sentences for training the model of personal data: made up here, from a seed, in seven languages.
 
-Frames, name parts and decoys were written for this module; no frame is a sentence of the tables it is tried on. The kinds of decoys and
+Frames, name parts and decoys were written for this module and not copied from the tables it is tried on; short conventional ones (labels,
+rows, signatures) may coincide with theirs. The kinds of decoys and
 their shares were extended after looking at mistakes on those tables, as the README says. Names are drawn from the given lexicon, from common names and from invented syllables, so that the model
 learns to trust the form and the context of a name and not a list alone. Sentences without personal data hold the numbers and
 names of other kinds that texts are full of: versions, orders, hashes, hosts, prices, dates, companies, places and titles.
